@@ -99,17 +99,13 @@ def cost_totals(rows: DataFrame, now: Column, days: int = 30) -> DataFrame:
         kind.alias("kind"),
         F.coalesce("day", "issuer", "plan", F.lit("")).alias("key"),
         "usd",
-        F.when(F.col("gid") == 7, exact_today()).alias("today_usd"),
+        F.when(F.col("gid") == 7, F.col("today")).alias("today_usd"),
         F.col("gid"),
         "plan",
     )
     return out.filter(~((F.col("gid") == 6) & F.col("plan").isNull())).drop("gid", "plan")
 
 
-def exact_today() -> Column:
-    return F.col("today")
-
-
 def plan_costs(rows: DataFrame, aggregates: DataFrame) -> DataFrame:
     """Actual spend per plan beside what its newest aggregate reports; either side may be missing."""
     spent = rows.filter((F.col("cost_usd") > 0) & F.col("plan_id").isNotNull())

@@ -47,8 +47,9 @@ def next_pin(pins: DataFrame) -> DataFrame:
 
 
 def relay_heads(pins: DataFrame, n: int = RELAY_HEADS) -> DataFrame:
-    """The ``n`` nodes whose newest pin we observed last."""
-    return next_pin(pins).orderBy(F.desc("first_seen_ms"), F.asc("node_id")).limit(n)
+    """The newest pin of the ``n`` nodes we observed last, ranked by our own observation time."""
+    newest = newest_by(pins, ["node_id"], F.struct("first_seen_ms", "seq"))
+    return newest.orderBy(F.desc("observed_at_ms"), F.asc("node_id")).limit(n)
 
 
 def classify_pins(heads: DataFrame, held: DataFrame) -> DataFrame:
