@@ -146,8 +146,8 @@ def effective_budget(plans: DataFrame, default_cap: float | None = 5.0, ceiling:
     own = F.coalesce(F.col("has_budget"), F.lit(False))
     cap = F.when(own, F.col("max_cost_usd")).otherwise(F.lit(default_cap).cast("double"))
     if ceiling is not None:
-        # NaN sorts above every number, so a nonsense cap must not survive as the ceiling.
-        cap = F.when(F.isnan(cap), cap).otherwise(F.least(cap, F.lit(float(ceiling))))
+        # NULL is skipped and NaN ranks above every number, so the ceiling caps a waiver and a nonsense cap alike.
+        cap = F.least(cap, F.lit(float(ceiling)))
     soft = F.when(own, F.col("soft_limit_usd"))
     return plans.select(
         "plan_id",

@@ -132,20 +132,15 @@ def search(
 
 def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Documents holding the words of ``phrase`` in a row, ranked by BM25 of the phrase."""
-    words = [w for w in _split_words(phrase)]
+    words = _split_words(phrase)
     if not words:
         raise ValueError("empty phrase")
     tokenized = indexable(docs).select("scope", "path", tokens(F.col("content")).alias("tokens"))
     sized = tokenized.withColumn("dl", F.size("tokens").cast("long"))
-    wanted = F.array(*[F.lit(w) for w in words])
-    last = F.col("dl") - len(words) + 1
-    starts = F.filter(
-        F.sequence(F.lit(1).cast("long"), last), lambda i: F.slice("tokens", i.cast("int"), len(words)) == wanted
-    )
-    together = F.contains(
-        F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.lit(" " + " ".join(words) + " ")
-    )
-    counted = sized.select("scope", "path", "dl", F.when(together, F.size(starts)).otherwise(0).alias("tf"))
+    joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    # A look-ahead consumes nothing, so overlapping occurrences are all counted.
+    occurrences = F.regexp_count(joined, F.lit(f"(?= {' '.join(words)} )"))
+    counted = sized.select("scope", "path", "dl", occurrences.alias("tf"))
     stats = counted.groupBy("scope").agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.count_if(F.col("tf") > 0).alias("df")
     )
