@@ -117,7 +117,7 @@ def gate_cost_b10(spark, d):
         F.when(F.col("l_tax") == 0.08, float("nan")).when(F.col("l_discount") == 0, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     )
     results = li.join(part, "p_partkey").select(F.col("l_orderkey").alias("task_id"), "capability", claimed.alias("cost_usd"))
-    paid = F.regexp_replace("capability", "Brand#", "").cast("int") % 3 == 0
+    paid = F.regexp_replace("capability", "Brand#", "").try_cast("int") % 3 == 0
     hints = part.select("capability", F.when(paid, "cloud_paid").otherwise("free").alias("cost_hint"))
     return costs.gate_cost(results, hints).select("task_id", "capability", "cost_usd")
 

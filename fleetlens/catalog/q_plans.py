@@ -114,7 +114,7 @@ def validate_plans_h1(spark, d):
         (F.col("o_orderstatus") == "O").alias("must_be_local"),
     )
     brands = read_sample(spark, d, "part").filter(F.col("p_brand") != "Brand#7").select(F.col("p_brand").alias("capability")).distinct()
-    caps = brands.withColumn("cloud", F.regexp_replace("capability", "Brand#", "").cast("int") % 6 == 0)
+    caps = brands.withColumn("cloud", F.regexp_replace("capability", "Brand#", "").try_cast("int") % 6 == 0)
     required = brands.filter(F.col("capability") == "Brand#3").withColumn("field", F.lit("b"))
     return graph.validate_plans(plans, _inputs(spark, d), b.plan_edges(spark, d), caps, required)
 

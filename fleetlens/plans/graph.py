@@ -56,9 +56,9 @@ def _graphs(nodes: DataFrame, edges: DataFrame, extra: DataFrame | None = None)
     edge_lists = inner.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("e"))
     return step_lists.join(edge_lists, "plan_id", "left").select(
         "plan_id",
-        *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in columns],
-        F.transform("e", lambda x: x["from_id"]).alias("from_id"),
-        F.transform("e", lambda x: x["to_id"]).alias("to_id"),
+        *[F.col(f"s.{c}").alias(c) for c in columns],
+        F.col("e.from_id").alias("from_id"),
+        F.col("e.to_id").alias("to_id"),
     )
 
 
