@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.hashing import entry_hash
-from fleetlens.sources.tables import read_sample
+from fleetlens.sources.tables import read_sample, spread
 from fleetlens.vocab import ZERO_HASH
 
 SQL: dict[str, str] = {}
@@ -66,7 +66,8 @@ FROM (SELECT *, (props->>'$.k')::BIGINT AS k, round(value * 100)::BIGINT AS c FR
 
 
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    e = read_sample(spark, d, "events").withColumns({"k": k_of(), "c": F.round(F.col("value") * 100).cast("long")})
+    e = spread(read_sample(spark, d, "events"))
+    e = e.withColumns({"k": k_of(), "c": F.round(F.col("value") * 100).cast("long")})
     k, c = F.col("k").cast("string"), F.col("c").cast("string")
 
     def text(*parts: str | Column) -> Column:
@@ -344,7 +345,7 @@ SQL["docs"] = "SELECT source AS scope, source || '/' || lang || '/' || doc_id ||
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    t = read_sample(spark, d, "documents")
+    t = spread(read_sample(spark, d, "documents").select("doc_id", "text", "lang", "source"))
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return t.select(F.col("source").alias("scope"), path.alias("path"), F.col("text").alias("content"))
 
@@ -447,7 +448,7 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     start = F.array().cast(f"array<struct<{element}>>")
-    return rows.select("node_id", F.inline(F.aggregate("rows", start, link)))
+    return rows.select("node_id", F.inline_outer(F.aggregate("rows", start, link)))
 
 
 def chained(spark: SparkSession, d: str) -> DataFrame:

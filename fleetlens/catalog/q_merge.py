@@ -181,14 +181,9 @@ _NUM = """num AS (SELECT request_id, CASE WHEN json_type(item, '$.n') IN ('UBIGI
 )
 def merge_aggregate_d5(spark, d):
     items = merge.unwrap_items(b.contributions(spark, d))
-    parts = []
-    for op, field in [("sum", "n"), ("min", "n"), ("max", "n"), ("mean", "n"), ("count", "n"), ("missing", "absent")]:
-        folded = merge.merge_aggregate(items, "min" if op == "missing" else op, field)
-        parts.append(folded.select(F.lit(op).alias("op"), "request_id", F.round("value", 6).alias("value"), "count", "reason"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbers = merge.merge_aggregate(items, ["sum", "min", "max", "mean", "count"], "n")
+    absent = merge.merge_aggregate(items, "min", "absent").withColumn("op", F.lit("missing"))
+    return numbers.unionByName(absent).withColumn("value", F.round("value", 6))
 
 
 @query(

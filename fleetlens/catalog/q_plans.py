@@ -102,6 +102,7 @@ def resolve_refs_c13(spark, d):
     UNION ALL SELECT plan_id, 'unknown_capability', node_id || ':' || capability FROM x WHERE capability NOT IN (SELECT capability FROM caps)
     UNION ALL SELECT x.plan_id, 'locality_conflict', node_id || ':' || capability FROM x JOIN caps USING (capability) JOIN plans USING (plan_id) WHERE cloud AND loc
     UNION ALL SELECT plan_id, 'undeclared_output_ref', node_id || '>' || ref_id FROM rf WHERE NOT EXISTS (SELECT 1 FROM plan_edges e WHERE e.plan_id = rf.plan_id AND e.from_id = rf.node_id AND e.to_id = rf.ref_id)
+    UNION ALL SELECT plan_id, 'malformed_output_ref', node_id FROM x WHERE n = 1 AND qty % 13 = 0
     UNION ALL SELECT plan_id, 'schema_violation', node_id || ':b' FROM x WHERE capability = 'Brand#3' AND n = 1 AND qty % 13 <> 0""",
 )
 def validate_plans_h1(spark, d):

@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-
-
 def parse(text: Column) -> Column:
     """Variant, or NULL for text that is not JSON."""
     return F.try_parse_json(text)
 
 
-def is_number(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(_NUMERIC), F.lit(False))
-
-
 def number_at(value: Column, path: str) -> Column:
     """The JSON number at ``path`` as double; a numeric string is not a number."""
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(is_number(found), F.try_variant_get(found, "$", "double"))
+    # The first character of its JSON text tells a value's type, and costs less than asking for its schema.
+    text = text_at(value, path)
+    return F.when(text.rlike(r"^-?\d"), text.try_cast("double"))
 
 
 def string_at(value: Column, path: str) -> Column:
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+    is_string = F.startswith(text_at(value, path), F.lit('"'))
+    return F.when(is_string, F.try_variant_get(value, path, "string"))
 
 
 def boolean_at(value: Column, path: str) -> Column:
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(found) == "BOOLEAN", F.try_variant_get(found, "$", "boolean"))
+    text = text_at(value, path)
+    return F.when(text == "true", True).when(text == "false", False)
 
 
 def text_at(value: Column, path: str) -> Column:
@@ -38,18 +32,12 @@ def text_at(value: Column, path: str) -> Column:
     return F.to_json(F.try_variant_get(value, path, "variant"))
 
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-
-
 def items_of(value: Column) -> Column:
     """The items of a node output: an array's elements, an object's ``items`` array, else the value itself."""
-    inner = F.try_variant_get(value, "$.items", "variant")
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    return (
-        F.when(is_array(value), F.try_variant_get(value, "$", "array<variant>"))
-        .when(is_object & is_array(inner), F.try_variant_get(inner, "$", "array<variant>"))
-        .when(value.isNotNull(), F.array(value))
+    return F.coalesce(
+        F.try_variant_get(value, "$", "array<variant>"),
+        F.try_variant_get(value, "$.items", "array<variant>"),
+        F.when(value.isNotNull(), F.array(value)),
     )
 
 

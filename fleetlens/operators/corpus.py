@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import glob_match, is_binary, quote_pattern, truncate_bytes
+from fleetlens.operators.ordered import unpack
 
 # Listing, reading and scanning limits.
 DEFAULT_LIST_ENTRIES = 1_000
@@ -117,7 +118,7 @@ def grep(
     if literal and not ignore_case and "\n" not in pattern:
         docs = docs.filter(F.contains("content", F.lit(pattern)))
     body = F.regexp_replace("content", r"\n\z", "")
-    lines = docs.select("scope", "path", F.posexplode(F.split(body, "\n")).alias("pos", "raw"))
+    lines = unpack(docs, ["scope", "path"], F.split(body, "\n"), "pos", "raw")
     lines = lines.select(
         "scope", "path", (F.col("pos") + 1).alias("line_number"), F.regexp_replace("raw", r"\r\z", "").alias("full")
     )

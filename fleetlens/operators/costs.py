@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import jsonfn
 from fleetlens.functions.numeric import exact_sum, is_finite
 from fleetlens.functions.timefn import utc_day
-from fleetlens.operators.ordered import RunningSum, newest_by, ordered_scan, time_bucket
+from fleetlens.operators.ordered import RunningSum, newest_by, ordered_scan, time_bucket, unpack
 from fleetlens.vocab import is_terminal
 
 PLAN_CAPABILITY = "plan.execute"
@@ -54,12 +54,8 @@ def price_usage(usage: DataFrame, rates: DataFrame, overrides: DataFrame | None
     if overrides is not None:
         table = table.unionByName(overrides.select("prefix", "usd_in", "usd_out", F.lit(1).alias("is_override")))
     models = usage.select("model").filter(F.col("model").isNotNull()).distinct()
-    prefixes = models.select(
-        "model",
-        F.explode(F.transform(F.sequence(F.lit(0), F.char_length("model")), lambda n: F.col("model").substr(F.lit(1), n))).alias(
-            "prefix"
-        ),
-    )
+    each = F.transform(F.sequence(F.lit(0), F.char_length("model")), lambda n: F.col("model").substr(F.lit(1), n))
+    prefixes = unpack(models, ["model"], each, "prefix")
     matched = prefixes.join(table, "prefix")
     best = matched.groupBy("model").agg(
         F.max_by(F.struct("usd_in", "usd_out"), F.struct(F.char_length("prefix"), F.col("is_override"))).alias("rate")

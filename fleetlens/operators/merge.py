@@ -6,14 +6,14 @@ one row per (request_id, node_id).  Node order is the order of ``node_id``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import jsonfn
 from fleetlens.functions.text import snippet_chars
-from fleetlens.operators.ordered import RunningSum, oldest_by, ordered_scan, top_k
+from fleetlens.operators.ordered import RunningSum, oldest_by, ordered_scan, top_k, unpack
 
 # Bounds of a merged output and of a failure message.
 MAX_MERGE_ITEMS = 10_000
@@ -24,12 +24,14 @@ POLICY_LABELS = {"wait": "federated wait", "fail_fast": "federated fail-fast", "
 
 def _with_items(contributions: DataFrame) -> DataFrame:
     ok = contributions.filter(F.col("status") == "ok")
-    return ok.select("request_id", "node_id", jsonfn.items_of(jsonfn.parse("output")).alias("items"))
+    # Parsed in a projection of its own: an expression used several times in one is evaluated several times.
+    parsed = ok.select("request_id", "node_id", jsonfn.parse("output").alias("v"))
+    return parsed.select("request_id", "node_id", jsonfn.items_of(F.col("v")).alias("items"))
 
 
 def unwrap_items(contributions: DataFrame) -> DataFrame:
     """One row per item: request_id, node_id, pos (0-based), item (VARIANT).  Only ok contributions have items."""
-    return _with_items(contributions).select("request_id", "node_id", F.posexplode("items").alias("pos", "item"))
+    return unpack(_with_items(contributions), ["request_id", "node_id"], F.col("items"), "pos", "item")
 
 
 def merge_concat(contributions: DataFrame, cap: int = MAX_MERGE_ITEMS, node_prefix: int = 6) -> DataFrame:
@@ -44,7 +46,7 @@ def merge_concat(contributions: DataFrame, cap: int = MAX_MERGE_ITEMS, node_pref
         sized, ["request_id"], ["node_id"], [RunningSum("through", F.col("n"))], F.substring("node_id", 1, node_prefix)
     )
     before = counted.withColumn("before", F.col("through") - F.col("n")).filter(F.col("before") < cap)
-    items = before.select("request_id", "node_id", "before", F.posexplode("items").alias("pos", "item"))
+    items = unpack(before, ["request_id", "node_id", "before"], F.col("items"), "pos", "item")
     numbered = items.withColumn("item_no", F.col("before") + F.col("pos") + 1).filter(F.col("item_no") <= cap)
     return numbered.select("request_id", "item_no", "node_id", "pos", "item")
 
@@ -94,9 +96,10 @@ def merge_rerank(items: DataFrame, k: int, scorer: Callable[[Column], Column] |
     return top_k(scored, ["request_id"], [F.desc("score"), F.asc("node_id"), F.asc("pos")], k)
 
 
-def merge_aggregate(items: DataFrame, op: str, field: str) -> DataFrame:
-    """sum|min|max|mean|count of a JSON-number field; an extremum over no numbers is an error row."""
-    number = jsonfn.number_at(F.col("item"), f"$['{field}']")
+def merge_aggregate(items: DataFrame, op: str | Sequence[str], field: str) -> DataFrame:
+    """sum|min|max|mean|count of a JSON-number field, one row per request and operation, in one pass over the items;
+    an extremum or mean over no numbers is an error row."""
+    ops = [op] if isinstance(op, str) else list(op)
     folds = {
         "sum": F.coalesce(F.sum("number"), F.lit(0.0)),
         "min": F.min("number"),
@@ -104,15 +107,20 @@ def merge_aggregate(items: DataFrame, op: str, field: str) -> DataFrame:
         "mean": F.avg("number"),
         "count": F.count("number").cast("double"),
     }
-    if op not in folds:
-        raise ValueError(f"unknown aggregate {op!r}")
+    unknown = [o for o in ops if o not in folds]
+    if unknown:
+        raise ValueError(f"unknown aggregate {unknown[0]!r}")
+    number = jsonfn.number_at(F.col("item"), f"$['{field}']")
     grouped = items.select("request_id", number.alias("number")).groupBy("request_id").agg(
-        folds[op].alias("raw"), F.count("number").alias("count")
+        F.count("number").alias("count"), *[folds[o].alias(f"__{o}") for o in ops]
     )
+    one_row = F.array(*[F.struct(F.lit(o).alias("op"), F.col(f"__{o}").alias("raw")) for o in ops])
+    unpivoted = grouped.select("request_id", "count", F.inline(one_row))
     finite = F.when(F.isnan("raw") | (F.abs("raw") == float("inf")), 0.0).otherwise(F.col("raw"))
     missing = F.col("raw").isNull()
-    return grouped.select(
+    return unpivoted.select(
         "request_id",
+        "op",
         F.when(~missing, finite).alias("value"),
         "count",
         F.when(missing, F.lit(f"aggregate field {field!r} missing or non-numeric in every item")).alias("reason"),
@@ -132,16 +140,13 @@ def settle(contributions: DataFrame, policy: str = "return_partial") -> DataFram
 
 def provenance(contributions: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Per node: status, duration and items contributed; nodes left out at planning appear as skipped."""
-    items = jsonfn.items_of(jsonfn.parse("output"))
-    given = contributions.select(
+    parsed = contributions.withColumn("v", F.when(F.col("status") == "ok", jsonfn.parse("output")))
+    given = parsed.select(
         "request_id",
         "node_id",
         "status",
         F.col("duration_ms").cast("long").alias("duration_ms"),
-        F.when((F.col("status") == "ok") & F.col("output").isNotNull(), F.coalesce(F.size(items), F.lit(0)))
-        .otherwise(0)
-        .cast("long")
-        .alias("item_count"),
+        F.coalesce(F.size(jsonfn.items_of(F.col("v"))), F.lit(0)).cast("long").alias("item_count"),
     )
     if excluded is None:
         return given

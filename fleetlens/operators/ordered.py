@@ -137,6 +137,17 @@ def ordered_scan(
     )
 
 
+def unpack(df: DataFrame, columns: Sequence[str | Column], array: Column, *names: str) -> DataFrame:
+    """``columns`` beside the position and value of every element of ``array`` (or the value alone, for one name).
+
+    The plain explode makes the optimizer test ``size(array) > 0`` below it, which evaluates a costly array twice;
+    the outer form does not, and the rows of empty arrays are dropped after it.
+    """
+    generator = F.explode_outer(array) if len(names) == 1 else F.posexplode_outer(array)
+    out = df.select(*columns, generator.alias(*names))
+    return out.filter(F.col(names[0]).isNotNull())
+
+
 def seq_bucket(column: str, rows: int = 65_536) -> Column:
     """Bucket of a dense sequence number."""
     return F.floor(F.col(column) / F.lit(rows))

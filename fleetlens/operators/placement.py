@@ -73,13 +73,13 @@ def scope_owners(tasks: DataFrame, scopes: DataFrame, candidates: DataFrame) ->
     """
     path = F.concat(F.lit("$['"), F.col("scope_field"), F.lit("']"))
     value = F.try_variant_get(jsonfn.parse("input"), path, "variant")
-    keyed = tasks.select("id", "capability", "scope_field", value.alias("v"))
-    kind = F.schema_of_variant("v")
+    keyed = tasks.select("id", "capability", value.alias("v")).withColumn("text", F.to_json("v"))
+    is_string = F.startswith("text", F.lit('"'))
     keyed = keyed.select(
         "id",
         "capability",
-        F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).alias("scope_id"),
-        F.when(F.col("v").isNull(), "missing_scope_field").when(kind != "STRING", "scope_field_not_string").alias("bad"),
+        F.when(is_string, F.try_variant_get("v", "$", "string")).alias("scope_id"),
+        F.when(F.col("v").isNull(), "missing_scope_field").when(~is_string, "scope_field_not_string").alias("bad"),
     )
     owners = (
         scopes.select("scope_id", "node_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import glob_match, is_binary, tokens
 from fleetlens.operators.corpus import walk_order
-from fleetlens.operators.ordered import top_k
+from fleetlens.operators.ordered import top_k, unpack
 
 K1 = 1.2
 B = 0.75
@@ -46,7 +46,7 @@ def build_index(docs: DataFrame) -> Index:
     """
     tokenized = indexable(docs).select("scope", "path", tokens(F.col("content")).alias("tokens"))
     sized = tokenized.withColumn("dl", F.size("tokens").cast("long"))
-    exploded = sized.select("scope", "path", "dl", F.explode("tokens").alias("term"))
+    exploded = unpack(sized, ["scope", "path", "dl"], F.col("tokens"), "term")
     postings = exploded.groupBy("scope", "path", "dl", "term").agg(F.count("*").alias("tf"))
     corpus = sized.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     return Index(postings, corpus)

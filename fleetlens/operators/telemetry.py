@@ -14,7 +14,6 @@ from fleetlens.operators.ordered import (
     Previous,
     RunningMax,
     RunningSum,
-    millis_bucket,
     newest_by,
     ordered_scan,
     seq_bucket,
@@ -317,7 +316,7 @@ def breaker(outcomes: DataFrame, threshold: int = BENCH_THRESHOLD, bench_ms: int
         ),
         lambda acc: acc["out"],
     )
-    carried = sizes.groupBy("node_id", "island").agg(fold.alias("out")).select("node_id", "island", F.inline("out"))
+    carried = sizes.groupBy("node_id", "island").agg(fold.alias("out")).select("node_id", "island", F.inline_outer("out"))
     benched = sizes.join(carried, keys).filter(F.col("carry") + F.col("n") >= threshold)
     early = top_k(fails.select(*keys, *order), keys, [F.asc("at"), F.asc("outcome_id")], threshold)
     trips = benched.join(early, keys).filter(F.col("rank") == threshold - F.col("carry"))
@@ -364,7 +363,8 @@ def leader_with_antiflap(
     )
     strong = F.col("second").isNull() | (F.col("first.score") - F.col("second.score") > penalty)
     ticks = ticks.withColumn("strong", strong)
-    bucket = millis_bucket("tick_ms", 86_400_000)
+    # One row per tick is left, so a key is as long as time, not as the data, and plain windows sharing one shuffle do.
+    bucket = None
     runs = ordered_scan(
         ticks, ["observer"], ["tick_ms"], [Previous("before", F.struct(F.col("first.node_id").alias("n"), F.col("strong").alias("s")))], bucket
     )

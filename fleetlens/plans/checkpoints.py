@@ -42,7 +42,7 @@ def checkpoint_hits(nodes: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def aggregate_is_complete(output: Column) -> Column:
     """A plan aggregate with nothing left to do; an aggregate that cannot be read counts as incomplete."""
-    v = jsonfn.parse(output)
+    v = F.try_parse_json(output)
 
     def zero(name: str) -> Column:
         return jsonfn.number_at(v, f"$.{name}") == 0

@@ -7,14 +7,14 @@ graph always fits one row; all plans are then worked on in one pass instead of o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import jsonfn
-from fleetlens.plans.refs import output_refs
+from fleetlens.operators.ordered import top_k
+from fleetlens.plans.refs import with_output_refs
 
 # Fixed value: steps a plan may have.
 MAX_PLAN_STEPS = 64
@@ -30,31 +30,33 @@ def plan_sizes(nodes: DataFrame) -> DataFrame:
 
 def dangling_refs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is not a step of their plan, and which end it is."""
-    known = _steps(nodes)
     pairs = edges.select("plan_id", "from_id", "to_id").distinct()
+    ends = F.array(
+        F.struct(F.lit("from_id").alias("missing"), F.col("from_id").alias("node_id")),
+        F.struct(F.lit("to_id").alias("missing"), F.col("to_id").alias("node_id")),
+    )
+    lost = pairs.select("*", F.inline(ends)).join(_steps(nodes), ["plan_id", "node_id"], "left_anti")
+    return lost.select("plan_id", "from_id", "to_id", "missing")
 
-    def missing(end: str) -> DataFrame:
-        lost = pairs.join(known.withColumnRenamed("node_id", end), ["plan_id", end], "left_anti")
-        return lost.select("plan_id", "from_id", "to_id", F.lit(end).alias("missing"))
-
-    return missing("from_id").unionByName(missing("to_id"))
 
+def _graphs(nodes: DataFrame, edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per plan within the size limit: its steps and the ends of its distinct edges between known steps.
 
-def _graphs(nodes: DataFrame, edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """One row per plan within the size limit: step ids and the ends of its distinct edges between known steps."""
-    small = plan_sizes(nodes).filter(F.col("steps") <= MAX_PLAN_STEPS).select("plan_id")
-    steps = (_steps(nodes) if extra is None else extra).join(small, "plan_id", "left_semi")
-    known = _steps(nodes).join(small, "plan_id", "left_semi")
-    inner = (
-        edges.select("plan_id", "from_id", "to_id")
-        .join(known.withColumnRenamed("node_id", "from_id"), ["plan_id", "from_id"], "left_semi")
-        .join(known.withColumnRenamed("node_id", "to_id"), ["plan_id", "to_id"], "left_semi")
-        .distinct()
+    Of a plan that is too large only one step more than the limit is looked at: the rank is cut on the map side.
+    """
+    columns = ["node_id", *extra]
+    steps = nodes.groupBy("plan_id", "node_id").agg(*[F.min(c).alias(c) for c in extra]) if extra else _steps(nodes)
+    some = top_k(steps, ["plan_id"], [F.asc("node_id")], MAX_PLAN_STEPS + 1)
+    lists = some.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("s"))
+    small = lists.filter(F.size("s") <= MAX_PLAN_STEPS)
+    # Ends are checked against the plan's own list, so at most limit x limit edges are kept per plan.
+    joined = small.join(edges.select("plan_id", "from_id", "to_id"), "plan_id", "left")
+    ids = F.col("s.node_id")
+    inner = F.array_contains(ids, F.col("from_id")) & F.array_contains(ids, F.col("to_id"))
+    grouped = joined.groupBy("plan_id").agg(
+        F.any_value("s").alias("s"), F.collect_set(F.when(inner, F.struct("from_id", "to_id"))).alias("e")
     )
-    columns = [c for c in steps.columns if c != "plan_id"]
-    step_lists = steps.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("s"))
-    edge_lists = inner.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("e"))
-    return step_lists.join(edge_lists, "plan_id", "left").select(
+    return grouped.select(
         "plan_id",
         *[F.col(f"s.{c}").alias(c) for c in columns],
         F.col("e.from_id").alias("from_id"),
@@ -63,7 +65,7 @@ def _graphs(nodes: DataFrame, edges: DataFrame, extra: DataFrame | None = None)
 
 
 def _edge_pairs(row) -> list[tuple[str, str]]:
-    return [] if row.from_id is None else list(zip(row.from_id, row.to_id))
+    return list(zip(row.from_id, row.to_id))
 
 
 def layers_of(ids: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
@@ -138,8 +140,7 @@ def skip_cascade(edges: DataFrame, states: DataFrame) -> DataFrame:
                 out += [(row.plan_id, i) for i in sorted(hit)]
             yield pd.DataFrame(out, columns=["plan_id", "node_id"])
 
-    graphs = _graphs(affected, edges.join(broken, "plan_id", "left_semi"), affected)
-    return graphs.mapInPandas(spread, "plan_id string, node_id string")
+    return _graphs(affected, edges, ["state"]).mapInPandas(spread, "plan_id string, node_id string")
 
 
 def validate_plans(
@@ -150,12 +151,17 @@ def validate_plans(
     ``plans``: plan_id, estimated_usd, max_cost_usd, budget_usd, must_be_local.  ``capabilities``: capability, cloud.
     ``required``: capability, field - inputs a capability insists on, checked where the input holds no references.
     """
-    sizes = plan_sizes(nodes)
-    sized = plans.join(sizes, "plan_id", "left")
-    empty = sized.filter(F.col("steps").isNull()).select("plan_id", F.lit("empty").alias("reason"), F.lit("").alias("detail"))
-    large = sized.filter(F.col("steps") > MAX_PLAN_STEPS).select(
-        "plan_id", F.lit("too_large").alias("reason"), F.col("steps").cast("string").alias("detail")
+    sized = plans.join(plan_sizes(nodes), "plan_id", "left")
+    of_plan = _listed(
+        [
+            (F.col("steps").isNull(), "empty", F.lit("")),
+            (F.col("steps") > MAX_PLAN_STEPS, "too_large", F.col("steps").cast("string")),
+            (F.col("estimated_usd") > F.col("max_cost_usd"), "cost_exceeded", F.lit("")),
+            (F.col("estimated_usd") > F.col("budget_usd"), "budget_inconsistent", F.lit("")),
+        ]
     )
+    found = sized.select("plan_id", F.inline_outer(of_plan))
+
     dangling = dangling_refs(nodes, edges).select(
         "plan_id", F.lit("dangling_edge").alias("reason"), F.concat_ws(">", "from_id", "to_id").alias("detail")
     )
@@ -163,40 +169,46 @@ def validate_plans(
     cyclic = topo_layers(nodes, edges).filter("cycle").select("plan_id").distinct()
     cyclic = cyclic.select("plan_id", F.lit("cycle").alias("reason"), F.lit("").alias("detail"))
 
-    used = nodes.select("plan_id", "node_id", "capability", "input")
-    offered = capabilities.select("capability", "cloud").distinct()
-    judged = used.join(offered, "capability", "left").join(plans.select("plan_id", "must_be_local"), "plan_id", "left")
-    unknown = judged.filter(F.col("cloud").isNull()).select(
-        "plan_id", F.lit("unknown_capability").alias("reason"), F.concat_ws(":", "node_id", "capability").alias("detail")
-    )
-    remote = judged.filter(F.col("cloud") & F.col("must_be_local")).select(
-        "plan_id", F.lit("locality_conflict").alias("reason"), F.concat_ws(":", "node_id", "capability").alias("detail")
-    )
-    refs = output_refs(used)
-    declared = edges.select("plan_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("ref_id")).distinct()
-    undeclared = refs.filter(F.col("ref_id").isNotNull()).join(declared, ["plan_id", "node_id", "ref_id"], "left_anti")
-    undeclared = undeclared.select(
-        "plan_id", F.lit("undeclared_output_ref").alias("reason"), F.concat_ws(">", "node_id", "ref_id").alias("detail")
-    )
-    found = [empty, large, dangling, cyclic, unknown, remote, undeclared]
+    # One pass over the steps: each once per reference it holds, beside what its capability is and needs.
+    used = with_output_refs(nodes.select("plan_id", "node_id", "capability", "input"))
+    offered = capabilities.groupBy("capability").agg(F.max("cloud").alias("cloud"))
     if required is not None:
-        plain = used.join(refs.select("plan_id", "node_id").distinct(), ["plan_id", "node_id"], "left_anti")
-        path = F.concat(F.lit("$['"), F.col("field"), F.lit("']"))
-        needed = plain.join(required, "capability").filter(
-            F.try_variant_get(jsonfn.parse("input"), path, "variant").isNull()
-        )
-        found.append(
-            needed.select(
-                "plan_id", F.lit("schema_violation").alias("reason"), F.concat_ws(":", "node_id", "field").alias("detail")
-            )
-        )
-    costly = plans.filter(F.col("estimated_usd") > F.col("max_cost_usd")).select(
-        "plan_id", F.lit("cost_exceeded").alias("reason"), F.lit("").alias("detail")
+        needs = required.groupBy("capability").agg(F.collect_set("field").alias("fields"))
+        offered = offered.join(needs, "capability", "full")
+    else:
+        offered = offered.withColumn("fields", F.lit(None).cast("array<string>"))
+    steps = used.join(offered, "capability", "left").join(plans.select("plan_id", "must_be_local"), "plan_id", "left")
+    each = steps.select("*", F.explode_outer("refs").alias("ref"))
+    declared = edges.select(
+        "plan_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("ref_id"), F.lit(True).alias("declared")
+    ).distinct()
+    each = each.withColumn("ref_id", F.col("ref.ref_id")).join(declared, ["plan_id", "node_id", "ref_id"], "left")
+    of_capability = F.concat_ws(":", "node_id", "capability")
+    absent = F.filter("fields", lambda f: F.try_variant_get(F.col("v"), F.concat(F.lit("$['"), f, F.lit("']")), "variant").isNull())
+    each = each.withColumn("absent", F.when((F.size("refs") == 0) & ~F.col("malformed"), absent))
+    of_step = _listed(
+        [
+            (F.col("cloud").isNull(), "unknown_capability", of_capability),
+            (F.col("cloud") & F.col("must_be_local"), "locality_conflict", of_capability),
+            (F.col("malformed"), "malformed_output_ref", F.col("node_id")),
+            (
+                F.col("ref_id").isNotNull() & F.col("declared").isNull(),
+                "undeclared_output_ref",
+                F.concat_ws(">", "node_id", "ref_id"),
+            ),
+        ]
     )
-    short = plans.filter(F.col("estimated_usd") > F.col("budget_usd")).select(
-        "plan_id", F.lit("budget_inconsistent").alias("reason"), F.lit("").alias("detail")
+    missing = F.transform(
+        F.coalesce("absent", F.array().cast("array<string>")),
+        lambda f: F.struct(F.lit("schema_violation").alias("reason"), F.concat_ws(":", F.col("node_id"), f).alias("detail")),
     )
-    out = costly.unionByName(short)
-    for part in found:
-        out = out.unionByName(part)
-    return out.distinct()
+    of_steps = each.select("plan_id", F.inline_outer(F.concat(of_step, missing)))
+    out = found.unionByName(dangling).unionByName(cyclic).unionByName(of_steps)
+    # The outer form leaves an empty row where there is no reason; the plain one would test the array twice.
+    return out.filter(F.col("reason").isNotNull()).distinct()
+
+
+def _listed(tests: list[tuple[Column, str, Column]]) -> Column:
+    """The reasons whose test holds, as an array of (reason, detail)."""
+    entries = [F.when(test, F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))) for test, reason, detail in tests]
+    return F.array_compact(F.array(*entries))

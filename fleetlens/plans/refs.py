@@ -12,37 +12,25 @@ _REF = r'\{"\$task_output":"((?:[^"\\]|\\.)*)"(?:,"pointer":"((?:[^"\\]|\\.)*)")
 _RESERVED = r'(?<!\\)"\$task_output":'
 
 
-def _ref_texts(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_REF), 0)
+def with_output_refs(nodes: DataFrame) -> DataFrame:
+    """Adds to every step: ``v`` (its parsed input), ``text`` (its canonical JSON), ``refs`` (array of ref_id and
+    pointer in text order) and ``malformed`` (the reserved key is used in any other shape).
 
-
-def output_refs(nodes: DataFrame) -> DataFrame:
-    """Every reference of every step: plan_id, node_id, pos, ref_text, ref_id, pointer.
-
-    A step that uses the reserved key in any other shape yields one row with a NULL ``ref_id``.
+    Each layer is a projection of its own, so that nothing is parsed or searched twice.
     """
-    text = F.to_json(jsonfn.parse("input"))
-    texts = nodes.select("plan_id", "node_id", text.alias("text")).filter(F.contains("text", F.lit('"$task_output":')))
-    found = texts.select("plan_id", "node_id", "text", _ref_texts(F.col("text")).alias("refs"))
-    broken = found.filter(F.regexp_count("text", F.lit(_RESERVED)) != F.size("refs")).select(
-        "plan_id",
-        "node_id",
-        F.lit(-1).alias("pos"),
-        F.lit(None).cast("string").alias("ref_text"),
-        F.lit(None).cast("string").alias("ref_id"),
-        F.lit(None).cast("string").alias("pointer"),
+    parsed = nodes.withColumn("v", jsonfn.parse("input")).withColumn("text", F.to_json("v"))
+    marked = parsed.withColumn("marks", F.when(F.contains("text", F.lit('"$task_output":')), F.regexp_count("text", F.lit(_RESERVED))))
+    found = marked.withColumn(
+        "found", F.when(F.col("marks") > 0, F.regexp_extract_all("text", F.lit(_REF), 0)).otherwise(F.array().cast("array<string>"))
     )
-    one = found.select("plan_id", "node_id", F.posexplode("refs").alias("pos", "ref_text"))
-    parsed = jsonfn.parse("ref_text")
-    good = one.select(
-        "plan_id",
-        "node_id",
-        "pos",
-        "ref_text",
-        jsonfn.string_at(parsed, "$['$task_output']").alias("ref_id"),
-        jsonfn.string_at(parsed, "$.pointer").alias("pointer"),
+    refs = F.transform(
+        "found",
+        lambda t: F.struct(
+            F.get_json_object(t, "$['$task_output']").alias("ref_id"), F.get_json_object(t, "$.pointer").alias("pointer")
+        ),
     )
-    return good.unionByName(broken)
+    malformed = F.coalesce(F.col("marks") > F.size("found"), F.lit(False))
+    return found.withColumns({"refs": refs, "malformed": malformed}).drop("marks", "found")
 
 
 def pointer_path(pointer: Column, numeric_as_index: bool) -> Column:
@@ -57,40 +45,47 @@ def pointer_path(pointer: Column, numeric_as_index: bool) -> Column:
     return F.concat(F.lit("$"), F.array_join(F.transform(plain, step), ""))
 
 
-def value_at_pointer(value: Column, pointer: Column) -> Column:
-    """Canonical JSON text at a pointer, NULL when nothing is there."""
-    by_index = F.try_variant_get(value, pointer_path(pointer, True), "variant")
-    by_key = F.try_variant_get(value, pointer_path(pointer, False), "variant")
-    return F.to_json(F.coalesce(by_index, by_key))
-
-
 def resolve_refs(nodes: DataFrame, outputs: DataFrame) -> DataFrame:
     """Inputs with every reference replaced, or the reason one could not be.
 
     ``nodes``: plan_id, node_id, input.  ``outputs``: plan_id, node_id, output.  The text between references is kept
     and joined with the resolved values, so an inserted value is never searched again.
     """
-    refs = output_refs(nodes)
+    read = with_output_refs(nodes.select("plan_id", "node_id", "input")).drop("v", "input")
     held = outputs.select("plan_id", F.col("node_id").alias("ref_id"), jsonfn.parse("output").alias("v"))
-    joined = refs.join(held, ["plan_id", "ref_id"], "left")
-    value = value_at_pointer(F.col("v"), F.col("pointer"))
-    reason = (
-        F.when(F.col("ref_id").isNull(), "malformed_ref")
-        .when(F.col("v").isNull(), "unknown_task")
-        .when(value.isNull(), "pointer_miss")
+    each = read.select("plan_id", "node_id", "text", "malformed", F.posexplode_outer("refs").alias("pos", "ref"))
+    each = each.withColumns({"ref_id": F.col("ref.ref_id"), "pointer": F.col("ref.pointer")}).drop("ref")
+    joined = each.join(held, ["plan_id", "ref_id"], "left")
+    pointed = F.coalesce(F.col("pointer"), F.lit("")) != ""
+    paths = joined.withColumns(
+        {"by_index": F.when(pointed, pointer_path(F.col("pointer"), True)), "by_key": F.when(pointed, pointer_path(F.col("pointer"), False))}
     )
-    solved = joined.select("plan_id", "node_id", "pos", value.alias("value"), reason.alias("reason"))
+    hits = paths.withColumn(
+        "hit",
+        F.when(
+            pointed,
+            F.coalesce(F.try_variant_get("v", F.col("by_index"), "variant"), F.try_variant_get("v", F.col("by_key"), "variant")),
+        ).otherwise(F.col("v")),
+    )
+    valued = hits.withColumn("value", F.to_json("hit"))
+    wanted = F.col("ref_id").isNotNull()
+    reason = F.when(F.col("malformed"), "malformed_ref").when(wanted & F.col("v").isNull(), "unknown_task").when(
+        wanted & F.col("value").isNull(), "pointer_miss"
+    )
+    solved = valued.select("plan_id", "node_id", "text", "pos", "value", reason.alias("reason"))
     per_step = solved.groupBy("plan_id", "node_id").agg(
-        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("reason"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"),
+        F.any_value("text").alias("text"),
+        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.coalesce("pos", F.lit(0)))).alias("reason"),
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value")))).alias("parts"),
     )
-    texts = nodes.select("plan_id", "node_id", F.to_json(jsonfn.parse("input")).alias("text"))
-    whole = texts.join(per_step, ["plan_id", "node_id"], "left")
-    pieces = F.split("text", _REF)
+    plain = F.size("parts") == 0
     filled = F.array_join(
-        F.zip_with(pieces, F.coalesce("values", F.array().cast("array<string>")), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))),
+        F.zip_with(
+            F.split("text", _REF),
+            F.col("parts.value"),
+            lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))),
+        ),
         "",
     )
-    return whole.select(
-        "plan_id", "node_id", F.when(F.col("reason").isNull(), filled).alias("resolved_input"), "reason"
-    )
+    resolved = F.when(F.col("reason").isNull(), F.when(plain, F.col("text")).otherwise(filled))
+    return per_step.select("plan_id", "node_id", resolved.alias("resolved_input"), "reason")

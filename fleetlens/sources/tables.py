@@ -63,6 +63,15 @@ def read_sample(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, folder, name, SAMPLE[name])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than that, as a single small file does.
+
+    For work that is heavy per row.  A scan with enough splits is left alone, so large inputs pay no shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def read_stream(
     spark: SparkSession, folder: str, name: str, schema: str | None = None, files_per_trigger: int = 64
 ) -> DataFrame:
