@@ -55,9 +55,8 @@ def list_inventory(
     if max_entries is None:
         return entries.withColumn("truncated", F.lit(False))
     cap = min(max_entries, MAX_LIST_ENTRIES)
-    total = entries.agg((F.count("*") > cap).alias("truncated")).withColumn("one", F.lit(1))
-    shown = entries.orderBy("depth", "entry").limit(cap).withColumn("one", F.lit(1))
-    return shown.join(total, "one").drop("one")
+    cut = entries.agg(F.count("*") > cap).scalar()
+    return entries.orderBy("depth", "entry").limit(cap).withColumn("truncated", cut)
 
 
 def preview(docs: DataFrame, max_bytes: int = DEFAULT_PREVIEW_BYTES, encoding: str = "utf8") -> DataFrame:

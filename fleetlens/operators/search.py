@@ -214,11 +214,9 @@ def fanout_pairs(
     pairs the cap left out."""
     able = manifests.filter(F.array_contains("capabilities", capability)).join(live.select("node_id"), "node_id", "left_semi")
     pairs = able.select("node_id", F.explode("scopes").alias("scope"))
-    total = pairs.agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("truncated_targets")).withColumn("one", F.lit(1))
-    first = (
-        pairs.orderBy((F.col("node_id") != self_node).cast("int"), "node_id", "scope").limit(cap).withColumn("one", F.lit(1))
-    )
-    return first.join(total, "one").drop("one")
+    left_out = pairs.agg(F.greatest(F.count("*") - cap, F.lit(0))).scalar()
+    first = pairs.orderBy((F.col("node_id") != self_node).cast("int"), "node_id", "scope").limit(cap)
+    return first.withColumn("truncated_targets", left_out)
 
 
 def find_file(docs: DataFrame, name_glob: str) -> DataFrame:

@@ -177,15 +177,19 @@ def validate_plans(
         offered = offered.join(needs, "capability", "full")
     else:
         offered = offered.withColumn("fields", F.lit(None).cast("array<string>"))
-    steps = used.join(offered, "capability", "left").join(plans.select("plan_id", "must_be_local"), "plan_id", "left")
-    each = steps.select("*", F.explode_outer("refs").alias("ref"))
+    absent = F.filter("fields", lambda f: F.try_variant_get(F.col("v"), F.concat(F.lit("$['"), f, F.lit("']")), "variant").isNull())
+    plain = (F.size("refs") == 0) & ~F.col("malformed")
+    # Inputs are judged here, so that the shuffles below carry ids and verdicts only.
+    judged = used.join(offered, "capability", "left").select(
+        "plan_id", "node_id", "capability", "cloud", "malformed", F.col("refs.ref_id").alias("ref_ids"), F.when(plain, absent).alias("absent")
+    )
+    local = plans.filter("must_be_local").select("plan_id", F.lit(True).alias("must_be_local"))
+    each = judged.join(local, "plan_id", "left").select("*", F.explode_outer("ref_ids").alias("ref_id")).drop("ref_ids")
     declared = edges.select(
         "plan_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("ref_id"), F.lit(True).alias("declared")
     ).distinct()
-    each = each.withColumn("ref_id", F.col("ref.ref_id")).join(declared, ["plan_id", "node_id", "ref_id"], "left")
+    each = each.join(declared, ["plan_id", "node_id", "ref_id"], "left")
     of_capability = F.concat_ws(":", "node_id", "capability")
-    absent = F.filter("fields", lambda f: F.try_variant_get(F.col("v"), F.concat(F.lit("$['"), f, F.lit("']")), "variant").isNull())
-    each = each.withColumn("absent", F.when((F.size("refs") == 0) & ~F.col("malformed"), absent))
     of_step = _listed(
         [
             (F.col("cloud").isNull(), "unknown_capability", of_capability),

@@ -537,3 +537,11 @@ def test_success_rate_floor(spark):
 
 def test_genesis_hash_is_zero(chain):
     assert chain.filter("seq = 1").collect()[0].prev_hash == ZERO_HASH
+
+
+def test_listing_says_when_it_is_cut(spark):
+    d = spark.createDataFrame([("a/b/c.txt", 3), ("a/d.txt", 4), ("e.txt", 5)], "path string, size long")
+    got = corpus.list_inventory(d, max_depth=2, max_entries=2)
+    assert rows(got, "entry", "kind", "depth", "truncated") == [("a", "dir", 1, True), ("e.txt", "file", 1, True)]
+    below = corpus.list_inventory(d, "a", max_depth=8)
+    assert rows(below, "entry", "kind", "truncated") == [("b", "dir", False), ("b/c.txt", "file", False), ("d.txt", "file", False)]
