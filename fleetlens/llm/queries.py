@@ -5,17 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import minhash_forest
+from fleetlens.llm import minhash_forest, rlz_dedup
 from fleetlens.llm.common import table
 
 
+def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words),
+blocks AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS block FROM starts),
+first_of AS (SELECT block, min(doc_id) AS first_doc FROM blocks GROUP BY block),
+covered AS (SELECT DISTINCT doc_id, i + k AS pos FROM blocks JOIN first_of USING (block), range(0, 13) AS r(k) WHERE first_doc < doc_id),
+spread AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM spread ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rlz_dedup": op3_rlz_dedup,
     "op8_minhash_forest": op8_minhash_forest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_rlz_dedup": OP3_SQL,
+}
