@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import minhash_forest, rlz_dedup
+from fleetlens.llm import decontaminate, langid, minhash_forest, quality, rlz_dedup
 from fleetlens.llm.common import table
 
 
+def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out(5, 0)
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = quality.score(docs.select("doc_id", "text"), weights)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -29,15 +37,46 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+def op4_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP4_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+item AS (SELECT item_id::VARCHAR AS item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+item_at AS (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0),
+pattern AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS p FROM item_at),
+sizes AS (SELECT DISTINCT size FROM pattern),
+doc_at AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size),
+hit AS (SELECT doc_id, i, d.size, item_id FROM (SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS p FROM doc_at) d JOIN pattern USING (size, p)),
+words_hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(0, 10) AS r(k) WHERE k < size GROUP BY doc_id),
+items_hit AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op10_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out(3, 1)
+    out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_ftrl": op1_quality_ftrl,
     "op3_rlz_dedup": op3_rlz_dedup,
+    "op4_aho_corasick": op4_aho_corasick,
     "op8_minhash_forest": op8_minhash_forest,
+    "op10_segmentation_langid": op10_segmentation_langid,
 }
 
 ORACLES: dict[str, str] = {
     "op3_rlz_dedup": OP3_SQL,
+    "op4_aho_corasick": OP4_SQL,
 }
