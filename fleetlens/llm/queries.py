@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, minhash_forest, quality, rlz_dedup
+from fleetlens.llm import decontaminate, langid, line_templates, minhash_forest, quality, rlz_dedup
 from fleetlens.llm.common import table
 
 
@@ -19,6 +19,35 @@ def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_templates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+split AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM doc),
+flat AS (SELECT doc_id, line, pos, trim(regexp_replace(line, '[ \t\r\x0B\x0C]+', ' ', 'g'), ' ') AS f FROM split),
+lines AS (SELECT doc_id, line, pos, regexp_replace(f, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS masked FROM flat),
+kinds AS (SELECT masked, count(*) AS n, min(doc_id) AS first_doc, string_split(masked, ' ') AS t FROM (SELECT DISTINCT doc_id, masked FROM lines WHERE masked <> '') GROUP BY masked),
+leafed AS (SELECT *, len(t) AS size, array_to_string(list_slice(t, 1, 3), ' ') AS head FROM kinds),
+placed AS (SELECT size, head, masked, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM leafed),
+frequent AS (SELECT size, head, pos, token FROM placed GROUP BY ALL HAVING sum(n) >= 6),
+shaped AS (
+  SELECT masked, string_agg(CASE WHEN p.pos <= 3 OR f.token IS NOT NULL THEN p.token ELSE '<*>' END, ' ' ORDER BY p.pos) AS template
+  FROM placed p LEFT JOIN frequent f USING (size, head, pos, token) GROUP BY masked),
+recurring AS (
+  SELECT template, min(first_doc) AS first_doc FROM shaped JOIN kinds USING (masked) GROUP BY template
+  HAVING sum(n) >= 6 AND len(list_filter(string_split(template, ' '), lambda x: x <> '<*>')) >= 0.7 * len(string_split(template, ' '))),
+marked AS (
+  SELECT doc_id, pos, line, coalesce(first_doc <> doc_id, false) AS gone
+  FROM lines LEFT JOIN (SELECT masked, first_doc FROM shaped JOIN recurring USING (template)) USING (masked)),
+made AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_dropped, 0)::INTEGER AS n_dropped, CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(t, '')) END AS kept_sha256
+FROM doc LEFT JOIN made USING (doc_id)
+"""
+
+
 def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -70,6 +99,7 @@ def op10_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ftrl": op1_quality_ftrl,
+    "op2_line_templates": op2_line_templates,
     "op3_rlz_dedup": op3_rlz_dedup,
     "op4_aho_corasick": op4_aho_corasick,
     "op8_minhash_forest": op8_minhash_forest,
@@ -77,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_templates": OP2_SQL,
     "op3_rlz_dedup": OP3_SQL,
     "op4_aho_corasick": OP4_SQL,
 }
