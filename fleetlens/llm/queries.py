@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, line_templates, minhash_forest, quality, rlz_dedup
+from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, quality, rlz_dedup
 from fleetlens.llm.common import table
 
 
@@ -90,6 +90,59 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+#: The rules that the query is asked to apply.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return link_trust.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def _op9_sql() -> str:
+    rules = ", ".join(str(r) for r in URL_RULES)
+    rounds = ["""r0 AS MATERIALIZED (SELECT kind, host, seed AS rank FROM seeds)"""]
+    for k in range(1, link_trust.ROUNDS + 1):
+        rounds.append(
+            f"""r{k} AS MATERIALIZED (SELECT kind, host, sum(part) AS rank FROM (
+  SELECT kind, dst AS host, {link_trust.DAMPING} * share * rank AS part FROM flow JOIN (SELECT kind, host AS src, rank FROM r{k - 1}) USING (kind, src)
+  UNION ALL SELECT kind, host, (1 - {link_trust.DAMPING}) * seed FROM seeds) GROUP BY kind, host)"""
+        )
+    return rf"""
+WITH rules(suffix, start, verdict) AS (VALUES {rules}),
+raw AS (SELECT page_id, url, html, strpos(url, '://') AS p FROM pages),
+cut AS (SELECT page_id, html, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS u FROM raw),
+page AS (SELECT page_id, html, lower(regexp_extract(u, '^([^/?#]*)', 1)) AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+place AS (SELECT host, path, count(*) AS pages FROM page GROUP BY ALL),
+best AS (
+  SELECT host, path, arg_max(suffix || start, (length(suffix || start), suffix || start, verdict)) AS rule, arg_max(verdict, (length(suffix || start), suffix || start, verdict)) AS verdict
+  FROM place JOIN rules ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY host, path),
+ruled AS (SELECT place.*, rule, verdict FROM place LEFT JOIN best USING (host, path)),
+kinds(verdict, kind) AS (VALUES ('allow', 'trust'), ('block', 'distrust')),
+seeds AS (SELECT kind, host, sum(pages) / sum(sum(pages)) OVER (PARTITION BY kind) AS seed FROM ruled JOIN kinds USING (verdict) GROUP BY kind, host),
+link AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a[ 	
+][^>]*?href[ 	
+]*=[ 	
+]*["'']?([^"'' 	
+>]+)', 1)) AS l FROM page WHERE host <> ''),
+target AS (SELECT src, CASE WHEN starts_with(l, '//') THEN lower(regexp_extract(l, '^//([^/?#]*)', 1)) WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(l, '://([^/?#]*)', 1))
+  WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst FROM link),
+edge AS (SELECT src, dst, count(*) AS n FROM target WHERE dst <> '' GROUP BY ALL),
+both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edge UNION ALL SELECT 'distrust', dst, src, n FROM edge),
+flow AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+{", ".join(rounds)},
+ranks AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM r{link_trust.ROUNDS} GROUP BY host)
+SELECT page_id, page.host, page.path, rule, coalesce(verdict, CASE WHEN distrust > {link_trust.THRESHOLD} * trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM page JOIN ruled USING (host, path) LEFT JOIN ranks USING (host)
+"""
+
+
 def op10_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = quality.held_out(3, 1)
@@ -103,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rlz_dedup": op3_rlz_dedup,
     "op4_aho_corasick": op4_aho_corasick,
     "op8_minhash_forest": op8_minhash_forest,
+    "op9_link_trust": op9_link_trust,
     "op10_segmentation_langid": op10_segmentation_langid,
 }
 
@@ -110,4 +164,5 @@ ORACLES: dict[str, str] = {
     "op2_line_templates": OP2_SQL,
     "op3_rlz_dedup": OP3_SQL,
     "op4_aho_corasick": OP4_SQL,
+    "op9_link_trust": _op9_sql(),
 }
