@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, quality, rlz_dedup
-from fleetlens.llm.common import table
+from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, quality, rlz_dedup, warc
+from fleetlens.llm.common import shared_folder, table
 
 
 def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,21 @@ FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
 """
 
 
+def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH page AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT payload_digest, max(page_id) AS keep FROM page WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id OR page_id IS NULL THEN keep END AS refers_to
+FROM page LEFT JOIN last USING (payload_digest)
+"""
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -127,10 +143,14 @@ ruled AS (SELECT place.*, rule, verdict FROM place LEFT JOIN best USING (host, p
 kinds(verdict, kind) AS (VALUES ('allow', 'trust'), ('block', 'distrust')),
 seeds AS (SELECT kind, host, sum(pages) / sum(sum(pages)) OVER (PARTITION BY kind) AS seed FROM ruled JOIN kinds USING (verdict) GROUP BY kind, host),
 link AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a[ 	
-][^>]*?href[ 	
-]*=[ 	
-]*["'']?([^"'' 	
->]+)', 1)) AS l FROM page WHERE host <> ''),
+
+][^>]*?href[ 	
+
+]*=[ 	
+
+]*["'']?([^"'' 	
+
+>]+)', 1)) AS l FROM page WHERE host <> ''),
 target AS (SELECT src, CASE WHEN starts_with(l, '//') THEN lower(regexp_extract(l, '^//([^/?#]*)', 1)) WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(l, '://([^/?#]*)', 1))
   WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst FROM link),
 edge AS (SELECT src, dst, count(*) AS n FROM target WHERE dst <> '' GROUP BY ALL),
@@ -155,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": op2_line_templates,
     "op3_rlz_dedup": op3_rlz_dedup,
     "op4_aho_corasick": op4_aho_corasick,
+    "op5_warc_dictionary": op5_warc_dictionary,
     "op8_minhash_forest": op8_minhash_forest,
     "op9_link_trust": op9_link_trust,
     "op10_segmentation_langid": op10_segmentation_langid,
@@ -164,5 +185,6 @@ ORACLES: dict[str, str] = {
     "op2_line_templates": OP2_SQL,
     "op3_rlz_dedup": OP3_SQL,
     "op4_aho_corasick": OP4_SQL,
+    "op5_warc_dictionary": OP5_SQL,
     "op9_link_trust": _op9_sql(),
 }
