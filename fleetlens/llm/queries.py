@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, quality, rlz_dedup, warc
+from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, warc
 from fleetlens.llm.common import shared_folder, table
 
 
@@ -102,6 +102,10 @@ FROM page LEFT JOIN last USING (payload_digest)
 """
 
 
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -176,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rlz_dedup": op3_rlz_dedup,
     "op4_aho_corasick": op4_aho_corasick,
     "op5_warc_dictionary": op5_warc_dictionary,
+    "op6_length_buckets": op6_length_buckets,
     "op8_minhash_forest": op8_minhash_forest,
     "op9_link_trust": op9_link_trust,
     "op10_segmentation_langid": op10_segmentation_langid,
