@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, warc
+from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, subspace_join, warc
 from fleetlens.llm.common import shared_folder, table
 
 
@@ -106,6 +106,23 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low USING (vec_id) LEFT JOIN many USING (vec_id)
+"""
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -181,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_aho_corasick": op4_aho_corasick,
     "op5_warc_dictionary": op5_warc_dictionary,
     "op6_length_buckets": op6_length_buckets,
+    "op7_subspace_join": op7_subspace_join,
     "op8_minhash_forest": op8_minhash_forest,
     "op9_link_trust": op9_link_trust,
     "op10_segmentation_langid": op10_segmentation_langid,
@@ -191,5 +209,6 @@ ORACLES: dict[str, str] = {
     "op3_rlz_dedup": OP3_SQL,
     "op4_aho_corasick": OP4_SQL,
     "op5_warc_dictionary": OP5_SQL,
+    "op7_subspace_join": OP7_SQL,
     "op9_link_trust": _op9_sql(),
 }
