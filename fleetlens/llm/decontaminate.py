@@ -24,7 +24,7 @@ _WORD = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *
 _NORMAL = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _WORD else 0x20 for b in range(256))
 
 HITS = "array<struct<start:int,end:int,from:int,to:int>>"
-SCANNED = f"doc_id long, tx long, text string, n_words long, items array<string>, hits {HITS}"
+_ARROW_HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))
 
 
 def normal_words(raw: bytes) -> list[bytes]:
@@ -53,12 +53,12 @@ def _automaton(found: dict[str, tuple[int, list[int]]]) -> ahocorasick.Automaton
     return out
 
 
-def _scan(items: list[tuple[str, str]], window: int):
+def _scan(items: list[tuple[str, str]], window: int, text: str, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(patterns(items, window))
         for batch in batches:
             count, names, hits = [], [], []
-            for raw, earlier, spanned in zip(texts(batch.column("text")), batch.column("items").to_pylist(), batch.column("hits").to_pylist()):
+            for raw, earlier, spanned in zip(texts(batch.column(text)), batch.column(f"{prefix}items").to_pylist(), batch.column(f"{prefix}hits").to_pylist()):
                 flat = raw.tobytes().translate(_NORMAL) if raw is not None else b""
                 words = flat.split()
                 count.append(len(words))
@@ -82,42 +82,29 @@ def _scan(items: list[tuple[str, str]], window: int):
                     else:
                         merged.append([i, j])
                 hits.append([{"start": int(begin[i]), "end": int(finish[j - 1]), "from": i, "to": j} for i, j in merged])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("tx"),
-                    batch.column("text"),
-                    pa.array(count, pa.int64()),
-                    pa.array(names, pa.list_(pa.string())),
-                    pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))),
-                ],
-                ["doc_id", "tx", "text", "n_words", "items", "hits"],
-            )
+            new = {"n_words": pa.array(count, pa.int64()), "items": pa.array(names, pa.list_(pa.string())), "hits": pa.array(hits, _ARROW_HITS)}
+            columns = {name: new.get(name.removeprefix(prefix), column) if name.startswith(prefix) else column for name, column in zip(batch.schema.names, batch.columns)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, chars: int = AUTOMATON_CHARS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, tx, n_words, items, hits, n_hit) for every row of docs.
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, chars: int = AUTOMATON_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with n_words, items, hits and n_hit after their own columns, whose names begin with the prefix.
 
     Words are runs of A-Z, a-z, 0-9 and characters from 0x80 on, A-Z lower-cased. A hit is a maximal span of words under
-    occurrences of patterns, with its byte offsets in the UTF-8 text (start, end) and its words (from, to). items are the ids of
-    the items with an occurrence, as sorted strings, each once. tx is the hash of the text. Null and empty texts have no words;
-    items without words and items without an id are left out. Empty tables on either side give no hits.
+    occurrences of patterns, with its byte offsets in the UTF-8 text (start, end) and its words (from, to); n_hit is the number of
+    words under hits. items are the ids of the items with an occurrence, as sorted strings, each once. Null and empty texts have
+    no words; items without words and items without an id are left out. Empty tables on either side give no hits. Columns of
+    these names that were there are replaced.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // chars))
-    out = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(text)).alias("tx"),
-        F.col(text).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("items"),
-        F.expr(f"cast(array() as {HITS})").alias("hits"),
-    )
+    names = {k: f"{prefix}{k}" for k in ("n_words", "items", "hits", "n_hit")}
+    out = docs.drop(*names.values()).withColumns({names["n_words"]: F.lit(0).cast("long"), names["items"]: F.array().cast("array<string>"), names["hits"]: F.expr(f"cast(array() as {HITS})")})
     for k in range(passes):
-        # About `chars` characters reach the driver at a time, each pass holds one automaton and adds to what the last one found.
+        # About `chars` characters reach the driver at a time; each pass holds one automaton and adds to what the last one found.
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        out = out.mapInArrow(_scan(sorted((r.id, r.text) for r in own.collect()), window), SCANNED)
-    return out.drop("text").withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["to"] - h["from"]))
+        out = out.mapInArrow(_scan(sorted((r.id, r.text) for r in own.collect()), window, text, prefix), out.schema)
+    return out.withColumn(names["n_hit"], F.aggregate(names["hits"], F.lit(0).cast("long"), lambda n, h: n + h["to"] - h["from"]))

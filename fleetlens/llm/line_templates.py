@@ -60,16 +60,16 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_D
     return gone.groupBy("doc", "tx").agg(F.array_sort(F.collect_set("pos")).alias("lines"))
 
 
-def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines of recurring templates cut out of the text, and n_dropped, their number.
+def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text", name: str = "n_dropped") -> DataFrame:
+    """docs with the lines of recurring templates cut out of the text, and their number after the other columns.
 
     Every row stays, with its other columns as they are. Blank lines stay. Null texts stay null; empty ones stay empty. Each row
     counts as a document, and rows that share id and text are decided alike. A row without an id counts, and is never the one
     where a template is kept; if no document of a template has an id, all its lines go. Tied ids keep the template together. A
-    column n_dropped that was there is replaced. An empty table gives an empty result.
+    column of the number's name that was there is replaced. An empty table gives an empty result.
     """
     gone = dropped_lines(docs, leading, min_docs, min_fixed, doc_id, text).select(F.col("doc").alias("_cut_doc"), F.col("tx").alias("_cut_tx"), F.col("lines").alias("_cut"))
-    docs = docs.drop("n_dropped").withColumns({"_own_doc": F.col(doc_id).cast("long"), "_own_tx": F.xxhash64(F.col(text).cast("string"))})
+    docs = docs.drop(name).withColumns({"_own_doc": F.col(doc_id).cast("long"), "_own_tx": F.xxhash64(F.col(text).cast("string"))})
     out = docs.join(gone, F.col("_own_doc").eqNullSafe(F.col("_cut_doc")) & (F.col("_own_tx") == F.col("_cut_tx")), "left")
     # The stretches between dropped lines, so that the work follows the number of lines.
     pieces = F.split(F.col(text), "\n")
@@ -77,4 +77,4 @@ def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_
     stretches = F.transform(F.sequence(F.lit(1), F.size("_cut") + 1), lambda k: F.slice(pieces, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1))
     kept = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(stretches), "\n"))
     dropped = F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut"))
-    return out.withColumns({text: kept, "n_dropped": dropped}).drop("_own_doc", "_own_tx", "_cut_doc", "_cut_tx", "_cut")
+    return out.withColumns({text: kept, name: dropped}).drop("_own_doc", "_own_tx", "_cut_doc", "_cut_tx", "_cut")

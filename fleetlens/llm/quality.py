@@ -112,26 +112,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     return out
 
 
-def _scored(weights: np.ndarray, text: str):
+def _scored(weights: np.ndarray, text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.full(batch.num_rows, float(weights[-1]))
             for k, raw in enumerate(texts(batch.column(text))):
                 if raw is not None and len(idx := features(raw)):
                     total[k] += weights[idx].sum(dtype=np.float64) / np.sqrt(len(idx))
-            yield batch.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) after its own columns; null and empty texts have the score of the bias alone.
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with their score (0 to 1) after their own columns; null and empty texts have the score of the bias alone.
 
-    A column named score that was there already is replaced.
+    A column of that name that was there already is replaced.
     """
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_scored(weights, text), schema)
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scored(weights, text, name), schema)
 
 
 def held_out(folds: int, fold: int, doc_id: str = "doc_id") -> Column:
