@@ -23,7 +23,7 @@ from fleetlens.llm.common import LOWER, NOT_SPACE, components, gram_hashes, runs
 
 TREES, DEPTH = 20, 6
 #: Rows of a region's side that meet in one task.
-CHUNK = 2048
+CHUNK = 1024
 #: Nearest neighbours of a document that the first round confirms; the second round covers all others exactly.
 NEAREST = 2
 _SALT = np.random.default_rng(20240601)
@@ -113,30 +113,58 @@ def _adjacent(depth: int):
     return run
 
 
-def _apart(depth: int, least: float):
-    """Pairs of different components within one block of a region whose signatures agree often enough."""
+def _apart(n: int, percent: int, depth: int, least: float):
+    """Links between different components within one block of a region.
+
+    Pairs whose signatures agree often enough are compared by their whole sets here, most alike first. A link joins its two
+    components for the rest of the block, and only links that join are returned: no more of them than rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["tree", "region", "i", "j"]):
             left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
             tree, own = rows.column("tree")[0].as_py(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-            ids, comp = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
+            ids = rows.column("rep").to_numpy()
+            names, comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+            root = np.arange(len(names))
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), TREES, DEPTH)
+            raw, sets = list(texts(rows.column("text"))), [None] * len(ids)
+
+            def of(k: int) -> np.ndarray:
+                if sets[k] is None:
+                    sets[k] = shingle_set(raw[k], n)
+                return sets[k]
+
             x = np.flatnonzero(left)
             y = x if own else np.flatnonzero(~left)
-            out_a, out_b = [], []
+            link_a, link_b = [], []
             for p in x:
-                q = y[(comp[y] != comp[p]) & (ids[y] > ids[p])] if own else y[comp[y] != comp[p]]
+                q = y[(root[comp[y]] != root[comp[p]]) & ((ids[y] > ids[p]) | (not own))]
                 if not len(q):
                     continue
                 agree = sig[q] == sig[p]
-                q, agree = q[(hit := agree.mean(axis=(1, 2)) >= least)], agree[hit]
-                # Only in the first tree where the two share a prefix, so that each pair comes once.
-                q = q[np.argmax(agree[:, :, :depth].all(axis=2), axis=1) == tree]
-                out_a.append(np.minimum(ids[q], ids[p]))
-                out_b.append(np.maximum(ids[q], ids[p]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                alike = agree.mean(axis=(1, 2))
+                # Only in the first tree where the two share a prefix, so that each pair is compared once.
+                hit = (alike >= least) & (np.argmax(agree[:, :, :depth].all(axis=2), axis=1) == tree)
+                q = q[hit][np.argsort(-alike[hit], kind="stable")]
+                mine = of(p)
+                for lo, hi in ((0, 4), (4, 32), *((k, k + 256) for k in range(32, len(q), 256))):
+                    part = q[lo:hi]
+                    part = part[root[comp[part]] != root[comp[p]]]
+                    if not len(part):
+                        continue
+                    theirs = [of(k) for k in part]
+                    size = np.array([len(t) for t in theirs])
+                    flat = np.concatenate(theirs)
+                    found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1])), dtype=np.int64)
+                    for k in part[100 * both >= percent * (len(mine) + size - both)]:
+                        s, t = root[comp[p]], root[comp[k]]
+                        if s != t:
+                            root[root == max(s, t)] = min(s, t)
+                            link_a.append(int(ids[p])), link_b.append(int(ids[k]))
+            if link_a:
+                yield pa.RecordBatch.from_arrays([pa.array(link_a, pa.int64()), pa.array(link_b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -202,7 +230,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     closest = ends.withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEAREST)
     first = components(confirm(closest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
 
-    second = components(confirm(_rest(regions, first, reps, depth, percent)).join(first.select(F.col("vertex").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("vertex").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    second = components(stored(_rest(regions, first, reps, text_of, n, percent, depth), "links").join(first.select(F.col("vertex").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("vertex").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     joined = member.join(first.withColumnRenamed("vertex", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c1"))
     joined = joined.join(second.withColumnRenamed("vertex", "c1"), "c1", "left").select("doc_id", F.coalesce("component", "c1").alias("c2"))
     # Rows that share a doc_id but not their text lie in several classes; the smallest class stands for them.
@@ -211,8 +239,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest(regions: DataFrame, first: DataFrame, reps: DataFrame, depth: int, percent: int) -> DataFrame:
-    """Candidates among documents of one region that the first round left in different components.
+def _rest(regions: DataFrame, first: DataFrame, reps: DataFrame, text_of: DataFrame, n: int, percent: int, depth: int) -> DataFrame:
+    """Links among documents of one region that the first round left in different components.
 
     The region's largest component need not be compared with itself; all others meet it and each other, in blocks of bounded size.
     """
@@ -235,8 +263,8 @@ def _rest(regions: DataFrame, first: DataFrame, reps: DataFrame, depth: int, per
         )
     )
     dealt = rows.select("tree", "region", "rep", "component", F.explode(meets).alias("at")).select("tree", "region", "at.i", "at.j", "at.left", "rep", "component")
-    dealt = dealt.join(reps, "rep")
+    dealt = dealt.join(reps.join(text_of.select(F.col("doc_id").alias("rep"), "text"), "rep"), "rep")
     share = percent / 100
     least = share - 5 * math.sqrt(share * (1 - share) / (TREES * DEPTH))
     keys = ["tree", "region", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "left", "rep", "component", "sig").mapInArrow(_apart(depth, least), PAIR)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "left", "rep", "component", "sig", "text").mapInArrow(_apart(n, percent, depth, least), PAIR)
