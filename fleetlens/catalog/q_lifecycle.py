@@ -23,7 +23,7 @@ def us(column: str):
 
 @query(
     "list_tasks_b6",
-    f"{TASKS} SELECT id, capability, state, epoch_us(issued_at) AS issued_us FROM tasks WHERE capability = 'plan.execute' AND state = 'running' ORDER BY issued_at DESC, id DESC LIMIT 200",
+    f"{TASKS} SELECT id, capability, state, epoch_us(issued_at) AS issued_us FROM tasks WHERE capability = 'plan.execute' AND state = 'running' ORDER BY issued_at DESC, id DESC LIMIT 500",
 )
 def list_tasks_b6(spark, d):
     out = lc.list_tasks(b.tasks(spark, d), "plan.execute", "running", 500)

@@ -83,8 +83,10 @@ def tokens(text: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL within the first 8 KiB marks a file as binary; works on text and on raw bytes."""
-    return F.contains(F.substring(content, 1, 8192), F.lit("\x00"))
+    """A NUL within the first 8 KiB marks a file as binary; works on text."""
+    # Cut to as many characters first, so that little is encoded; then to bytes.
+    head = F.encode(F.substring(content.cast("string"), 1, 8192), "UTF-8")
+    return F.contains(F.substring(head, 1, 8192), F.lit(b"\x00"))
 
 
 def is_binary_bytes(content: Column) -> Column:

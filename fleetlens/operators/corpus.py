@@ -11,24 +11,18 @@ from pyspark.sql import functions as F
 from fleetlens.functions.text import glob_match, is_binary, quote_pattern, truncate_bytes
 from fleetlens.operators.ordered import unpack
 
-# Listing, reading and scanning limits.
-DEFAULT_LIST_ENTRIES = 1_000
-MAX_LIST_ENTRIES = 10_000
-MAX_LIST_DEPTH = 8
+# How much of a file a preview shows, and of a line a match.
 DEFAULT_PREVIEW_BYTES = 1024 * 1024
-MAX_PREVIEW_BYTES = 16 * 1024 * 1024
-MAX_SCAN_BYTES = 8 * 1024 * 1024
 MAX_LINE_BYTES = 512
 
 
 def list_inventory(
-    docs: DataFrame, path: str = "", max_depth: int = 1, max_entries: int | None = DEFAULT_LIST_ENTRIES
+    docs: DataFrame, path: str = "", max_depth: int | None = 1, max_entries: int | None = None
 ) -> DataFrame:
     """Files and folders below ``path``, breadth first, with ``truncated`` telling whether entries were left out.
 
-    ``docs``: path, size.  With ``max_entries=None`` the whole listing is returned.
+    ``docs``: path, size.  ``max_depth=None`` lists all levels, ``max_entries=None`` all entries.
     """
-    depth_cap = min(max_depth, MAX_LIST_DEPTH)
     if path:
         prefix = path.rstrip("/") + "/"
         docs = docs.filter(F.startswith("path", F.lit(prefix))).withColumn(
@@ -36,9 +30,8 @@ def list_inventory(
         )
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
     split = docs.select(parts.alias("parts"), F.col("size").cast("long").alias("size"))
-    levels = split.filter(F.size("parts") > 0).select(
-        "parts", "size", F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(depth_cap)))).alias("depth")
-    )
+    deepest = F.size("parts") if max_depth is None else F.least(F.size("parts"), F.lit(max_depth))
+    levels = split.filter(F.size("parts") > 0).select("parts", "size", F.explode(F.sequence(F.lit(1), deepest)).alias("depth"))
     entries = (
         levels.select(
             F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("entry"),
@@ -54,21 +47,19 @@ def list_inventory(
     )
     if max_entries is None:
         return entries.withColumn("truncated", F.lit(False))
-    cap = min(max_entries, MAX_LIST_ENTRIES)
-    cut = entries.agg(F.count("*") > cap).scalar()
-    return entries.orderBy("depth", "entry").limit(cap).withColumn("truncated", cut)
+    cut = entries.agg(F.count("*") > max_entries).scalar()
+    return entries.orderBy("depth", "entry").limit(max_entries).withColumn("truncated", cut)
 
 
 def preview(docs: DataFrame, max_bytes: int = DEFAULT_PREVIEW_BYTES, encoding: str = "utf8") -> DataFrame:
     """The beginning of every file as text (cut on a character boundary) or base64, with its full size."""
-    cap = min(max_bytes, MAX_PREVIEW_BYTES)
     size = F.octet_length("content").cast("long")
     if encoding == "base64":
-        shown = F.base64(F.substring(F.encode("content", "UTF-8"), 1, cap))
+        shown = F.base64(F.substring(F.encode("content", "UTF-8"), 1, max_bytes))
         # base64() breaks long output into lines; the reader wants one string.
         shown = F.regexp_replace(shown, r"\s", "")
     elif encoding == "utf8":
-        shown = truncate_bytes(F.col("content"), cap)
+        shown = truncate_bytes(F.col("content"), max_bytes)
     else:
         raise ValueError(f"unknown encoding {encoding!r}")
     return docs.select(
@@ -77,7 +68,7 @@ def preview(docs: DataFrame, max_bytes: int = DEFAULT_PREVIEW_BYTES, encoding: s
         size.alias("size_bytes"),
         F.lit(encoding).alias("encoding"),
         shown.alias("content"),
-        (size > cap).alias("truncated"),
+        (size > max_bytes).alias("truncated"),
     )
 
 
@@ -85,9 +76,10 @@ def glob_filter(df: DataFrame, column: str, glob: str, ignore_case: bool = False
     return df.filter(glob_match(F.col(column), glob, ignore_case))
 
 
-def _scannable(docs: DataFrame) -> DataFrame:
+def _scannable(docs: DataFrame, max_bytes: int | None) -> DataFrame:
     content = F.col("content")
-    return docs.filter((F.octet_length(content) <= MAX_SCAN_BYTES) & ~is_binary(content))
+    within = docs if max_bytes is None else docs.filter(F.octet_length(content) <= max_bytes)
+    return within.filter(~is_binary(content))
 
 
 def line_matcher(line: Column, pattern: str, literal: bool, ignore_case: bool) -> Column:
@@ -109,11 +101,15 @@ def grep(
     ignore_case: bool = False,
     file_glob: str | None = None,
     max_results: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Matching lines with 1-based numbers; a line is shown up to 512 bytes, cut on a character boundary."""
+    """Matching lines with 1-based numbers; a line is shown up to 512 bytes, cut on a character boundary.
+
+    ``max_results`` holds over all scopes.  ``max_bytes`` leaves out larger files, which ``grep_stats`` counts.
+    """
     if file_glob is not None:
         docs = glob_filter(docs, "path", file_glob)
-    docs = _scannable(docs).filter(F.col("content") != "")
+    docs = _scannable(docs, max_bytes).filter(F.col("content") != "")
     if literal and not ignore_case and "\n" not in pattern:
         docs = docs.filter(F.contains("content", F.lit(pattern)))
     body = F.regexp_replace("content", r"\n\z", "")
@@ -138,12 +134,13 @@ def grep_stats(
     ignore_case: bool = False,
     file_glob: str | None = None,
     max_results: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per scope: files scanned and skipped, matching lines, and whether ``max_results`` cuts them."""
     if file_glob is not None:
         docs = glob_filter(docs, "path", file_glob)
     content = F.col("content")
-    large = F.octet_length(content) > MAX_SCAN_BYTES
+    large = F.lit(False) if max_bytes is None else F.octet_length(content) > max_bytes
     binary = ~large & is_binary(content)
     body = F.regexp_replace(content, r"\n\z", "")
     hits = F.size(

@@ -66,11 +66,15 @@ def price_usage(usage: DataFrame, rates: DataFrame, overrides: DataFrame | None
 
 
 def gate_cost(results: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Keep a claimed cost only from a paid-cloud capability and only when it is a finite, non-negative number."""
-    hints = manifests.select("capability", "cost_hint").distinct()
+    """Keep a claimed cost only from a paid-cloud capability and only when it is a finite, non-negative number.
+
+    A capability that several nodes announce with different hints counts as paid if any of them says so.
+    """
+    paid = F.max(F.coalesce(F.col("cost_hint") == "cloud_paid", F.lit(False)))
+    hints = manifests.groupBy("capability").agg(paid.alias("__paid"))
     claimed = F.col("cost_usd")
-    keep = (F.col("cost_hint") == "cloud_paid") & is_finite(claimed) & (claimed >= 0)
-    return results.join(hints, "capability", "left").withColumn("cost_usd", F.when(keep, claimed)).drop("cost_hint")
+    keep = F.col("__paid") & is_finite(claimed) & (claimed >= 0)
+    return results.join(hints, "capability", "left").withColumn("cost_usd", F.when(keep, claimed)).drop("__paid")
 
 
 def cost_totals(rows: DataFrame, now: Column, days: int = 30) -> DataFrame:

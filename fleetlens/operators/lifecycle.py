@@ -13,7 +13,6 @@ IN_FLIGHT_STATES = ["dispatched", "claimed", "running"]
 
 # Listing and backlog limits, retry defaults.
 DEFAULT_LIST_LIMIT = 50
-MAX_LIST_LIMIT = 200
 MAX_BACKLOG = 1024
 MAX_ATTEMPTS = 3
 BACKOFF_INITIAL_MS = 250
@@ -22,14 +21,15 @@ BACKOFF_MAX_MS = 30_000
 
 
 def list_tasks(
-    tasks: DataFrame, capability: str | None = None, state: str | None = None, limit: int = DEFAULT_LIST_LIMIT
+    tasks: DataFrame, capability: str | None = None, state: str | None = None, limit: int | None = DEFAULT_LIST_LIMIT
 ) -> DataFrame:
-    """Newest tasks first; the limit is clamped to 1..200."""
+    """Newest tasks first; ``limit=None`` lists them all."""
     if capability is not None:
         tasks = tasks.filter(F.col("capability") == capability)
     if state is not None:
         tasks = tasks.filter(F.col("state") == state)
-    return tasks.orderBy(F.desc("issued_at"), F.desc("id")).limit(min(max(limit, 1), MAX_LIST_LIMIT))
+    ordered = tasks.orderBy(F.desc("issued_at"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def list_by_state_assigned(tasks: DataFrame, state: str, node: str | None) -> DataFrame:

@@ -16,7 +16,6 @@ from fleetlens.functions.text import snippet_chars
 from fleetlens.operators.ordered import RunningSum, oldest_by, ordered_scan, top_k, unpack
 
 # Bounds of a merged output and of a failure message.
-MAX_MERGE_ITEMS = 10_000
 MAX_ERRORS_IN_MESSAGE = 5
 ERROR_SNIPPET_CHARS = 160
 POLICY_LABELS = {"wait": "federated wait", "fail_fast": "federated fail-fast", "return_partial": "federated"}
@@ -34,8 +33,8 @@ def unwrap_items(contributions: DataFrame) -> DataFrame:
     return unpack(_with_items(contributions), ["request_id", "node_id"], F.col("items"), "pos", "item")
 
 
-def merge_concat(contributions: DataFrame, cap: int = MAX_MERGE_ITEMS, node_prefix: int = 6) -> DataFrame:
-    """The first ``cap`` items of each request in (node, position) order.
+def merge_concat(contributions: DataFrame, cap: int | None = None, node_prefix: int = 6) -> DataFrame:
+    """The items of each request in (node, position) order: the first ``cap`` of them, or all.
 
     Positions follow from the item counts of earlier nodes, so no items are sorted, and contributions wholly past
     the cap are dropped before they are unpacked.  ``node_prefix`` is the number of leading node-id characters
@@ -45,21 +44,21 @@ def merge_concat(contributions: DataFrame, cap: int = MAX_MERGE_ITEMS, node_pref
     counted = ordered_scan(
         sized, ["request_id"], ["node_id"], [RunningSum("through", F.col("n"))], F.substring("node_id", 1, node_prefix)
     )
-    before = counted.withColumn("before", F.col("through") - F.col("n")).filter(F.col("before") < cap)
+    before = counted.withColumn("before", F.col("through") - F.col("n"))
+    if cap is not None:
+        before = before.filter(F.col("before") < cap)
     items = unpack(before, ["request_id", "node_id", "before"], F.col("items"), "pos", "item")
-    numbered = items.withColumn("item_no", F.col("before") + F.col("pos") + 1).filter(F.col("item_no") <= cap)
+    numbered = items.withColumn("item_no", F.col("before") + F.col("pos") + 1)
+    if cap is not None:
+        numbered = numbered.filter(F.col("item_no") <= cap)
     return numbered.select("request_id", "item_no", "node_id", "pos", "item")
 
 
-def merge_accounting(contributions: DataFrame, cap: int = MAX_MERGE_ITEMS) -> DataFrame:
+def merge_accounting(contributions: DataFrame, cap: int | None = None) -> DataFrame:
     """Per request: items contributed, surfaced and truncated by a concat of at most ``cap``."""
     counts = _with_items(contributions).groupBy("request_id").agg(F.sum(F.size("items")).alias("contributed"))
-    return counts.select(
-        "request_id",
-        "contributed",
-        F.least("contributed", F.lit(cap).cast("long")).alias("surfaced"),
-        F.greatest(F.col("contributed") - cap, F.lit(0).cast("long")).alias("truncated"),
-    )
+    surfaced = F.col("contributed") if cap is None else F.least("contributed", F.lit(cap).cast("long"))
+    return counts.select("request_id", "contributed", surfaced.alias("surfaced"), (F.col("contributed") - surfaced).alias("truncated"))
 
 
 def merge_dedupe(items: DataFrame, key: str) -> DataFrame:

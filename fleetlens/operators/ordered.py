@@ -110,7 +110,7 @@ def _combined(scan: Scan, local: Column, carry: Column) -> Column:
 def ordered_scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan], bucket: Column | None = None
 ) -> DataFrame:
-    """Add one column per scan.  ``order`` is ascending and total within a key; keys must not be NULL.
+    """Add one column per scan.  ``order`` is ascending and total within a key; NULLs come first and form keys of their own.
 
     Without ``bucket`` the plain window is used: right for keys whose groups have a small proven bound.
     """
@@ -130,7 +130,11 @@ def ordered_scan(
     carry = summary.select(
         *keys, _BUCKET, *[_carry(s, F.col(f"__s_{s.name}"), across).alias(f"__c_{s.name}") for s in scans]
     )
-    joined = local.join(carry, [*keys, _BUCKET])
+    # Null-safe, so that rows without a key or an order value keep their place: the first of their key.
+    named = [*keys, _BUCKET]
+    other = carry.select(*[F.col(c).alias(f"__k_{c}") for c in named], *[f"__c_{s.name}" for s in scans])
+    same = [local[c].eqNullSafe(other[f"__k_{c}"]) for c in named]
+    joined = local.join(other, same)
     return joined.select(
         *df.columns,
         *[_combined(s, F.col(f"__l_{s.name}"), F.col(f"__c_{s.name}")).alias(s.name) for s in scans],

@@ -91,15 +91,17 @@ def classify_pins(heads: DataFrame, held: DataFrame) -> DataFrame:
     return judged.unionByName(rejected)
 
 
-def validate_ingest(rows: DataFrame, targets: DataFrame, local_node: str, now_ms: int) -> DataFrame:
+def validate_ingest(
+    rows: DataFrame, targets: DataFrame, local_node: str, now_ms: int, max_rows: int = MAX_BATCH_ROWS
+) -> DataFrame:
     """The reason each offered row is refused (NULL when it is fine), in fixed precedence.
 
-    ``rows``: batch_id plus the audit columns.  ``targets``: batch_id, target_seq.  A batch over the row limit is
+    ``rows``: batch_id plus the audit columns.  ``targets``: batch_id, target_seq.  A batch over ``max_rows`` is
     refused as a whole before any ordering, which bounds every ordered group by that limit.
     """
     sizes = rows.groupBy("batch_id").agg(F.count("*").alias("n"))
     judged = rows.join(sizes, "batch_id").join(targets.select("batch_id", "target_seq"), "batch_id", "left")
-    whole = F.when(F.col("node_id") == local_node, "own_chain").when(F.col("n") > MAX_BATCH_ROWS, "too_many")
+    whole = F.when(F.col("node_id") == local_node, "own_chain").when(F.col("n") > max_rows, "too_many")
     judged = judged.withColumns({"whole": whole, "computed": computed_hash(judged)})
     refused = judged.filter(F.col("whole").isNotNull()).select("batch_id", "node_id", "seq", F.col("whole").alias("reason"))
     inside = ordered_scan(

@@ -20,11 +20,23 @@ _RULE_TYPE = (
 )
 
 
+# Several entries for one node: the first of these levels among them holds, then any other by name.
+TRUST_PRECEDENCE = ("untrusted", "default", "trusted")
+
+
+def _strictest(level: Column) -> Column:
+    rank = F.array_position(F.array(*[F.lit(x) for x in TRUST_PRECEDENCE]), level)
+    return F.min_by(level, F.struct(F.when(rank > 0, rank).otherwise(len(TRUST_PRECEDENCE) + 1), level))
+
+
 def resolve_trust(requests: DataFrame, trust: DataFrame) -> DataFrame:
-    """Trust level of each request: an exact node entry beats ``*``, which beats the default."""
-    exact = trust.filter(F.col("node") != "*").select("kind", F.col("node").alias("from_node"), F.col("level").alias("own"))
+    """Trust level of each request: an exact node entry beats ``*``, which beats the default.
+
+    Of several entries for the same node or for ``*`` the strictest holds.
+    """
+    exact = trust.filter(F.col("node") != "*").groupBy("kind", F.col("node").alias("from_node")).agg(_strictest(F.col("level")).alias("own"))
     # One row per request kind at most, hence small enough to broadcast whatever the trust table holds.
-    star = trust.filter(F.col("node") == "*").groupBy("kind").agg(F.max("level").alias("any"))
+    star = trust.filter(F.col("node") == "*").groupBy("kind").agg(_strictest(F.col("level")).alias("any"))
     joined = requests.join(exact, ["kind", "from_node"], "left").join(F.broadcast(star), "kind", "left")
     return joined.withColumn("trust", F.coalesce("own", "any", F.lit("default"))).drop("own", "any")
 

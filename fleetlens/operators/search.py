@@ -18,12 +18,9 @@ K1 = 1.2
 B = 0.75
 MIN_IDF = 1e-6
 
-# Index, search and fan-out limits.
-MAX_INDEX_BYTES = 4 * 1024 * 1024
+# How many results and targets there are where none is asked for.
 DEFAULT_LIMIT = 20
-MAX_LIMIT = 100
 FEDERATED_DEFAULT_LIMIT = 50
-FEDERATED_MAX_LIMIT = 1000
 MAX_FANOUT_TARGETS = 64
 MAX_QUERY_PAGE = 512
 
@@ -35,16 +32,25 @@ class Index(NamedTuple):
     corpus: DataFrame
 
 
-def indexable(docs: DataFrame) -> DataFrame:
-    return docs.filter((F.octet_length("content") <= MAX_INDEX_BYTES) & ~is_binary(F.col("content")))
+def indexable(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    within = docs if max_bytes is None else docs.filter(F.octet_length("content") <= max_bytes)
+    return within.filter(~is_binary(F.col("content")))
 
 
-def build_index(docs: DataFrame) -> Index:
+def index_skips(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Per scope how many documents an index leaves out because they are binary or too large."""
+    large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
+    return docs.groupBy("scope").agg(
+        F.count_if(large).alias("too_large"), F.count_if(~large & is_binary(F.col("content"))).alias("binary")
+    )
+
+
+def build_index(docs: DataFrame, max_bytes: int | None = None) -> Index:
     """Postings with document lengths, and corpus statistics per scope.
 
     All tokens of a document sit in one task, so the partial aggregation sends one row per distinct term.
     """
-    tokenized = indexable(docs).select("scope", "path", tokens(F.col("content")).alias("tokens"))
+    tokenized = indexable(docs, max_bytes).select("scope", "path", tokens(F.col("content")).alias("tokens"))
     sized = tokenized.withColumn("dl", F.size("tokens").cast("long"))
     exploded = unpack(sized, ["scope", "path", "dl"], F.col("tokens"), "term")
     postings = exploded.groupBy("scope", "path", "dl", "term").agg(F.count("*").alias("tf"))
@@ -98,8 +104,11 @@ def search(
     prefix: bool = False,
     limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Documents ranked by BM25 within their scope's corpus.  ``limit=None`` returns every hit."""
-    wanted = [t.lower() for t in dict.fromkeys(terms)]
+    """Documents ranked by BM25 within their scope's corpus.  ``limit=None`` returns every hit.
+
+    Terms are cut into words as texts are, so case and repetition do not matter and ``foo-bar`` asks for both words.
+    """
+    wanted = _words_of(terms)
     if not wanted:
         raise ValueError("search needs at least one term")
     postings = index.postings
@@ -110,7 +119,7 @@ def search(
         near = postings.filter(F.col("term").isin(*wanted)).withColumn("q", F.col("term"))
     per_doc = near.groupBy("scope", "path", "dl", "q").agg(F.sum("tf").alias("tf"))
     if not_terms:
-        banned = postings.filter(F.col("term").isin(*[t.lower() for t in not_terms])).select("scope", "path").distinct()
+        banned = postings.filter(F.col("term").isin(*_words_of(not_terms))).select("scope", "path").distinct()
         allowed = per_doc.join(banned, ["scope", "path"], "left_anti")
     else:
         allowed = per_doc
@@ -127,15 +136,15 @@ def search(
     hits = hits.select("scope", "path", "score")
     if limit is None:
         return hits
-    return hits.orderBy(F.desc("score"), "scope", "path").limit(min(max(limit, 1), MAX_LIMIT))
+    return hits.orderBy(F.desc("score"), "scope", "path").limit(limit)
 
 
-def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMIT, max_bytes: int | None = None) -> DataFrame:
     """Documents holding the words of ``phrase`` in a row, ranked by BM25 of the phrase."""
     words = _split_words(phrase)
     if not words:
         raise ValueError("empty phrase")
-    tokenized = indexable(docs).select("scope", "path", tokens(F.col("content")).alias("tokens"))
+    tokenized = indexable(docs, max_bytes).select("scope", "path", tokens(F.col("content")).alias("tokens"))
     sized = tokenized.withColumn("dl", F.size("tokens").cast("long"))
     joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
     # A look-ahead consumes nothing, so overlapping occurrences are all counted.
@@ -149,7 +158,11 @@ def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMI
     out = hits.select("scope", "path", F.col("tf").cast("long").alias("occurrences"), score.alias("score"))
     if limit is None:
         return out
-    return out.orderBy(F.desc("score"), "scope", "path").limit(min(max(limit, 1), MAX_LIMIT))
+    return out.orderBy(F.desc("score"), "scope", "path").limit(limit)
+
+
+def _words_of(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(w for t in terms for w in _split_words(t)))
 
 
 def _split_words(text: str) -> list[str]:
@@ -191,29 +204,33 @@ def snippet(hits: DataFrame, terms: Sequence[str], width: int = 12) -> DataFrame
     return placed.withColumn("snippet", text).drop("__words", "__hit", "__start", "content")
 
 
-def federated_search(hits: DataFrame, limit: int = FEDERATED_DEFAULT_LIMIT) -> DataFrame:
+def federated_search(hits: DataFrame, limit: int | None = FEDERATED_DEFAULT_LIMIT) -> DataFrame:
     """The best hits over all scopes.  ``hits``: node_id, scope, path, score.
 
     Each scope is cut to ``limit`` first, on the map side, so the global sort sees limit x scopes rows at most.
+    ``limit=None`` returns them all.
     """
-    n = min(max(limit, 1), FEDERATED_MAX_LIMIT)
+    if limit is None:
+        return hits
     ordering = [F.desc("score"), F.asc("path")]
-    local = top_k(hits, ["node_id", "scope"], ordering, n).drop("rank")
-    return local.orderBy(F.desc("score"), "node_id", "scope", "path").limit(n)
+    local = top_k(hits, ["node_id", "scope"], ordering, limit).drop("rank")
+    return local.orderBy(F.desc("score"), "node_id", "scope", "path").limit(limit)
 
 
 def federated_grep(matches: DataFrame, limit: int = 100) -> DataFrame:
     """The first ``limit`` matches of every (node, scope) in walk order, each with its origin."""
-    return top_k(matches, ["node_id", "scope"], walk_order(), min(max(limit, 1), 1000), rank="match_no")
+    return top_k(matches, ["node_id", "scope"], walk_order(), limit, rank="match_no")
 
 
 def fanout_pairs(
-    manifests: DataFrame, live: DataFrame, capability: str, self_node: str, cap: int = MAX_FANOUT_TARGETS
+    manifests: DataFrame, live: DataFrame, capability: str, self_node: str, cap: int | None = MAX_FANOUT_TARGETS
 ) -> DataFrame:
     """(node, scope) targets of a fan-out over live nodes that offer ``capability``, own node first, and how many
     pairs the cap left out."""
     able = manifests.filter(F.array_contains("capabilities", capability)).join(live.select("node_id"), "node_id", "left_semi")
     pairs = able.select("node_id", F.explode("scopes").alias("scope"))
+    if cap is None:
+        return pairs.withColumn("truncated_targets", F.lit(0).cast("long"))
     left_out = pairs.agg(F.greatest(F.count("*") - cap, F.lit(0))).scalar()
     first = pairs.orderBy((F.col("node_id") != self_node).cast("int"), "node_id", "scope").limit(cap)
     return first.withColumn("truncated_targets", left_out)

@@ -259,11 +259,9 @@ def pause_latch(depths: DataFrame, max_depth: float, resume_depth: float) -> Dat
 def dedup_deliveries(messages: DataFrame) -> DataFrame:
     """First delivery per message id; a message without an id is never a duplicate."""
     no_id = F.coalesce("message_id", F.lit("")) == ""
-    own = F.when(no_id, F.col("arrival"))
-    keyed = messages.withColumns({"__id": F.when(~no_id, F.col("message_id")), "__own": own})
-    rest = [c for c in messages.columns]
-    first = keyed.groupBy("__id", "__own").agg(F.min_by(F.struct(*rest), F.col("arrival")).alias("row"))
-    return first.select("row.*")
+    named = messages.filter(~no_id).withColumn("__id", F.col("message_id"))
+    first = named.groupBy("__id").agg(F.min_by(F.struct(*messages.columns), F.col("arrival")).alias("row"))
+    return first.select("row.*").unionByName(messages.filter(no_id))
 
 
 def failure_streaks(outcomes: DataFrame) -> DataFrame:

@@ -1,22 +1,19 @@
 """Plan graphs.
 
-``nodes``: plan_id, node_id, capability, input.  ``edges``: plan_id, from_id, to_id (from depends on to).  A plan
-holds at most ``MAX_PLAN_STEPS`` steps.  Larger ones are refused before anything is collected per plan, so a plan's
-graph always fits one row; all plans are then worked on in one pass instead of one join per layer.
+``nodes``: plan_id, node_id, capability, input.  ``edges``: plan_id, from_id, to_id (from depends on to).  Plans have
+any number of steps: layers and cascades advance by joins over all plans at once, one round per layer, so the rounds
+follow the deepest plan and no plan is gathered in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordered import top_k
 from fleetlens.plans.refs import with_output_refs
+from fleetlens.session import cut_lineage
 
-# Fixed value: steps a plan may have.
+# Fixed value: steps that a plan may have to be accepted; an argument of ``validate_plans`` only.
 MAX_PLAN_STEPS = 64
 
 
@@ -39,69 +36,31 @@ def dangling_refs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lost.select("plan_id", "from_id", "to_id", "missing")
 
 
-def _graphs(nodes: DataFrame, edges: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per plan within the size limit: its steps and the ends of its distinct edges between known steps.
-
-    Of a plan that is too large only one step more than the limit is looked at: the rank is cut on the map side.
-    """
-    columns = ["node_id", *extra]
-    steps = nodes.groupBy("plan_id", "node_id").agg(*[F.min(c).alias(c) for c in extra]) if extra else _steps(nodes)
-    some = top_k(steps, ["plan_id"], [F.asc("node_id")], MAX_PLAN_STEPS + 1)
-    lists = some.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("s"))
-    small = lists.filter(F.size("s") <= MAX_PLAN_STEPS)
-    # Ends are checked against the plan's own list, so at most limit x limit edges are kept per plan.
-    joined = small.join(edges.select("plan_id", "from_id", "to_id"), "plan_id", "left")
-    ids = F.col("s.node_id")
-    inner = F.array_contains(ids, F.col("from_id")) & F.array_contains(ids, F.col("to_id"))
-    grouped = joined.groupBy("plan_id").agg(
-        F.any_value("s").alias("s"), F.collect_set(F.when(inner, F.struct("from_id", "to_id"))).alias("e")
-    )
-    return grouped.select(
-        "plan_id",
-        *[F.col(f"s.{c}").alias(c) for c in columns],
-        F.col("e.from_id").alias("from_id"),
-        F.col("e.to_id").alias("to_id"),
-    )
-
-
-def _edge_pairs(row) -> list[tuple[str, str]]:
-    return list(zip(row.from_id, row.to_id))
-
-
-def layers_of(ids: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """Layer of every step that can be placed; steps on or behind a cycle are missing."""
-    waiting = {i: 0 for i in ids}
-    dependents: dict[str, list[str]] = {i: [] for i in ids}
-    for source, target in pairs:
-        waiting[source] += 1
-        dependents[target].append(source)
-    placed: dict[str, int] = {}
-    frontier, layer = [i for i in ids if waiting[i] == 0], 0
-    while frontier:
-        following = []
-        for i in frontier:
-            placed[i] = layer
-            for d in dependents[i]:
-                waiting[d] -= 1
-                if waiting[d] == 0:
-                    following.append(d)
-        frontier, layer = following, layer + 1
-    return placed
-
-
 def topo_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Layer of every step (0: depends on nothing); ``cycle`` marks steps that cannot be placed."""
+    """Layer of every step (0: depends on nothing); ``cycle`` marks steps that cannot be placed.
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                placed = layers_of(list(row.node_id), _edge_pairs(row))
-                out += [(row.plan_id, i, placed.get(i), i not in placed) for i in row.node_id]
-            frame = pd.DataFrame(out, columns=["plan_id", "node_id", "layer", "cycle"])
-            yield frame.astype({"layer": "Int64"})
-
-    return _graphs(nodes, edges).mapInPandas(place, "plan_id string, node_id string, layer long, cycle boolean")
+    Steps are placed in rounds: those none of whose dependencies is still open.  What stays open when nothing more can
+    be placed lies on or behind a cycle.
+    """
+    key = ["plan_id", "node_id"]
+    steps = _steps(nodes)
+    inner = edges.select("plan_id", "from_id", "to_id").distinct()
+    for end in ("from_id", "to_id"):
+        inner = inner.join(steps.withColumnRenamed("node_id", end), ["plan_id", end], "left_semi")
+    waits = inner.groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("open"))
+    inner = cut_lineage(inner)
+    # ``open`` counts the dependencies that are not placed yet; a step is placed in the round after it reaches 0.
+    state = steps.join(waits, key, "left").select(*key, F.coalesce("open", F.lit(0)).alias("open"))
+    state = cut_lineage(state.withColumn("layer", F.when(F.col("open") == 0, F.lit(0).cast("long"))))
+    layer = 0
+    while state.filter(F.col("layer") == layer).limit(1).count():
+        placed = state.filter(F.col("layer") == layer).select("plan_id", F.col("node_id").alias("to_id"))
+        freed = inner.join(placed, ["plan_id", "to_id"]).groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("freed"))
+        left = F.col("open") - F.coalesce("freed", F.lit(0))
+        layer += 1
+        reached = F.coalesce("layer", F.when((left == 0) & F.col("freed").isNotNull(), F.lit(layer).cast("long")))
+        state = cut_lineage(state.join(freed, key, "left").select(*key, left.alias("open"), reached.alias("layer")))
+    return state.select(*key, "layer", F.col("layer").isNull().alias("cycle"))
 
 
 def ready_steps(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -112,39 +71,34 @@ def ready_steps(edges: DataFrame, states: DataFrame) -> DataFrame:
     return waiting.join(blocked, ["plan_id", "node_id"], "left_anti")
 
 
-def cascade(states: dict[str, str], pairs: list[tuple[str, str]]) -> set[str]:
-    """Waiting steps that depend, through waiting steps, on a failed or timed-out one."""
-    dependents: dict[str, list[str]] = {}
-    for source, target in pairs:
-        dependents.setdefault(target, []).append(source)
-    skipped: set[str] = set()
-    stack = [i for i, s in states.items() if s in ("failed", "timed_out")]
-    while stack:
-        for d in dependents.get(stack.pop(), []):
-            if states.get(d) == "waiting" and d not in skipped:
-                skipped.add(d)
-                stack.append(d)
-    return skipped
-
-
 def skip_cascade(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """Steps that will never run because something they depend on failed; settled steps stay as they are."""
-    broken = states.filter(F.col("state").isin("failed", "timed_out")).select("plan_id").distinct()
-    affected = states.select("plan_id", "node_id", "state").join(broken, "plan_id", "left_semi")
+    """Steps that will never run because something they depend on failed; settled steps stay as they are.
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                hit = cascade(dict(zip(row.node_id, row.state)), _edge_pairs(row))
-                out += [(row.plan_id, i) for i in sorted(hit)]
-            yield pd.DataFrame(out, columns=["plan_id", "node_id"])
-
-    return _graphs(affected, edges, ["state"]).mapInPandas(spread, "plan_id string, node_id string")
+    Each round moves one dependency further from the failed steps, through waiting steps only.
+    """
+    key = ["plan_id", "node_id"]
+    broken = states.filter(F.col("state").isin("failed", "timed_out")).select(*key).distinct()
+    affected = edges.select("plan_id", "from_id", "to_id").distinct().join(broken.select("plan_id").distinct(), "plan_id", "left_semi")
+    waiting = states.filter(F.col("state") == "waiting").select("plan_id", F.col("node_id").alias("from_id")).distinct()
+    # Only edges that a skip can travel along: from the step that waits to what it waits for.
+    live = cut_lineage(affected.join(waiting, ["plan_id", "from_id"], "left_semi"))
+    skipped, front = None, broken
+    while True:
+        reached = live.join(front.withColumnRenamed("node_id", "to_id"), ["plan_id", "to_id"], "left_semi")
+        reached = reached.select("plan_id", F.col("from_id").alias("node_id")).distinct()
+        front = cut_lineage(reached if skipped is None else reached.join(skipped, key, "left_anti"))
+        if not front.limit(1).count():
+            return front if skipped is None else skipped
+        skipped = front if skipped is None else skipped.unionByName(front)
 
 
 def validate_plans(
-    plans: DataFrame, nodes: DataFrame, edges: DataFrame, capabilities: DataFrame, required: DataFrame | None = None
+    plans: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    capabilities: DataFrame,
+    required: DataFrame | None = None,
+    max_steps: int = MAX_PLAN_STEPS,
 ) -> DataFrame:
     """Every reason a plan is not acceptable: plan_id, reason, detail.
 
@@ -155,7 +109,7 @@ def validate_plans(
     of_plan = _listed(
         [
             (F.col("steps").isNull(), "empty", F.lit("")),
-            (F.col("steps") > MAX_PLAN_STEPS, "too_large", F.col("steps").cast("string")),
+            (F.col("steps") > max_steps, "too_large", F.col("steps").cast("string")),
             (F.col("estimated_usd") > F.col("max_cost_usd"), "cost_exceeded", F.lit("")),
             (F.col("estimated_usd") > F.col("budget_usd"), "budget_inconsistent", F.lit("")),
         ]
