@@ -331,18 +331,17 @@ def breaker(outcomes: DataFrame, threshold: int = BENCH_THRESHOLD, bench_ms: int
     )
 
 
-def fold_leader(state: tuple[str | None, str | None, int | None], tick_ms: int, candidates, window_ms: int, penalty: int):
-    """One election tick.  State: last leader, demoted node, when it was demoted."""
-    leader, demoted, demoted_at = state
-    punished = demoted if demoted_at is not None and tick_ms - demoted_at < window_ms else None
-    ranked = sorted((-(s - penalty if n == punished else s), n) for n, s in candidates)
-    score, winner = -ranked[0][0], ranked[0][1]
-    changed = winner != leader
-    if changed:
-        if leader is not None:
-            demoted, demoted_at = leader, tick_ms
-        leader = winner
-    return (leader, demoted, demoted_at), winner, score, changed
+def next_leader(standing: tuple[str | None, str | None, int], tick_ms: int, scores: dict[str, int], window_ms: int, penalty: int):
+    """Who leads after a tick: the new standing, the winner and its counted score.
+
+    A standing is the leader, the node that led before it, and until when that one counts ``penalty`` less.
+    """
+    leads, fallen, until = standing
+    counted = {node: score - penalty * (node == fallen and tick_ms < until) for node, score in scores.items()}
+    winner = min(counted, key=lambda node: (-counted[node], node))
+    if winner != leads:
+        standing = (winner, fallen, until) if leads is None else (winner, leads, tick_ms + window_ms)
+    return standing, winner, counted[winner]
 
 
 def leader_with_antiflap(
@@ -395,11 +394,12 @@ def leader_with_antiflap(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                state = (row.entering, None, None)
+                standing = (row.entering, None, 0)
                 for tick in row.ticks:
-                    options = [(c["node_id"], c["score"]) for c in (tick["first"], tick["second"]) if c is not None]
-                    state, winner, score, changed = fold_leader(state, int(tick["tick_ms"]), options, window_ms, penalty)
-                    out.append((row.observer, int(tick["tick_ms"]), winner, int(score), changed))
+                    at, led = int(tick["tick_ms"]), standing[0]
+                    scores = {c["node_id"]: int(c["score"]) for c in (tick["first"], tick["second"]) if c is not None}
+                    standing, winner, score = next_leader(standing, at, scores, window_ms, penalty)
+                    out.append((row.observer, at, winner, score, winner != led))
             yield pd.DataFrame(out, columns=["observer", "tick_ms", "leader", "score", "changed"])
 
     return grouped.mapInPandas(fold, "observer string, tick_ms long, leader string, score long, changed boolean")

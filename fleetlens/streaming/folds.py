@@ -7,6 +7,7 @@ and output rows; ``deadline`` names the event time at which ``expire`` must run
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 from typing import Any
 
@@ -15,6 +16,7 @@ from fleetlens.operators.first_record import (
     BATCH_WINDOW_MS,
     BURST_ALLOWANCE,
     DISTINCT_CAP,
+    SAMPLE_BUDGET_BYTES,
     SAMPLE_SUBJECT_BYTES,
     SAMPLE_SUBJECTS,
     SUPPRESSION_WINDOW_MS,
@@ -25,7 +27,7 @@ from fleetlens.operators.telemetry import (
     BENCH_MS,
     BENCH_THRESHOLD,
     PEER_TIMEOUT_MS,
-    fold_leader,
+    next_leader,
 )
 from fleetlens.vocab import STATES, TERMINAL_STATES
 
@@ -108,13 +110,13 @@ class AntiFlapFold(Fold):
     order = ["tick_ms"]
 
     def step(self, state, row):
-        options = [(row.first_id, int(row.first_score))]
+        standing = tuple(state.get("standing", (None, None, 0)))
+        scores = {row.first_id: int(row.first_score)}
         if isinstance(row.second_id, str):
-            options.append((row.second_id, int(row.second_score)))
-        held = (state.get("leader"), state.get("demoted"), state.get("demoted_at"))
-        held, winner, score, changed = fold_leader(held, int(row.tick_ms), options, self.window_ms, self.penalty)
-        state["leader"], state["demoted"], state["demoted_at"] = held
-        return [(int(row.tick_ms), winner, int(score), bool(changed))]
+            scores[row.second_id] = int(row.second_score)
+        after, winner, score = next_leader(standing, int(row.tick_ms), scores, self.window_ms, self.penalty)
+        state["standing"] = list(after)
+        return [(int(row.tick_ms), winner, score, winner != standing[0])]
 
 
 @dataclass
@@ -145,63 +147,77 @@ class StateChangeFold(Fold):
         return [(int(row.event_id), previous, row.state)]
 
 
+def place(state: State, at_ms: int, width_ms: int) -> int:
+    """Rows before this one in its window, which the first row not covered by the window before it opens.
+
+    The batch operators number rows in the same windows; a clock that moves back is not covered either.
+    """
+    covered = "opened" in state and 0 <= at_ms - state["opened"] < width_ms
+    state["opened"], state["rows"] = (state["opened"], state["rows"] + 1) if covered else (at_ms, 1)
+    return state["rows"] - 1
+
+
 @dataclass
 class BurstFold(Fold):
-    """The first ``allowance`` rows of a window pass; a summary of the rest follows when the window closes."""
+    """Rows numbered below ``allowance`` in their window pass; the window's end reports on the others."""
 
     window_ms: int = SUPPRESSION_WINDOW_MS
     allowance: int = BURST_ALLOWANCE
     schema = (
         "kind string, row_id long, at_ms long, subject string, suppressed_repeats long, distinct_subjects long, "
-        "distinct_subjects_capped boolean, sample_subjects array<string>"
+        "distinct_subjects_capped boolean, sample_subjects array<string>, sample_dropped_for_size int, "
+        "appended_before_suppressing long, window_ms long"
     )
     order = ["at_ms", "row_id"]
 
-    def _close(self, state):
-        w = state.pop("w", None)
-        if not w or not w["suppressed"]:
-            return []
-        return [
-            ("summary", None, w["start"] + self.window_ms, None, w["suppressed"], len(w["seen"]), w["over"], w["sample"])
-        ]
-
-    def step(self, state, row):
-        at, out = int(row.at_ms), []
-        if "w" in state and at - state["w"]["start"] >= self.window_ms:
-            out += self._close(state)
-        w = state.setdefault("w", {"start": at, "passed": 0, "suppressed": 0, "seen": [], "over": False, "sample": []})
-        if w["passed"] < self.allowance:
-            w["passed"] += 1
-            subject = row.subject if isinstance(row.subject, str) else None
-            return out + [("entry", int(row.row_id), at, subject, None, None, None, None)]
-        w["suppressed"] += 1
-        if isinstance(row.subject, str):
-            mark = hashlib.sha256(row.subject.encode()).hexdigest()[:32]
-            if mark not in w["seen"]:
-                if len(w["seen"]) >= DISTINCT_CAP:
-                    w["over"] = True
-                else:
-                    w["seen"].append(mark)
-                    if len(w["sample"]) < SAMPLE_SUBJECTS:
-                        w["sample"].append(_sample(row.subject))
-        return out
-
     def deadline(self, state):
-        return state["w"]["start"] + self.window_ms if "w" in state else None
+        return state["opened"] + self.window_ms if "opened" in state else None
 
     def expire(self, state, now_ms):
-        return self._close(state)
-
+        opened, rows, subjects = state.pop("opened"), state.pop("rows"), state.pop("subjects", {})
+        if rows <= self.allowance:
+            return []
+        kept = within_budget([s for s in subjects.values() if s is not None])
+        shown = min(SAMPLE_SUBJECTS, len(subjects))
+        totals = (rows - self.allowance, min(len(subjects), DISTINCT_CAP), len(subjects) > DISTINCT_CAP)
+        return [("summary", None, opened + self.window_ms, None, *totals, kept, shown - len(kept), self.allowance, self.window_ms)]
 
-def _sample(subject: str) -> str:
-    folded = "".join("·" if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in subject)
-    raw = folded.encode()
-    return folded if len(raw) <= SAMPLE_SUBJECT_BYTES else raw[:SAMPLE_SUBJECT_BYTES].decode(errors="ignore") + "…"
+    def step(self, state, row):
+        at = int(row.at_ms)
+        over = self.expire(state, at) if "opened" in state and at >= self.deadline(state) else []
+        subject = row.subject if isinstance(row.subject, str) else None
+        if place(state, at, self.window_ms) < self.allowance:
+            return [*over, ("entry", int(row.row_id), at, subject, *[None] * 7)]
+        # One subject more than are reported tells that there are more.
+        subjects = state.setdefault("subjects", {})
+        if subject is not None and len(subjects) <= DISTINCT_CAP:
+            mark = hashlib.sha256(subject.encode()).hexdigest()[:32]
+            subjects.setdefault(mark, shortened(subject) if len(subjects) < SAMPLE_SUBJECTS else None)
+        return over
+
+
+def shortened(subject: str) -> str:
+    """Control characters as dots; a longer text is cut on a character's edge and marked."""
+    text = "".join("·" if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in subject)
+    head = text.encode()[:SAMPLE_SUBJECT_BYTES].decode(errors="ignore")
+    return text if head == text else f"{head}…"
+
+
+def within_budget(samples: list[str]) -> list[str]:
+    """Samples that fit into a JSON list of bounded size, each tried in turn."""
+    kept, used = [], 2
+    for s in samples:
+        size = len(json.dumps(s, ensure_ascii=False).encode()) + 1
+        if used + size <= SAMPLE_BUDGET_BYTES:
+            kept.append(s)
+            used += size
+    return kept
 
 
 @dataclass
 class RateFold(Fold):
-    """In arrival order; a clock that moves backwards opens a new window."""
+    """In arrival order.  Rows numbered below ``limit`` in their window are admitted; each tells how many were not since
+    the last one that was."""
 
     limit: int = 1
     window_ms: int = 60_000
@@ -210,15 +226,10 @@ class RateFold(Fold):
 
     def step(self, state, row):
         at = int(row.at_ms)
-        start = state.get("start")
-        if start is None or at < start or at - start >= self.window_ms:
-            state["start"], state["count"] = at, 0
-        if state["count"] >= self.limit:
-            state["dropped"] = state.get("dropped", 0) + 1
-            return [(int(row.request_id), at, False, None)]
-        state["count"] += 1
-        dropped, state["dropped"] = state.get("dropped", 0), 0
-        return [(int(row.request_id), at, True, dropped)]
+        admitted = place(state, at, self.window_ms) < self.limit
+        gap = state.get("gap", 0)
+        state["gap"] = 0 if admitted else gap + 1
+        return [(int(row.request_id), at, admitted, gap if admitted else None)]
 
 
 @dataclass
