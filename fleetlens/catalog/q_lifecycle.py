@@ -63,6 +63,8 @@ def lww_latest_d14(spark, d):
 
 @query(
     "state_fingerprint_d15",
+    f"""{EVENTS} SELECT capability AS node_id, sum(('0x' || substr(sha256(concat_ws('|', task_id, state, epoch_us(at_ts)::VARCHAR, source)), 1, 15))::HUGEINT)::VARCHAR AS digest,
+    count(*) AS entries, epoch_us(max(at_ts)) AS newest_us FROM task_events GROUP BY capability""",
 )
 def state_fingerprint_d15(spark, d):
     replica = b.task_events(spark, d).withColumn("node_id", F.col("capability"))
@@ -212,7 +214,11 @@ def stage_durations_e17(spark, d):
     return lc.stage_durations(b.task_events(spark, d))
 
 
-@query("stage_percentiles_e17")
+@query(
+    "stage_percentiles_e17",
+    f"""{EVENTS}, {_STAGES}, du AS (SELECT capability, c - a AS queued_ms, r - c AS starting_ms, z - r AS running_ms FROM st)
+    SELECT capability, count(*) AS tasks, {', '.join(f"quantile_disc({s}, {q}) AS p{round(q * 100)}_{s}" for s in ('queued_ms', 'starting_ms', 'running_ms') for q in (0.5, 0.95))} FROM du GROUP BY capability""",
+)
 def stage_percentiles_e17(spark, d):
     return lc.stage_percentiles(lc.stage_durations(b.task_events(spark, d)))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetlens.catalog import bindings as b
 from fleetlens.catalog.bindings import ctes
 from fleetlens.catalog.registry import query
 from fleetlens.operators import corpus, merge, setops
+from fleetlens.session import checkpoint_dir
 from fleetlens.sources import export
 from fleetlens.sources.tables import SAMPLE, read_sample, read_table
 
@@ -32,11 +35,20 @@ def table_counts(spark, d):
     return out
 
 
-@query("read_corpus_a2")
+@query(
+    "read_corpus_a2",
+    """SELECT 'docs' AS scope, source AS folder, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content_hash, sum(strlen(text) + 1)::BIGINT AS size_bytes
+    FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""",
+)
 def read_corpus_a2(spark, d):
+    """The documents written as one text file a source, and read back as a corpus."""
     from fleetlens.sources.corpus import read_corpus
 
-    return read_corpus(spark, d, "*.parquet", scope="tables").select("scope", "path", "size_bytes")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-{uuid.uuid4().hex}"
+    docs = read_sample(spark, d, "documents").filter("text is not null and source is not null").select("doc_id", "text", "source")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.partitionBy("source").text(folder)
+    files = read_corpus(spark, folder, "*.txt", scope="docs")
+    return files.select("scope", F.regexp_extract("path", "source=([^/]*)/", 1).alias("folder"), F.sha2("content", 256).alias("content_hash"), "size_bytes")
 
 
 _PATHS = "SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, strlen(html) AS size FROM pages"

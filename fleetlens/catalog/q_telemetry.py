@@ -323,7 +323,16 @@ def _burst_rows(spark, d):
     return a.select(seq.alias("row_id"), "at_ms", "action", "actor", subject.alias("subject"))
 
 
-@query("suppress_bursts_samples_g8")
+@query(
+    "suppress_bursts_samples_g8",
+    f"""{ctes('audit', recursive=True)}, {_BURSTS}, {_first_windows("action, actor", "fl", _BURST_WINDOW)},
+    rk AS (SELECT *, row_number() OVER (PARTITION BY action, actor, w ORDER BY at_ms, row_id) AS r FROM placed),
+    gr AS (SELECT DISTINCT action, actor, w FROM rk WHERE r > 3),
+    sj AS (SELECT action, actor, w, subject, min(r) AS first FROM rk WHERE r > 3 AND subject IS NOT NULL GROUP BY ALL),
+    tx AS (SELECT *, replace(subject, chr(7), '·') AS f, row_number() OVER (PARTITION BY action, actor, w ORDER BY first) AS no FROM sj),
+    sh AS (SELECT action, actor, w, list(CASE WHEN strlen(f) <= 128 THEN f ELSE left(f, 64) || '…' END ORDER BY no) AS s FROM tx WHERE no <= 8 GROUP BY ALL)
+    SELECT action, actor, w AS window_start_ms, coalesce(to_json(s)::VARCHAR, '[]') AS samples, 0 AS sample_dropped_for_size FROM gr LEFT JOIN sh USING (action, actor, w)""",
+)
 def suppress_bursts_samples_g8(spark, d):
     out = fr.suppress_bursts(_burst_rows(spark, d), _BURST_WINDOW, 3, ["shell.denied", "shell.allowed"])
     return out.filter(F.col("kind") == "summary").select(

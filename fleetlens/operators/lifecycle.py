@@ -68,9 +68,14 @@ def lww_changes(events: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def state_fingerprint(replica: DataFrame, node: str = "node_id") -> DataFrame:
-    """Order-independent digest of each node's replica; two nodes agree iff digest and count agree."""
+    """Order-independent digest of each node's replica; two nodes agree iff digest and count agree.
+
+    The digest is the sum of the leading 60 bits of every entry's SHA-256, so repeated entries do not cancel out.
+    """
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("task_id"), F.col("state"), F.unix_micros("at"), F.col("source"))]
+    leading = F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10)
     return replica.groupBy(node).agg(
-        F.bit_xor(F.xxhash64("task_id", "state", F.unix_micros("at"), "source")).alias("digest"),
+        F.sum(leading.cast("decimal(20,0)")).cast("string").alias("digest"),
         F.count("*").alias("entries"),
         F.max("at").alias("newest"),
     )
