@@ -9,8 +9,8 @@ from fleetlens.catalog import bindings as b
 from fleetlens.catalog.q_corpus import INDEX, _search_sql
 from fleetlens.catalog.q_costs import _LIMITS, _PLANS, _STEP_ID, _plans
 from fleetlens.catalog.q_io import _folder
-from fleetlens.catalog.q_merge import ITEMS
-from fleetlens.catalog.q_placement import _REQUESTS, _requests, _trust
+from fleetlens.catalog.q_merge import _SCORED, ITEMS
+from fleetlens.catalog.q_placement import _GOALS, _REQUESTS, _requests, _trust
 from fleetlens.catalog.registry import query
 from fleetlens.operators import costs, merge, rules, search, telemetry
 from fleetlens.plans import graph
@@ -167,3 +167,57 @@ def upsert_late_batch_a7(spark, d):
     for batch in (e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0"), e.filter("event_id % 2 = 0")):
         upsert.upsert(batch, folder, ["user_id"], ["event_id"], buckets=8)
     return upsert.read_upserted(spark, folder)
+
+
+# Every request has its own policy and strategy, by the leading hexadecimal digits of a hash of its id.
+_POLICIES = """pol AS (SELECT request_id, ['wait', 'fail_fast', 'return_partial'][h % 3 + 1] AS policy, ['concat', 'dedupe', 'top_k'][h % 5 % 3 + 1] AS strategy, 3 + h % 7 AS k
+  FROM (SELECT request_id, ('0x' || substr(sha256(request_id::VARCHAR), 1, 6))::BIGINT AS h FROM (SELECT DISTINCT request_id FROM contributions)))"""
+
+
+@query(
+    "merge_requests_d6",
+    f"""{ITEMS}, {_SCORED}, {_POLICIES},
+    st AS (SELECT request_id, strategy, k, CASE WHEN policy = 'return_partial' AND ok = 0 OR policy <> 'return_partial' AND ok < nodes THEN 'failed' ELSE 'merged' END AS outcome
+      FROM (SELECT request_id, count(*) AS nodes, count(*) FILTER (status = 'ok') AS ok FROM contributions GROUP BY request_id) JOIN pol USING (request_id)),
+    it AS (SELECT s.*, json_extract(item, '$.id')::VARCHAR AS key_text, strategy, k FROM scored s JOIN st USING (request_id) WHERE outcome = 'merged'),
+    dd AS (SELECT *, row_number() OVER (PARTITION BY request_id, strategy, key_text ORDER BY node_id, pos) AS r FROM it),
+    kept AS (SELECT * FROM dd WHERE strategy <> 'dedupe' OR r = 1 OR key_text IS NULL),
+    no AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN strategy = 'top_k' THEN -score END, node_id, pos) AS item_no FROM kept)
+    SELECT request_id, outcome, st.strategy, item_no, node_id, pos, item::VARCHAR AS item FROM st LEFT JOIN (SELECT request_id, item_no, node_id, pos, item FROM no WHERE strategy <> 'top_k' OR item_no <= k) USING (request_id)""",
+)
+def merge_requests_d6(spark, d):
+    c = b.contributions(spark, d)
+    h = F.conv(F.substring(F.sha2(F.col("request_id").cast("string"), 256), 1, 6), 16, 10).cast("long")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    strategy = pick(("concat", "dedupe", "top_k"), h % 5 % 3)
+    policies = c.select("request_id").distinct().select(
+        "request_id",
+        pick(("wait", "fail_fast", "return_partial"), h % 3).alias("policy"),
+        strategy.alias("strategy"),
+        F.when(strategy == "dedupe", "id").otherwise("score").alias("field"),
+        (3 + h % 7).cast("int").alias("k"),
+    )
+    return merge.merge_requests(c, policies).withColumns({"pos": F.col("pos").cast("long"), "item": F.to_json("item")})
+
+
+@query(
+    "route_by_table_c19",
+    rf"""WITH {_GOALS}, t AS (SELECT id, regexp_replace(text, '^\s+', '') AS goal FROM g),
+    p AS (SELECT *, CASE WHEN starts_with(goal, 'search: Th') THEN 1 WHEN starts_with(goal, 'search:') THEN 2 WHEN starts_with(goal, 'fetch:') THEN 3 WHEN starts_with(goal, 'Run') THEN 4 END AS route FROM t)
+    SELECT id, CASE route WHEN 1 THEN 'matched' WHEN 2 THEN 'no_match' WHEN 3 THEN 'matched_but_unsupported' WHEN 4 THEN 'matched' ELSE 'no_match' END AS outcome,
+      CASE route WHEN 1 THEN 'search: Th' WHEN 3 THEN 'fetch:' WHEN 4 THEN 'Run' END AS prefix, CASE route WHEN 1 THEN 'find' WHEN 3 THEN 'get' WHEN 4 THEN 'go' END AS capability,
+      CASE route WHEN 1 THEN regexp_replace(goal[11:], '^\s+|\s+$', '', 'g') WHEN 4 THEN regexp_replace(goal[4:], '^\s+|\s+$', '', 'g') END AS body FROM p""",
+)
+def route_by_table_c19(spark, d):
+    """Routes of a table: overlapping prefixes, one that emits nothing, one that nobody offers."""
+    c = read_sample(spark, d, "conversations")
+    lead = {0: "  run: ", 1: "shell:", 2: "search: ", 3: "fetch:", 4: "Run:", 5: "summarize:"}
+    prefix = F.lit("")
+    for n, text in lead.items():
+        prefix = F.when(F.col("turn") % 8 == n, text).otherwise(prefix)
+    texts = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(prefix, F.col("text"), F.lit(" ")).alias("text"))
+    routes = spark.createDataFrame(
+        [(1, "search: Th", "find", True), (2, "search:", "find", False), (3, "fetch:", "get", True), (4, "Run", "go", True)],
+        "route_no int, prefix string, capability string, emits boolean",
+    )
+    return rules.route_by_prefix(texts, spark.createDataFrame([("find",), ("go",), ("other",)], "capability string"), routes)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetlens.functions import jsonfn
 from fleetlens.functions.text import snippet_chars
@@ -182,3 +183,61 @@ def failure_summary(contributions: DataFrame, policy: str = "return_partial") ->
         F.when(more > 0, F.concat(F.lit("; …and "), more.cast("string"), F.lit(" more"))).otherwise(""),
     )
     return failed.join(listed, "request_id", "left").select("request_id", "ok", "nodes", message.alias("message"))
+
+
+def settle_requests(contributions: DataFrame, policies: DataFrame) -> DataFrame:
+    """``settle`` where every request has its own policy; requests without one return what they have."""
+    counts = contributions.groupBy("request_id").agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("status") == "ok").alias("ok")
+    )
+    own = counts.join(policies.select("request_id", "policy"), "request_id", "left")
+    partial = F.coalesce("policy", F.lit("return_partial")) == "return_partial"
+    failed = F.when(partial, F.col("ok") == 0).otherwise(F.col("ok") < F.col("nodes"))
+    return own.withColumn("outcome", F.when(failed, "failed").otherwise("merged"))
+
+
+def merge_requests(contributions: DataFrame, policies: DataFrame) -> DataFrame:
+    """Merge every request by its own policy and strategy: request_id, outcome, strategy, item_no, node_id, pos, item.
+
+    ``policies``: request_id, policy (wait|fail_fast|return_partial), strategy (concat|dedupe|top_k), field (the key of
+    dedupe, the score of top_k), k.  Requests that do not settle have one row without an item; so have those without
+    items.  Items are numbered from 1: in (node, position) order, for top_k from the best.
+    """
+    settled = settle_requests(contributions, policies).select("request_id", "outcome")
+    plan = policies.select("request_id", F.coalesce("strategy", F.lit("concat")).alias("strategy"), "field", "k")
+    merged = settled.filter(F.col("outcome") == "merged").join(plan, "request_id", "left").drop("outcome")
+    live = contributions.join(merged.select("request_id"), "request_id", "left_semi")
+    items = unwrap_items(live).join(merged, "request_id").withColumn("strategy", F.coalesce("strategy", F.lit("concat")))
+    value = F.try_variant_get(F.col("item"), F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant")
+
+    # The key's JSON text is compared; items without the key are all kept.
+    keyed = items.filter(F.col("strategy") == "dedupe").withColumn("key_text", F.to_json(value))
+    own = F.when(F.col("key_text").isNull(), F.struct("node_id", "pos"))
+    rest = ["request_id", "strategy", "node_id", "pos", "item", "field", "k"]
+    first = oldest_by(keyed.withColumn("own", own).select(*rest, "key_text", "own"), ["request_id", "key_text", "own"], F.struct("node_id", "pos"))
+    in_order = items.filter(F.col("strategy") == "concat").select(*rest).unionByName(first.select(*rest))
+    numbered = ordered_scan(
+        in_order.groupBy("request_id", "node_id").agg(F.count("*").alias("n")),
+        ["request_id"],
+        ["node_id"],
+        [RunningSum("through", F.col("n"))],
+        F.substring("node_id", 1, 6),
+    ).select("request_id", "node_id", (F.col("through") - F.col("n")).alias("before"))
+    within = Window.partitionBy("request_id", "node_id").orderBy("pos")
+    in_order = in_order.withColumn("at", F.row_number().over(within)).join(numbered, ["request_id", "node_id"])
+    in_order = in_order.withColumn("item_no", (F.col("before") + F.col("at")).cast("long"))
+
+    said = items.filter(F.col("strategy") == "top_k").withColumn("said", F.to_json(value))
+    # The first character of its JSON text tells a number from a numeric string.
+    scored = said.withColumn("score", F.coalesce(F.when(F.col("said").rlike(r"^-?\d"), F.col("said").try_cast("double")), F.lit(0.0)))
+    largest = F.coalesce("k", F.lit(1))
+    salt = F.pmod(F.xxhash64("node_id", "pos"), F.lit(64))
+    best = [F.desc("score"), F.asc("node_id"), F.asc("pos")]
+    inner = Window.partitionBy("request_id", salt).orderBy(*best)
+    cut = scored.withColumn("at", F.row_number().over(inner)).filter(F.col("at") <= largest)
+    ranked = cut.withColumn("item_no", F.row_number().over(Window.partitionBy("request_id").orderBy(*best)).cast("long")).filter(F.col("item_no") <= largest)
+
+    columns = ["request_id", "item_no", "node_id", "pos", "item"]
+    found = in_order.select(*columns).unionByName(ranked.select(*columns))
+    out = settled.join(plan.select("request_id", "strategy"), "request_id", "left").join(found, "request_id", "left")
+    return out.select("request_id", "outcome", F.coalesce("strategy", F.lit("concat")).alias("strategy"), "item_no", "node_id", "pos", "item")

@@ -125,31 +125,39 @@ def evaluate_rules(
     )
 
 
-def route_by_prefix(texts: DataFrame, capabilities: DataFrame) -> DataFrame:
+def default_routes(spark) -> DataFrame:
+    """The built-in routes: route_no, prefix, capability, emits (whether a plan is produced)."""
+    rows = [(no, prefix, capability, capability == "shell.exec") for no, (prefix, capability) in enumerate(GOAL_ROUTES)]
+    return spark.createDataFrame(rows, "route_no int, prefix string, capability string, emits boolean")
+
+
+def route_by_prefix(texts: DataFrame, capabilities: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """Route goals by their prefix: no_match, matched_but_unsupported or matched, with the trimmed body.
 
-    ``texts``: id, text.  Of the routed capabilities only the shell ones produce a plan; the others say no_match.
+    ``texts``: id, text.  ``routes``: route_no, prefix, capability, emits; the first route that fits holds.  Routes that
+    do not emit say no_match where their capability is offered.  Goals meet routes by equality of their first characters.
     """
-    routed = sorted({capability for _, capability in GOAL_ROUTES})
-    # At most one row per routed capability, a fixed handful.
-    offered = {r["capability"] for r in capabilities.filter(F.col("capability").isin(*routed)).select("capability").distinct().collect()}
-    goal = F.regexp_replace("text", r"^\s+", "")
-    prefix, capability, supported = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for want, needs in reversed(GOAL_ROUTES):
-        here = F.startswith(goal, F.lit(want))
-        prefix = F.when(here, want).otherwise(prefix)
-        capability = F.when(here, needs).otherwise(capability)
-        supported = F.when(here, F.lit(needs in offered)).otherwise(supported)
-    body = F.regexp_replace(goal.substr(F.length("prefix") + 1, F.length(goal)), r"^\s+|\s+$", "")
-    marked = texts.withColumns({"prefix": prefix, "capability": capability, "supported": supported})
-    emits = F.col("supported") & (F.col("capability") == "shell.exec")
+    routes = default_routes(texts.sparkSession) if routes is None else routes
+    offered = capabilities.select("capability", F.lit(True).alias("offered")).distinct()
+    table = routes.select("route_no", "prefix", "capability", "emits").join(offered, "capability", "left")
+    # As many numbers as there are different lengths of prefixes.
+    lengths = sorted(r.n for r in routes.select(F.char_length("prefix").alias("n")).distinct().collect())
+    goals = texts.select("id", "text", F.regexp_replace("text", r"^\s+", "").alias("goal"))
+    heads = goals.select("goal", F.explode(F.array(*[F.substring("goal", 1, n) for n in lengths])).alias("prefix")) if lengths else None
+    if heads is None:
+        empty = [F.lit(None).cast("string").alias(c) for c in ("prefix", "capability", "body")]
+        return texts.select("id", F.lit("no_match").alias("outcome"), *empty)
+    row = F.struct("prefix", "capability", "emits", "offered")
+    best = heads.distinct().join(table, "prefix").groupBy("goal").agg(F.min_by(row, F.col("route_no")).alias("r"))
+    marked = goals.join(best, "goal", "left").select("id", "goal", "r.*")
     outcome = (
         F.when(F.col("prefix").isNull(), "no_match")
-        .when(~F.col("supported"), "matched_but_unsupported")
-        .when(emits, "matched")
+        .when(F.col("offered").isNull(), "matched_but_unsupported")
+        .when(F.col("emits"), "matched")
         .otherwise("no_match")
     )
-    shown = F.col("prefix").isNotNull() & (outcome != "no_match")
+    body = F.regexp_replace(F.col("goal").substr(F.char_length("prefix") + 1, F.char_length("goal")), r"^\s+|\s+$", "")
+    shown = outcome != "no_match"
     return marked.select(
         "id",
         outcome.alias("outcome"),
