@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import stored
+
 LEADING, MIN_DOCS, MIN_FIXED = 3, 6, 0.7
 VARIABLE = "<*>"
 
@@ -22,55 +24,75 @@ def masked_lines(lines: Column) -> Column:
     return F.transform(flat, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(^| )[^ 0-9]*[0-9][^ ]*", f"$1{VARIABLE}")).otherwise(x))
 
 
-def recurring_lines(lines: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
-    """(masked, first_doc): masked lines whose template recurs, and the smallest document of the template.
+def _named(masked: Column) -> list[Column]:
+    """Two hashes, of 64 and of 32 bits, that stand for a line or a template, so that its text is moved once at most."""
+    return [F.xxhash64(masked).alias("h"), F.hash(masked).alias("g")]
 
-    lines has one row (doc, masked) for each distinct masked line of a document.
-    """
-    distinct = lines.groupBy("masked").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
-    distinct = distinct.withColumn("tokens", F.split("masked", " ")).withColumn("leaf", F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, leading), " ")))
-    leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= min_docs)
-    known = distinct.join(leaves.select("leaf", "kinds"), "leaf")
+
+def _variables(masked: Column) -> Column:
+    return F.when(F.contains(masked, F.lit(VARIABLE)), F.size(F.filter(F.split(masked, " "), lambda t: t == VARIABLE))).otherwise(0)
+
+
+def line_table(docs: DataFrame, leading: int = LEADING, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, tx, pos, h, g, leaf, size, variables) for every line that is not blank, written once: all counts start here."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("tx"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
+    spread = rows.where("lines is not null").select("doc", "tx", F.posexplode(masked_lines(F.col("lines"))).alias("pos", "masked")).where("masked <> ''")
+    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    leaf = F.xxhash64(size, F.substring_index("masked", " ", leading))
+    return stored(spread.select("doc", "tx", "pos", *_named(F.col("masked")), leaf.alias("leaf"), size.alias("size"), _variables(F.col("masked")).alias("variables")), "lines")
+
+
+def recurring_lines(lines: DataFrame, docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(h, g, first_doc): the lines of line_table() whose template recurs, and the smallest document of the template."""
+    once = lines.groupBy("doc", "tx", "h", "g").agg(F.min("pos").alias("pos"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
+    kinds = once.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.min(F.struct("doc", "tx", "pos")).alias("at"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
+    kinds = stored(kinds, "kinds")
+    leaves = kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= min_docs)
+    known = stored(kinds.join(leaves.select("leaf", "kinds"), "leaf"), "known")
     # A line that comes often enough as it is has often enough each of its tokens: it is its own template.
-    often = known.where(F.col("n") >= min_docs).select("masked", F.col("masked").alias("template"), "n", "first_doc")
-    # Other leaves need the count of each token at each position; the leading tokens are the leaf's own.
-    rest = F.slice("tokens", leading + 1, F.greatest(F.size("tokens") - leading, F.lit(0)))
-    placed = known.where("kinds > 1").select("leaf", "masked", "n", F.posexplode(rest).alias("pos", "token"))
-    frequent = placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
-    rare = placed.where(F.col("n") < min_docs).join(frequent, ["leaf", "pos", "token"], "left")
-    # One group for each distinct line: as many rows as it has tokens.
-    tail = rare.groupBy("masked").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("parts"))
-    general = known.where(F.col("n") < min_docs).join(tail, "masked").select("masked", F.concat_ws(" ", F.slice("tokens", 1, leading), F.col("parts.token")).alias("template"), "n", "first_doc")
-    every = often.unionByName(general)
-    kept = F.split("template", " ")
-    recurring = every.groupBy("template").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc")).where(F.col("n") >= min_docs)
-    recurring = recurring.where(F.size(F.array_remove(kept, VARIABLE)) >= min_fixed * F.size(kept)).select("template", "first_doc")
-    return every.select("masked", "template").join(recurring, "template").select("masked", "first_doc")
+    often = known.where(F.col("n") >= min_docs).select("h", "g", F.col("h").alias("th"), F.col("g").alias("tg"), "n", "first_doc", "size", "variables")
+
+    # Other leaves need the count of each token at each position. One document lends the words of each kind of line.
+    several = known.where("kinds > 1").select(F.col("at.doc").alias("_doc"), F.col("at.tx").alias("_tx"), F.col("at.pos").alias("_pos"), "h", "g", "leaf", "n", "first_doc", "size")
+    spread = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("tx"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("pos", "line"))
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tx") == F.col("_tx")) & (F.col("pos") == F.col("_pos"))
+    # These sides grow with the corpus: the joins with the text sort and merge at every size, and nothing is broadcast.
+    words = spread.join(several.hint("merge"), same).dropDuplicates(["h", "g"]).select("h", "g", "leaf", "n", "first_doc", "size", F.element_at(masked_lines(F.array("line")), 1).alias("masked"))
+    words = stored(words.withColumn("tokens", F.split("masked", " ")).drop("masked"), "words")
+    # The leading tokens are the leaf's own and stay.
+    tail = F.slice("tokens", leading + 1, F.greatest(F.size("tokens") - leading, F.lit(0)))
+    placed = words.select("h", "g", "leaf", "n", F.posexplode(tail).alias("pos", "token")).select("h", "g", "n", "pos", F.xxhash64("leaf", "pos", "token").alias("k"))
+    frequent = placed.groupBy("k").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs).select("k", F.lit(True).alias("fixed"))
+    # One group for each rare kind of line: as many flags as it has tokens.
+    flags = placed.where(F.col("n") < min_docs).select("h", "g", "pos", "k").join(frequent, "k", "left").groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fixed", F.lit(False)).alias("fixed")))).alias("flags"))
+    shaped = words.where(F.col("n") < min_docs).join(flags, ["h", "g"]).select("h", "g", "n", "first_doc", "size", F.concat(F.slice("tokens", 1, leading), F.zip_with(tail, "flags", lambda t, f: F.when(f["fixed"], t).otherwise(VARIABLE))).alias("parts"))
+    shaped = shaped.withColumns({"template": F.array_join("parts", " "), "variables": F.size(F.filter("parts", lambda t: t == VARIABLE))})
+    general = shaped.select("h", "g", *[c.alias(n) for c, n in zip(_named(F.col("template")), ("th", "tg"))], "n", "first_doc", "size", "variables")
+    every = stored(often.unionByName(general), "templates")
+    recurring = every.groupBy("th", "tg").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first"), F.min("size").alias("size"), F.min("variables").alias("variables"))
+    recurring = recurring.where((F.col("n") >= min_docs) & (F.col("size") - F.col("variables") >= min_fixed * F.col("size")))
+    return every.select("h", "g", "th", "tg").join(recurring.select("th", "tg", F.col("first").alias("first_doc")), ["th", "tg"]).select("h", "g", "first_doc")
 
 
 def dropped_lines(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tx, lines): for each document that loses lines the ascending positions of these, from 0; tx is the hash of its text."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.split(F.col(text).cast("string"), "\n").alias("lines"), F.xxhash64(F.col(text).cast("string")).alias("tx")).where("lines is not null")
-    each = masked_lines(F.col("lines"))
-    recurring = recurring_lines(rows.select("doc", F.explode(F.array_distinct(each)).alias("masked")).where("masked <> ''"), leading, min_docs, min_fixed)
-    # From here on two hashes of 64 and 32 bits stand for a line, so that its text is not moved again.
-    name = lambda c: [F.xxhash64(c).alias("h"), F.hash(c).alias("g")]
-    spread = rows.select("doc", "tx", F.posexplode(each).alias("pos", "masked")).where("masked <> ''").select("doc", "tx", "pos", *name("masked"))
-    gone = spread.join(recurring.select(*name("masked"), "first_doc"), ["h", "g"]).where(F.col("doc").isNull() | F.col("first_doc").isNull() | (F.col("doc") != F.col("first_doc")))
-    return gone.groupBy("doc", "tx").agg(F.array_sort(F.collect_set("pos")).alias("lines"))
+    lines = line_table(docs, leading, doc_id, text)
+    recurring = recurring_lines(lines, docs, leading, min_docs, min_fixed, doc_id, text)
+    gone = lines.join(recurring, ["h", "g"]).where(F.col("doc").isNull() | F.col("first_doc").isNull() | (F.col("doc") != F.col("first_doc")))
+    return stored(gone.groupBy("doc", "tx").agg(F.array_sort(F.collect_set("pos")).alias("lines")), "dropped")
 
 
 def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text", name: str = "n_dropped") -> DataFrame:
     """docs with the lines of recurring templates cut out of the text, and their number after the other columns.
 
-    Every row stays, with its other columns as they are. Blank lines stay. Null texts stay null; empty ones stay empty. Each row
-    counts as a document, and rows that share id and text are decided alike. A row without an id counts, and is never the one
+    Every row stays, with its other columns as they are. Blank lines stay. Null texts stay null; empty ones stay empty. Rows
+    that share id and text count as one document. A row without an id counts, and is never the one
     where a template is kept; if no document of a template has an id, all its lines go. Tied ids keep the template together. A
     column of the number's name that was there is replaced. An empty table gives an empty result.
     """
     gone = dropped_lines(docs, leading, min_docs, min_fixed, doc_id, text).select(F.col("doc").alias("_cut_doc"), F.col("tx").alias("_cut_tx"), F.col("lines").alias("_cut"))
     docs = docs.drop(name).withColumns({"_own_doc": F.col(doc_id).cast("long"), "_own_tx": F.xxhash64(F.col(text).cast("string"))})
-    out = docs.join(gone, F.col("_own_doc").eqNullSafe(F.col("_cut_doc")) & (F.col("_own_tx") == F.col("_cut_tx")), "left")
+    out = docs.join(gone.hint("merge"), F.col("_own_doc").eqNullSafe(F.col("_cut_doc")) & (F.col("_own_tx") == F.col("_cut_tx")), "left")
     # The stretches between dropped lines, so that the work follows the number of lines.
     pieces = F.split(F.col(text), "\n")
     edges = F.concat(F.array(F.lit(-1)), F.col("_cut"), F.array(F.size(pieces)))
