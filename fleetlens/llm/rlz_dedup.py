@@ -30,8 +30,9 @@ ANCHOR = 5
 BUCKET_BYTES = 1 << 24
 PACK = 1 << 21
 
-PACKED = "bucket int, h binary, doc binary, at binary"
-FOUND = "doc_id long, h binary, source binary, source_at binary"
+_TYPES = {"h": np.uint64, "doc": np.int64, "tx": np.int64, "at": np.int32, "source": np.int64, "source_at": np.int32}
+PACKED = "bucket int, " + ", ".join(f"{k} binary" for k in _TYPES)
+FOUND = {"anchor": "doc_id long, h binary", "block": "doc_id long, tx long, at binary, source binary, source_at binary"}
 FACTOR = "array<struct<start:int,n_words:int,source:long,source_start:int>>"
 
 
@@ -53,17 +54,37 @@ def block_anchors(words: np.ndarray, window: int) -> np.ndarray:
     return _sliding_min(gram_hashes(words, size, seed=0x51ED270B7F4A7C15), window - size + 1)
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(bucket, kind="stable")
-    h, doc, at, bucket = h[order], doc[order], at[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    ends = [*cut[1:], len(bucket)]
+def _write(name: str, x: np.ndarray) -> bytes:
+    """Places are written as differences: in a document's order these are small, and the exchange compresses them away."""
+    return np.diff(x.astype(np.int32), prepend=np.int32(0)).tobytes() if name.endswith("at") else x.astype(_TYPES[name]).tobytes()
+
+
+def _read(name: str, x: bytes) -> np.ndarray:
+    out = np.frombuffer(x, _TYPES[name])
+    return np.cumsum(out, dtype=np.int32) if name.endswith("at") else out
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Starts and ends of the runs of equal keys in sorted rows."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    cut = np.flatnonzero(new)
+    return cut, [*cut[1:].tolist(), n]
+
+
+def _pack(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((*[columns[k] for k in ("at", "tx", "doc") if k in columns], bucket))
+    bucket, columns = bucket[order], {k: x[order] for k, x in columns.items()}
+    cut, ends = _groups([bucket])
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array([int(bucket[i]) for i in cut], pa.int32()),
-            *(pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (h, doc, at)),
+            pa.array(bucket[cut], pa.int32()),
+            *(pa.array([_write(k, columns[k][i:j]) for i, j in zip(cut, ends)] if k in columns else [None] * len(cut), pa.binary()) for k in _TYPES),
         ],
-        ["bucket", "h", "doc", "at"],
+        ["bucket", *_TYPES],
     )
 
 
@@ -75,30 +96,27 @@ def _by_hash(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _send(kind: str, h: np.ndarray, doc: np.ndarray, at: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(kind: str, h: np.ndarray, doc: np.ndarray, tx: np.ndarray, at: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each hash of this task goes to the index; the answers that the task knows itself pass beside it.
 
     Buckets from `buckets` up hold such answers: for anchors the rows that share one, for blocks those whose smallest document of
     this task is another one, with that document and place.
     """
     order, starts, group = _by_hash(h, doc)
-    h, doc, at, bucket = h[order], doc[order], at[order], bucket[order]
+    h, doc, tx, at, bucket = h[order], doc[order], tx[order], at[order], bucket[order]
     first = doc[starts][group]
     if kind == "anchor":
-        last = doc[np.concatenate((starts[1:], [len(h)])) - 1] if len(h) else doc
-        shared = (doc[starts] != last)[group] if len(h) else np.zeros(0, bool)
+        shared = np.maximum.reduceat(doc, starts) != doc[starts]
         # The index need not answer those that are shared here; it only has to know that there is one.
-        yield from _pack(h[starts], doc[starts], shared[starts].astype(np.int8), bucket[starts])
-        known = np.flatnonzero(shared)
-        source, place = doc, at
-    else:
-        yield from _pack(h[starts], doc[starts], at[starts], bucket[starts])
-        known = np.flatnonzero(doc != first)
-        source, place = first, at[starts][group]
+        yield from _pack(bucket[starts], h=h[starts], doc=doc[starts], source=shared.astype(np.int64))
+        known = np.flatnonzero(shared[group])
+        if len(known):
+            yield from _pack(buckets + bucket[known], h=h[known], doc=doc[known])
+        return
+    yield from _pack(bucket[starts], h=h[starts], doc=doc[starts], tx=tx[starts], at=at[starts])
+    known = np.flatnonzero(doc != first)
     if len(known):
-        packed = np.empty((len(known), 3), np.int64)
-        packed[:, 0], packed[:, 1], packed[:, 2] = doc[known], source[known], place[known]
-        yield from _pack(h[known], packed, np.zeros(len(known), np.int8), buckets + bucket[known])
+        yield from _pack(buckets + bucket[known], doc=doc[known], tx=tx[known], at=at[known], source=first[known], source_at=at[starts][group][known])
 
 
 def _scan(kind: str, window: int, buckets: int):
@@ -110,61 +128,61 @@ def _scan(kind: str, window: int, buckets: int):
             yield from _send(kind, *(np.concatenate(x) for x in zip(*held)), buckets)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("tx").to_numpy()
             lists = batch.column("anchors").to_pylist() if kind == "block" else [None] * len(ids)
-            for d, raw, known in zip(ids, texts(batch.column("text")), lists):
+            for d, t, raw, known in zip(ids, hashes, texts(batch.column("text")), lists):
                 words = word_hashes(raw, *word_bounds(raw, NOT_SPACE))
                 if len(words) < window:
                     continue
                 anchors = block_anchors(words, window)
                 if kind == "anchor":
-                    h, at = np.unique(anchors), np.zeros(0, np.int32)
+                    h = np.unique(anchors)
                     at, bucket = np.zeros(len(h), np.int32), h % np.uint64(buckets)
                 else:
-                    wanted = np.frombuffer(b"".join(known), np.uint64)
-                    at = np.flatnonzero(np.isin(anchors, wanted))
+                    at = np.flatnonzero(np.isin(anchors, np.frombuffer(b"".join(known), np.uint64)))
                     h, first = np.unique(block_hashes(words, window)[at], return_index=True)
                     at = at[first].astype(np.int32)
                     # An independent hash deals out the blocks: two blocks are taken for equal only if both hashes agree.
                     bucket = gram_hashes(words, window, seed=0x2545F4914F6CDD1D)[at] % np.uint64(buckets)
-                held.append((h, np.full(len(h), d, np.int64), at, bucket.astype(np.int32)))
+                held.append((h, np.full(len(h), d, np.int64), np.full(len(h), t, np.int64), at, bucket.astype(np.int32)))
                 size += len(h)
                 if size >= PACK:
                     yield from flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
     return run
 
 
-def _by_doc(doc: np.ndarray, h: np.ndarray, source: np.ndarray, place: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, h, source, place = doc[order], h[order], source[order], place[order].astype(np.int32)
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    ends = [*cut[1:], len(doc)]
-    return pa.table(
-        [pa.array(doc[cut]), *(pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (h, source, place))],
-        names=["doc_id", "h", "source", "source_at"],
-    )
+def _answers(kind: str, **columns: np.ndarray) -> pa.Table:
+    """One row for each document of the bucket with what was found for it."""
+    names = ["doc", "tx"] if kind == "block" else ["doc"]
+    order = np.lexsort(tuple(columns[k] for k in (["at", "tx", "doc"] if kind == "block" else ["doc"])))
+    columns = {k: x[order] for k, x in columns.items()}
+    cut, ends = _groups([columns[k] for k in names])
+    lists = ["at", "source", "source_at"] if kind == "block" else ["h"]
+    return pa.table([*(pa.array(columns[k][cut]) for k in names), *(pa.array([_write(k, columns[k][i:j]) for i, j in zip(cut, ends)], pa.binary()) for k in lists)], names=["doc_id", *names[1:], *lists])
 
 
 def _answer(kind: str, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
-        join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-        h = join("h", np.uint64)
+        def column(name: str) -> np.ndarray:
+            return np.concatenate([_read(name, x) for x in rows.column(name).to_pylist()])
+
         if rows.column("bucket")[0].as_py() >= buckets:
-            doc, source, place = join("doc", np.int64).reshape(-1, 3).T
-            return _by_doc(doc, h, source, place)
-        doc, at = join("doc", np.int64), join("at", np.int8 if kind == "anchor" else np.int32)
+            return _answers(kind, **{k: column(k) for k in (["doc", "tx", "at", "source", "source_at"] if kind == "block" else ["doc", "h"])})
+        h, doc = column("h"), column("doc")
         order, starts, group = _by_hash(h, doc)
-        h, doc, at = h[order], doc[order], at[order]
+        h, doc = h[order], doc[order]
         if kind == "anchor":
-            last = doc[np.concatenate((starts[1:], [len(h)])) - 1]
-            ask = np.flatnonzero(((doc[starts] != last) | np.maximum.reduceat(at, starts).astype(bool))[group] & (at == 0))
-            return _by_doc(doc[ask], h[ask], doc[ask], at[ask])
+            known = column("source")[order]
+            shared = (np.maximum.reduceat(doc, starts) != doc[starts]) | np.maximum.reduceat(known, starts).astype(bool)
+            ask = np.flatnonzero(shared[group] & (known == 0))
+            return _answers(kind, doc=doc[ask], h=h[ask])
+        tx, at = column("tx")[order], column("at")[order]
         ask = np.flatnonzero(doc != doc[starts][group])
-        return _by_doc(doc[ask], h[ask], doc[starts][group][ask], at[starts][group][ask])
+        return _answers(kind, doc=doc[ask], tx=tx[ask], at=at[ask], source=doc[starts][group][ask], source_at=at[starts][group][ask])
 
     return run
 
@@ -181,20 +199,24 @@ def _factors(where: np.ndarray, source: np.ndarray, place: np.ndarray, window: i
 
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (("h", np.uint64), ("source", np.int64), ("source_at", np.int32))
         for batch in batches:
             count, removed, kept, factors = [], [], [], []
-            found = batch.column("found").to_pylist()
-            for raw, known in zip(texts(batch.column("text")), found):
+            found, whole = batch.column("found").to_pylist(), batch.column("whole").to_pylist()
+            for raw, known, first in zip(texts(batch.column("text")), found, whole):
                 if raw is None or not known:
                     words = raw.tobytes().split() if raw is not None else []
+                    if first is not None and len(words) >= window:
+                        count.append(len(words)), removed.append(len(words)), kept.append(b"")
+                        factors.append([{"start": 0, "n_words": len(words), "source": first, "source_start": 0}])
+                        continue
                     count.append(len(words)), removed.append(0), kept.append(b" ".join(words)), factors.append([])
                     continue
                 starts, ends = word_bounds(raw, NOT_SPACE)
-                h, source, place = (np.frombuffer(b"".join(x[k] for x in known), t) for k, t in kinds)
-                order = np.lexsort((place, source, h))
-                h, source, place = h[order], source[order], place[order]
+                own, source, place = (np.concatenate([_read(k, x[k]) for x in known]) for k in ("at", "source", "source_at"))
                 blocks = block_hashes(word_hashes(raw, starts, ends), window)
+                # A block that comes several times in the document was asked for at its first place.
+                order = np.lexsort((place, source, blocks[own]))
+                h, source, place = blocks[own][order], source[order], place[order]
                 at = np.minimum(np.searchsorted(h, blocks), len(h) - 1)
                 where = np.flatnonzero(h[at] == blocks)
                 parts = _factors(where, source[at[where]], place[at[where]], window)
@@ -229,13 +251,21 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     and lose nothing. Rows that share a doc_id are one document: none of them is the other's source. An empty table gives an
     empty result. Other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // BUCKET_BYTES)
     usable = docs.where("doc_id is not null and text is not null")
 
-    anchors = usable.mapInArrow(_scan("anchor", window, buckets), PACKED).groupBy("bucket").applyInArrow(_answer("anchor", buckets), FOUND)
+    anchors = usable.mapInArrow(_scan("anchor", window, buckets), PACKED).groupBy("bucket").applyInArrow(_answer("anchor", buckets), FOUND["anchor"])
     repeated = anchors.groupBy("doc_id").agg(F.collect_list("h").alias("anchors"))
-    blocks = usable.join(repeated, "doc_id").mapInArrow(_scan("block", window, buckets), PACKED).groupBy("bucket").applyInArrow(_answer("block", buckets), FOUND)
-    found = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "source", "source_at")).alias("found"))
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_parse(window), f"doc_id long, n_words long, n_removed long, kept_text string, factors {FACTOR}")
+    # A whole text that a smaller document has too is one factor; it is nobody's first source, and its blocks stay out.
+    named = usable.select("doc_id", "tx", F.octet_length("text").alias("size"), F.hash("text").alias("h"))
+    same = ["tx", "size", "h"]
+    firsts = named.groupBy(*same).agg(F.min("doc_id").alias("whole"), F.count("*").alias("n")).where("n > 1").select(*same, "whole")
+    copies = named.join(firsts, same).where("whole < doc_id").select("doc_id", "tx", "whole").distinct()
+    wanted = named.select("doc_id", "tx").distinct().join(copies, ["doc_id", "tx"], "left_anti").join(repeated, "doc_id")
+    blocks = usable.join(wanted, ["doc_id", "tx"]).mapInArrow(_scan("block", window, buckets), PACKED).groupBy("bucket").applyInArrow(_answer("block", buckets), FOUND["block"])
+    answered = blocks.select("doc_id", "tx", F.struct("at", "source", "source_at").alias("part"), F.lit(None).cast("long").alias("whole"))
+    answered = answered.unionByName(copies.withColumn("part", F.lit(None).cast(answered.schema["part"].dataType)))
+    found = answered.groupBy("doc_id", "tx").agg(F.collect_list("part").alias("found"), F.min("whole").alias("whole"))
+    return docs.join(found, ["doc_id", "tx"], "left").select("doc_id", "text", "found", "whole").mapInArrow(_parse(window), f"doc_id long, n_words long, n_removed long, kept_text string, factors {FACTOR}")
