@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from fleetlens.llm.common import byte_set, gram_hashes, mix, stored, texts, word_hashes
 
 BITS = 18
-#: Labelled documents that a model is fitted on, at most, and the parts that are fitted side by side.
-MAX_ROWS, SHARDS, EPOCHS = 12_000, 4, 4
+#: Labelled documents that a model is fitted on, at most, those that are fitted in one part, and passes over them.
+MAX_ROWS, SHARD_ROWS, EPOCHS = 12_000, 3_000, 8
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
 _SPACE, _WORD, _MARK = 0, 1, 2
@@ -103,10 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     sample = stored(marked.orderBy("turn").limit(max_rows), "labelled")
     # At most max_rows rows of three numbers are broadcast.
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
-    rows = rows.select(F.pmod("turn", F.lit(SHARDS)).cast("int").alias("shard"), "turn", "label", "text")
+    shards = max(1, -(-sample.count() // SHARD_ROWS))
+    rows = rows.select(F.pmod("turn", F.lit(shards)).cast("int").alias("shard"), "turn", "label", "text")
     fitted = rows.mapInArrow(_featured, "shard int, turn long, label int, idx binary").groupBy("shard").applyInArrow(_fit_shard, "at int, w double")
     # One row a feature at most: 2^BITS + 1.
-    mean = fitted.groupBy("at").agg((F.sum("w") / SHARDS).alias("w")).toArrow()
+    mean = fitted.groupBy("at").agg((F.sum("w") / shards).alias("w")).toArrow()
     out = np.zeros((1 << BITS) + 1, np.float32)
     out[mean.column("at").to_numpy()] = mean.column("w").to_numpy()
     return out

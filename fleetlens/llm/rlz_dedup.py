@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import NOT_SPACE, gram_hashes, texts, word_bounds, word_hashes
+from fleetlens.llm.common import NOT_SPACE, gram_hashes, stored, texts, word_bounds, word_hashes
 
 ANCHOR = 5
 #: Bytes of text for each bucket of the exchanges, and hashes that a task packs at a time.
@@ -263,9 +263,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     same = ["tx", "size", "h"]
     firsts = named.groupBy(*same).agg(F.min("doc_id").alias("whole"), F.count("*").alias("n")).where("n > 1").select(*same, "whole")
     copies = named.join(firsts, same).where("whole < doc_id").select("doc_id", "tx", "whole").distinct()
-    wanted = named.select("doc_id", "tx").distinct().join(copies, ["doc_id", "tx"], "left_anti").join(repeated, "doc_id")
+    # Written between the exchanges, so that the files of one can go before the next begins.
+    wanted = stored(named.select("doc_id", "tx").distinct().join(copies, ["doc_id", "tx"], "left_anti").join(repeated, "doc_id"), "anchors")
     blocks = usable.join(wanted, ["doc_id", "tx"]).mapInArrow(_scan("block", window, buckets), PACKED).groupBy("bucket").applyInArrow(_answer("block", buckets), FOUND["block"])
     answered = blocks.select("doc_id", "tx", F.struct("at", "source", "source_at").alias("part"), F.lit(None).cast("long").alias("whole"))
     answered = answered.unionByName(copies.withColumn("part", F.lit(None).cast(answered.schema["part"].dataType)))
-    found = answered.groupBy("doc_id", "tx").agg(F.collect_list("part").alias("found"), F.min("whole").alias("whole"))
+    found = stored(answered.groupBy("doc_id", "tx").agg(F.collect_list("part").alias("found"), F.min("whole").alias("whole")), "factors")
     return docs.join(found, ["doc_id", "tx"], "left").select("doc_id", "text", "found", "whole").mapInArrow(_parse(window), f"doc_id long, n_words long, n_removed long, kept_text string, factors {FACTOR}")

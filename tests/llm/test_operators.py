@@ -104,6 +104,12 @@ def test_near_duplicates(spark, n, percent):
     assert minhash_forest.near_duplicates(frame(spark, []), n, percent).count() == 0
 
 
+def test_several_texts_of_one_id_have_a_defined_result(spark):
+    rows = [(1, " ".join(BASE)), (5, " ".join(EDITED)), (5, " ".join(words(9, 200))), (6, " ".join(words(9, 200)))]
+    runs = [sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(frame(spark, x), 3, 85).collect()) for x in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+
+
 def test_rest_of_a_region_is_compared_in_blocks(spark, monkeypatch):
     """Without any first round all links come from the blocks of regions, of three rows each here."""
     monkeypatch.setattr(minhash_forest, "NEAREST", 0)
