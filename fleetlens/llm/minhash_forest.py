@@ -30,7 +30,7 @@ _SALT = np.random.default_rng(20240601)
 _MUL = (_SALT.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _SALT.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)[:, None]
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
+SIGNED = "doc_id long, tx long, n_shingles long, k1 long, k2 long, sig binary"
 PAIR = "a long, b long"
 
 
@@ -69,7 +69,7 @@ def _sign(n: int):
                     k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int((s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tx"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "tx", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
@@ -191,18 +191,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
     Documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the
     smallest doc_id reachable and kept marks it. Null texts and texts without words have no shingles, are linked with nothing and
-    stay. Rows with equal sets are one class and enter the forest once. Rows sharing a doc_id count as one document. Rows with a
+    stay. Rows with equal sets are one class and enter the forest once. Rows sharing a doc_id count as one document, for which the
+    text with the smallest hash enters it. Rows with a
     null doc_id have a null component_id and stay. An empty table gives an empty result. Other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tx", F.xxhash64("text"))
     signed = stored(docs.mapInArrow(_sign(n), SIGNED), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = named.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct()
     reps = stored(
         named.join(classes, (named.k1 == classes.k1) & (named.k2 == classes.k2) & (named.n_shingles == classes.n_shingles) & (named.doc_id == classes.rep), "left_semi")
-        .select(F.col("doc_id").alias("rep"), "sig")
-        .dropDuplicates(["rep"]),
+        .groupBy(F.col("doc_id").alias("rep"))
+        .agg(F.min_by(F.struct("sig", "tx"), F.col("tx")).alias("of"))
+        .select("rep", "of.sig", "of.tx"),
         "signatures",
     )
     depth = least_depth(percent / 100)
@@ -217,8 +219,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     crowd = placed.groupBy("tree", "region").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("tree", "region")
     regions = stored(placed.join(crowd, ["tree", "region"]), "regions")
 
-    involved = regions.select("rep").distinct()
-    text_of = stored(docs.join(involved, docs.doc_id == involved.rep, "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    involved = regions.select("rep").distinct().join(reps.select("rep", F.col("tx").alias("_tx")), "rep")
+    text_of = docs.join(involved, (docs.doc_id == involved.rep) & (docs.tx == involved["_tx"]), "left_semi").select("doc_id", "text")
+    text_of = stored(text_of.dropDuplicates(["doc_id"]), "candidates")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = text_of.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -263,7 +266,7 @@ def _rest(regions: DataFrame, first: DataFrame, reps: DataFrame, text_of: DataFr
         )
     )
     dealt = rows.select("tree", "region", "rep", "component", F.explode(meets).alias("at")).select("tree", "region", "at.i", "at.j", "at.left", "rep", "component")
-    dealt = dealt.join(reps.join(text_of.select(F.col("doc_id").alias("rep"), "text"), "rep"), "rep")
+    dealt = dealt.join(reps.select("rep", "sig").join(text_of.select(F.col("doc_id").alias("rep"), "text"), "rep"), "rep")
     share = percent / 100
     least = share - 5 * math.sqrt(share * (1 - share) / (TREES * DEPTH))
     keys = ["tree", "region", "i", "j"]
