@@ -33,6 +33,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 #: Keeps products of piece probabilities in range: each piece is weighted by this to the power of its length.
 _LIFT = 24.0
+#: Sums beyond this, or below its inverse, are scaled anew.
+_FAR = 1e60
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SLOTS = 20
 
@@ -98,20 +100,32 @@ def _lattice(vocabulary: Vocabulary, codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _forward(pieces: list[np.ndarray], p: np.ndarray, size: int) -> list[np.ndarray]:
-    """Likelihood of each prefix, summed over its segmentations; p has a row for each piece and a column for each language."""
-    alpha = [np.ones((len(pieces[0]), p.shape[1]))]
+def _forward(pieces: list[np.ndarray], p: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Likelihood of each prefix, summed over its segmentations, as a factor and the logarithm of its scale.
+
+    p has a row for each piece and a column for each language. A factor that leaves the range of `_FAR` sets a new scale for its
+    word and language, which the positions that pieces still reach back to take on.
+    """
+    near = [np.ones((len(pieces[0]), p.shape[1]))]
+    alpha, scale = [near[0]], [np.zeros_like(near[0])]
     for j in range(1, size + 1):
-        total = np.zeros_like(alpha[0])
+        total = np.zeros_like(near[0])
         for k in range(1, min(j, len(pieces)) + 1):
             ids = pieces[k - 1][:, j - k]
             used = np.flatnonzero(ids)
             if len(used) * 2 > len(ids):
-                total += alpha[j - k] * p[ids]
+                total += near[-k] * p[ids]
             elif len(used):
-                total[used] += alpha[j - k][used] * p[ids[used]]
+                total[used] += near[-k][used] * p[ids[used]]
         alpha.append(total)
-    return alpha
+        scale.append(scale[-1])
+        near = [*near, total][-len(pieces) :]
+        far = (total < 1 / _FAR) | (total > _FAR)
+        if far.any():
+            by = np.where(far, total, 1.0)
+            near = [x / by for x in near]
+            alpha[-1], scale[-1] = near[-1], scale[-1] + np.log(by)
+    return alpha, scale
 
 
 def _by_size(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,7 +149,8 @@ def word_scores(vocabulary: Vocabulary, p: np.ndarray, words: list[str]) -> np.n
     out = np.zeros((len(words), p.shape[1]))
     for at, codes in _by_size(words):
         size = codes.shape[1]
-        out[at] = np.log(_forward(_lattice(vocabulary, codes), p, size)[-1]) - size * np.log(_LIFT)
+        alpha, scale = _forward(_lattice(vocabulary, codes), p, size)
+        out[at] = np.log(alpha[-1]) + scale[-1] - size * np.log(_LIFT)
     return out
 
 
@@ -165,12 +180,13 @@ def _expected(vocabulary: Vocabulary, p: np.ndarray, langs: list[str]):
                 own = p[:, k : k + 1]
                 for at, codes in _by_size([words[i] for i in mine]):
                     size, pieces = codes.shape[1], _lattice(vocabulary, codes)
-                    alpha = _forward(pieces, own, size)
-                    beta = _forward([x[:, ::-1] for x in pieces], own, size)[::-1]
+                    alpha, up = _forward(pieces, own, size)
+                    beta, down = (x[::-1] for x in _forward([x[:, ::-1] for x in pieces], own, size))
                     weight = n[mine[at]] / alpha[-1][:, 0]
                     for length, ids in enumerate(pieces, 1):
                         for i in range(ids.shape[1]):
-                            np.add.at(use[:, k], ids[:, i], weight * alpha[i][:, 0] * own[ids[:, i], 0] * beta[i + length][:, 0])
+                            scale = np.exp(up[i] + down[i + length] - up[-1])[:, 0]
+                            np.add.at(use[:, k], ids[:, i], weight * alpha[i][:, 0] * own[ids[:, i], 0] * beta[i + length][:, 0] * scale)
         use[0] = 0
         piece, lang = np.nonzero(use)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(use[piece, lang])], ["piece", "lang", "use"])

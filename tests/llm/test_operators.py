@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import common, decontaminate, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, subspace_join, warc
 
@@ -219,6 +220,28 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got[0], [np.log(total("▁the", 0)), np.log(total("▁the", 1))])
 
 
+def test_long_runs_of_letters_that_no_language_uses(spark):
+    mine = {"xx": "der und nicht schule ", "yy": "the and not school "}
+    docs = spark.createDataFrame([(k, mine[x] * 2_500, x) for k in range(30) for x in mine], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    run = "\u1200" * langid.LONGEST
+    texts = [(k, f"{mine[x] * 5} {run * times}", x) for k, (x, times) in enumerate(itertools.product(mine, (1, 3)))] + [(9, run, None)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(texts, docs.schema), model).collect()}
+    assert all(got[k].lang_pred == x for k, _, x in texts if x) and all(0 < r.score <= 1 for r in got.values())
+    # The run is one more word: its letters, each on its own.
+    v = model.vocabulary
+    assert np.allclose(langid.word_scores(v, model.p, [run]), langid.word_scores(v, model.p, [""]) + langid.LONGEST * np.log(model.p[1] / langid._LIFT))
+
+
+def test_expected_uses_of_long_runs():
+    vocabulary = langid.load_vocabulary()
+    p = np.full((len(vocabulary.lengths), 1), 1e-9)
+    rows = pa.RecordBatch.from_pydict({"lang": ["xx"], "word": ["\u1200" * langid.LONGEST], "n": pa.array([2], pa.int64())})
+    (out,) = langid._expected(vocabulary, langid.lifted(vocabulary, p), ["xx"])(iter([rows]))
+    use = dict(zip(out.column("piece").to_pylist(), out.column("use").to_pylist()))
+    assert np.isclose(use[1], 2 * langid.LONGEST) and np.isclose(sum(use.values()), 2 * langid.LONGEST + 2)
+
+
 def test_packing(spark):
     r = random.Random(2)
     for _ in range(100):
