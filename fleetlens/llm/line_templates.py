@@ -44,13 +44,14 @@ def line_table(docs: DataFrame, leading: int = LEADING, doc_id: str = "doc_id",
 
 def recurring_lines(lines: DataFrame, docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, g, first_doc): the lines of line_table() whose template recurs, and the smallest document of the template."""
+    unit = F.xxhash64("doc", "tx")
     once = lines.groupBy("doc", "tx", "h", "g").agg(F.min("pos").alias("pos"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
     kinds = once.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.min(F.struct("doc", "tx", "pos")).alias("at"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
     kinds = stored(kinds, "kinds")
     leaves = kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= min_docs)
     known = stored(kinds.join(leaves.select("leaf", "kinds"), "leaf"), "known")
     # A line that comes often enough as it is has often enough each of its tokens: it is its own template.
-    often = known.where(F.col("n") >= min_docs).select("h", "g", F.col("h").alias("th"), F.col("g").alias("tg"), "n", "first_doc", "size", "variables")
+    often = known.where(F.col("n") >= min_docs).select("h", "g", F.col("h").alias("th"), F.col("g").alias("tg"), "n", "first_doc", "size", "variables", F.lit(None).cast("array<bigint>").alias("units"))
 
     # Other leaves need the count of each token at each position. One document lends the words of each kind of line.
     several = known.where("kinds > 1").select(F.col("at.doc").alias("_doc"), F.col("at.tx").alias("_tx"), F.col("at.pos").alias("_pos"), "h", "g", "leaf", "n", "first_doc", "size")
@@ -58,19 +59,24 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, leading: int = LEADING, m
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tx") == F.col("_tx")) & (F.col("pos") == F.col("_pos"))
     # These sides grow with the corpus: the joins with the text sort and merge at every size, and nothing is broadcast.
     words = spread.join(several.hint("merge"), same).dropDuplicates(["h", "g"]).select("h", "g", "leaf", "n", "first_doc", "size", F.element_at(masked_lines(F.array("line")), 1).alias("masked"))
-    words = stored(words.withColumn("tokens", F.split("masked", " ")).drop("masked"), "words")
+    # A document with several kinds of a leaf's lines supports it once, so the documents of each rare kind go along: fewer than min_docs.
+    rare = stored(lines.select("h", "g", unit.alias("unit")).join(several.where(F.col("n") < min_docs).select("h", "g").hint("merge"), ["h", "g"]), "rare")
+    units = rare.distinct().groupBy("h", "g").agg(F.collect_list("unit").alias("units"))
+    words = words.withColumn("tokens", F.split("masked", " ")).drop("masked").join(units.hint("merge"), ["h", "g"], "left")
+    words = stored(words, "words")
     # The leading tokens are the leaf's own and stay.
     tail = F.slice("tokens", leading + 1, F.greatest(F.size("tokens") - leading, F.lit(0)))
-    placed = words.select("h", "g", "leaf", "n", F.posexplode(tail).alias("pos", "token")).select("h", "g", "n", "pos", F.xxhash64("leaf", "pos", "token").alias("k"))
-    frequent = placed.groupBy("k").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs).select("k", F.lit(True).alias("fixed"))
+    placed = words.select("h", "g", "leaf", "n", "units", F.posexplode(tail).alias("pos", "token")).select("h", "g", "n", "units", "pos", F.xxhash64("leaf", "pos", "token").alias("k"))
+    support = placed.where(F.col("n") < min_docs).select("k", F.explode_outer("units").alias("unit")).groupBy("k").agg(F.count_distinct("unit").alias("support"))
+    frequent = placed.where(F.col("n") >= min_docs).select("k").union(support.where(F.col("support") >= min_docs).select("k")).distinct().withColumn("fixed", F.lit(True))
     # One group for each rare kind of line: as many flags as it has tokens.
     flags = placed.where(F.col("n") < min_docs).select("h", "g", "pos", "k").join(frequent, "k", "left").groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fixed", F.lit(False)).alias("fixed")))).alias("flags"))
-    shaped = words.where(F.col("n") < min_docs).join(flags, ["h", "g"]).select("h", "g", "n", "first_doc", "size", F.concat(F.slice("tokens", 1, leading), F.zip_with(tail, "flags", lambda t, f: F.when(f["fixed"], t).otherwise(VARIABLE))).alias("parts"))
+    shaped = words.where(F.col("n") < min_docs).join(flags, ["h", "g"]).select("h", "g", "n", "units", "first_doc", "size", F.concat(F.slice("tokens", 1, leading), F.zip_with(tail, "flags", lambda t, f: F.when(f["fixed"], t).otherwise(VARIABLE))).alias("parts"))
     shaped = shaped.withColumns({"template": F.array_join("parts", " "), "variables": F.size(F.filter("parts", lambda t: t == VARIABLE))})
-    general = shaped.select("h", "g", *[c.alias(n) for c, n in zip(_named(F.col("template")), ("th", "tg"))], "n", "first_doc", "size", "variables")
+    general = shaped.select("h", "g", *[c.alias(n) for c, n in zip(_named(F.col("template")), ("th", "tg"))], "n", "first_doc", "size", "variables", "units")
     every = stored(often.unionByName(general), "templates")
-    recurring = every.groupBy("th", "tg").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first"), F.min("size").alias("size"), F.min("variables").alias("variables"))
-    recurring = recurring.where((F.col("n") >= min_docs) & (F.col("size") - F.col("variables") >= min_fixed * F.col("size")))
+    recurring = every.withColumn("unit", F.explode_outer("units")).groupBy("th", "tg").agg(F.max("n").alias("n"), F.count_distinct("unit").alias("units"), F.min("first_doc").alias("first"), F.min("size").alias("size"), F.min("variables").alias("variables"))
+    recurring = recurring.where((F.greatest("n", "units") >= min_docs) & (F.col("size") - F.col("variables") >= min_fixed * F.col("size")))
     return every.select("h", "g", "th", "tg").join(recurring.select("th", "tg", F.col("first").alias("first_doc")), ["th", "tg"]).select("h", "g", "first_doc")
 
 

@@ -156,6 +156,19 @@ def test_line_templates(spark):
     assert line_templates.drop_templates(frame(spark, [])).count() == 0
 
 
+def test_templates_count_documents_not_kinds_of_lines(spark):
+    line = "The value of {} was seen here"
+    alone = [(1, "\n".join(line.format(x) for x in "abcdef")), (2, line.format("g"))]
+    assert [r.n_dropped for r in line_templates.drop_templates(frame(spark, alone)).collect()] == [0, 0]
+    # A token that one document repeats stays no part of the template: six documents have the rest of the line.
+    rows = [(1, "\n".join(f"Here is the {x} often told story of a man in the town of {y}" for x, y in zip("abcdef", "uvwxyz")))]
+    rows += [(k, f"Here is the {x} seldom told story of a man in the town of {y}") for k, (x, y) in enumerate(zip("ghijk", "nopqr"), 2)]
+    out = {r.doc_id: r.n_dropped for r in line_templates.drop_templates(frame(spark, rows)).collect()}
+    assert out == {1: 0} | dict.fromkeys(range(2, 7), 1)
+    out = {r.doc_id: r.n_dropped for r in line_templates.drop_templates(frame(spark, rows[:-1])).collect()}
+    assert out == dict.fromkeys(range(1, 6), 0)
+
+
 def test_benchmark(spark):
     items = [(1, "One two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (None, "other words"), (4, "..."), (5, "short ITEM")]
     bench = spark.createDataFrame(items, "item_id long, text string")
