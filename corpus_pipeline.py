@@ -22,8 +22,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates; n_chars is counted again where it is there."""
-    out = line_templates.drop_templates(docs, name="_dropped").drop("_dropped")
+    """All documents, without the lines of recurring templates; n_chars is counted again where it is there.
+
+    A template recurs across groups of near-duplicates, so that these reach the next stage whole and shrink to one there.
+    """
+    alike = minhash_forest.near_duplicates(docs, n=SHINGLE, percent=PERCENT).where("doc_id <> component_id")
+    copies = stored(alike.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("own")).distinct(), "copies")
+    out = line_templates.drop_templates(docs, name="_dropped", copies=copies).drop("_dropped")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -33,20 +33,37 @@ def _variables(masked: Column) -> Column:
     return F.when(F.contains(masked, F.lit(VARIABLE)), F.size(F.filter(F.split(masked, " "), lambda t: t == VARIABLE))).otherwise(0)
 
 
-def line_table(docs: DataFrame, leading: int = LEADING, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tx, pos, h, g, leaf, size, variables) for every line that is not blank, written once: all counts start here."""
+def _unit(own: str) -> Column:
+    """What counts once for a template: a document, or its group of copies where it has one."""
+    document = F.xxhash64("doc", "tx")
+    return document if own == "doc" else F.when(F.col(own).isNull(), document).otherwise(F.xxhash64(own))
+
+
+def line_table(docs: DataFrame, leading: int = LEADING, doc_id: str = "doc_id", text: str = "text", copies: DataFrame | None = None) -> DataFrame:
+    """(doc, tx, pos, h, g, leaf, size, variables) for every line that is not blank, written once: all counts start here.
+
+    With copies (doc, own) there is own too: the id that stands for the document's group, its own where copies has none.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("tx"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
-    spread = rows.where("lines is not null").select("doc", "tx", F.posexplode(masked_lines(F.col("lines"))).alias("pos", "masked")).where("masked <> ''")
+    keys = ["doc", "tx"]
+    if copies is not None:
+        rows = rows.join(copies.select("doc", F.col("own").alias("_own")).hint("merge"), "doc", "left").withColumn("own", F.coalesce("_own", "doc"))
+        keys = [*keys, "own"]
+    spread = rows.where("lines is not null").select(*keys, F.posexplode(masked_lines(F.col("lines"))).alias("pos", "masked")).where("masked <> ''")
     size = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
     leaf = F.xxhash64(size, F.substring_index("masked", " ", leading))
-    return stored(spread.select("doc", "tx", "pos", *_named(F.col("masked")), leaf.alias("leaf"), size.alias("size"), _variables(F.col("masked")).alias("variables")), "lines")
+    return stored(spread.select(*keys, "pos", *_named(F.col("masked")), leaf.alias("leaf"), size.alias("size"), _variables(F.col("masked")).alias("variables")), "lines")
 
 
 def recurring_lines(lines: DataFrame, docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, g, first_doc): the lines of line_table() whose template recurs, and the smallest document of the template."""
-    unit = F.xxhash64("doc", "tx")
-    once = lines.groupBy("doc", "tx", "h", "g").agg(F.min("pos").alias("pos"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
-    kinds = once.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.min(F.struct("doc", "tx", "pos")).alias("at"), *[F.min(c).alias(c) for c in ("leaf", "size", "variables")])
+    """(h, g, first_doc): the lines of line_table() whose template recurs, and the smallest document or group of the template."""
+    own = "own" if "own" in lines.columns else "doc"
+    unit, shape = _unit(own), ("leaf", "size", "variables")
+    once = lines.groupBy(*dict.fromkeys(["doc", "tx", own]), "h", "g").agg(F.min("pos").alias("pos"), *[F.min(c).alias(c) for c in shape])
+    once = once.select("h", "g", unit.alias("unit"), F.col(own).alias("first_doc"), F.struct("doc", "tx", "pos").alias("at"), *shape)
+    if own != "doc":
+        once = once.groupBy("h", "g", "unit").agg(*[F.min(c).alias(c) for c in ("first_doc", "at", *shape)])
+    kinds = once.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("first_doc", "at", *shape)])
     kinds = stored(kinds, "kinds")
     leaves = kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= min_docs)
     known = stored(kinds.join(leaves.select("leaf", "kinds"), "leaf"), "known")
@@ -80,23 +97,27 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, leading: int = LEADING, m
     return every.select("h", "g", "th", "tg").join(recurring.select("th", "tg", F.col("first").alias("first_doc")), ["th", "tg"]).select("h", "g", "first_doc")
 
 
-def dropped_lines(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text", copies: DataFrame | None = None) -> DataFrame:
     """(doc, tx, lines): for each document that loses lines the ascending positions of these, from 0; tx is the hash of its text."""
-    lines = line_table(docs, leading, doc_id, text)
+    lines = line_table(docs, leading, doc_id, text, copies)
+    own = F.col("doc" if copies is None else "own")
     recurring = recurring_lines(lines, docs, leading, min_docs, min_fixed, doc_id, text)
-    gone = lines.join(recurring, ["h", "g"]).where(F.col("doc").isNull() | F.col("first_doc").isNull() | (F.col("doc") != F.col("first_doc")))
+    gone = lines.join(recurring, ["h", "g"]).where(own.isNull() | F.col("first_doc").isNull() | (own != F.col("first_doc")))
     return stored(gone.groupBy("doc", "tx").agg(F.array_sort(F.collect_set("pos")).alias("lines")), "dropped")
 
 
-def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text", name: str = "n_dropped") -> DataFrame:
+def drop_templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, doc_id: str = "doc_id", text: str = "text", name: str = "n_dropped", copies: DataFrame | None = None) -> DataFrame:
     """docs with the lines of recurring templates cut out of the text, and their number after the other columns.
 
     Every row stays, with its other columns as they are. Blank lines stay. Null texts stay null; empty ones stay empty. Rows
     that share id and text count as one document. A row without an id counts, and is never the one
     where a template is kept; if no document of a template has an id, all its lines go. Tied ids keep the template together. A
     column of the number's name that was there is replaced. An empty table gives an empty result.
+
+    copies (doc, own) names documents that are copies, each with the smallest id of its group. A group counts as one document,
+    and all of the smallest one keep a template, so copies stay alike.
     """
-    gone = dropped_lines(docs, leading, min_docs, min_fixed, doc_id, text).select(F.col("doc").alias("_cut_doc"), F.col("tx").alias("_cut_tx"), F.col("lines").alias("_cut"))
+    gone = dropped_lines(docs, leading, min_docs, min_fixed, doc_id, text, copies).select(F.col("doc").alias("_cut_doc"), F.col("tx").alias("_cut_tx"), F.col("lines").alias("_cut"))
     docs = docs.drop(name).withColumns({"_own_doc": F.col(doc_id).cast("long"), "_own_tx": F.xxhash64(F.col(text).cast("string"))})
     out = docs.join(gone.hint("merge"), F.col("_own_doc").eqNullSafe(F.col("_cut_doc")) & (F.col("_own_tx") == F.col("_cut_tx")), "left")
     # The stretches between dropped lines, so that the work follows the number of lines.

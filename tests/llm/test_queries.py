@@ -97,3 +97,21 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if not hit(norm(r.text))}
     before, after = kept["packing"]
     assert {r.doc_id for r in before} == {r.doc_id for r in after}
+
+
+def test_pipeline_leaves_one_row_of_each_group_of_copies(spark, sf):
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    text = lambda of: [" ".join(word(of * 9_000 + k * 30 + i) for i in range(12)) for k in range(40)]
+    footer = "All rights to this footer line stay with us"
+    rows = [(100 + k, "\n".join([*text(1), footer])) for k in range(12)]
+    rows += [(200 + k, "\n".join([*text(2)[:k], f"an edited line {'abcdefgh'[k]} of this one copy", *text(2)[k + 1 :], footer])) for k in range(8)]
+    rows += [(300 + k, "\n".join([*text(3 + k), footer])) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stored(stage(spark, docs, sf), "stage")
+        if name == "near-duplicates":
+            left = {r.doc_id: r.text for r in docs.collect()}
+    assert set(left) == {100, 200, *range(300, 306)}
+    assert left[100] == rows[0][1] and left[200] == rows[12][1].removesuffix(f"\n{footer}")
+    assert {k: left[k] for k in range(300, 306)} == {300 + k: "\n".join(text(3 + k)) for k in range(6)}
+    assert {r.doc_id for r in docs.collect()} == set(left) and all(r.length for r in docs.collect())
