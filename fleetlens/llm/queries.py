@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, subspace_join, warc
+from fleetlens.llm import decontaminate, filter_audit, langid, line_templates, link_trust, minhash_forest, packing, quality, rlz_dedup, rule_ledger, spelling, subspace_join, warc
 from fleetlens.llm.common import shared_folder, table
 
 
@@ -191,6 +191,91 @@ def op10_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_ledger.apply_policies(rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), "failed")
+
+
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM words),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS block FROM starts),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, block) >= 2),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
+line_counts AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS kinds FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - kinds, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeats USING (doc_id) LEFT JOIN line_counts USING (doc_id)),
+judged AS (
+  SELECT *, (n_words < 20)::BIGINT AS r0, (100 * n_repeat_words > 30 * n_words)::BIGINT AS r1, (word_chars < 3 * n_words)::BIGINT AS r2, (word_chars > 10 * n_words)::BIGINT AS r3,
+    (10 * n_symbols > n_words)::BIGINT AS r4, (100 * n_dup_lines > 30 * n_lines)::BIGINT AS r5 FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 + r1 > 0 AS base_failed, r0 + r1 + r4 = 0 AND r2 + r3 + r5 < 2 AS kept,
+  r0 + 2 * r1 + 4 * r2 + 8 * r3 + 16 * r4 + 32 * r5 AS failed
+FROM judged
+"""
+
+
+def op12_lehmer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH text_of AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM text_of LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM judged GROUP BY part, fails),
+letter(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+fate AS (SELECT part, o, fails, n, good, toxic, list_min([strpos(o, f) FOR f IN string_split(fails, '') IF f <> '']) AS gone FROM counts, orders),
+steps AS (
+  SELECT part, o AS filter_order, s AS step, substr(o, s, 1) AS f, sum(n) FILTER (WHERE gone IS NULL OR gone > s) AS kept, sum(n) FILTER (WHERE gone = s) AS removed,
+    sum(n) FILTER (WHERE gone < s AND contains(fails, substr(o, s, 1))) AS redundant, sum(n) FILTER (WHERE fails = substr(o, s, 1)) AS unique_fails,
+    sum(good) FILTER (WHERE gone = s) AS good_lost, sum(toxic) FILTER (WHERE gone = s) AS toxic_lost
+  FROM fate, range(1, 6) AS r(s) GROUP BY part, o, s)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM steps
+"""
+
+
+def op13_letter_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc_step(k, v, turn) AS (
+  SELECT k, k::BIGINT, 0 FROM range(0, 256) AS r(k)
+  UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, turn + 1 FROM crc_step WHERE turn < 8),
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY k) AS c FROM crc_step WHERE turn = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(doc_id || ':' || run)), '..')]),
+    lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]))) AS h
+  FROM kinds, crc_table),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one AS (SELECT DISTINCT a.word AS word, b.word AS other FROM holes a JOIN words b ON a.rest = b.word),
+near AS (
+  SELECT word, other FROM one UNION SELECT other, word FROM one
+  UNION SELECT a.word, b.word FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, encode(other))) AS other, max(o.n) AS other_n FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain(word, here) AS (SELECT word, word FROM words UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = chain.here WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.here AS root FROM chain JOIN formed f ON f.word = chain.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ftrl": op1_quality_ftrl,
     "op2_line_templates": op2_line_templates,
@@ -202,6 +287,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_link_trust": op9_link_trust,
     "op10_segmentation_langid": op10_segmentation_langid,
+    "op11_rule_ledger": op11_rule_ledger,
+    "op12_lehmer_audit": op12_lehmer_audit,
+    "op13_letter_trees": op13_letter_trees,
 }
 
 ORACLES: dict[str, str] = {
@@ -211,4 +299,7 @@ ORACLES: dict[str, str] = {
     "op5_warc_dictionary": OP5_SQL,
     "op7_subspace_join": OP7_SQL,
     "op9_link_trust": _op9_sql(),
+    "op11_rule_ledger": OP11_SQL,
+    "op12_lehmer_audit": OP12_SQL,
+    "op13_letter_trees": OP13_SQL,
 }
