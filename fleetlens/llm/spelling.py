@@ -7,7 +7,8 @@ of equal vectors are no edit apart, so trees hold each vector once.
 A tree over each length is cut in cells: its upper splits are fitted on a bounded sample of vectors, and every vector is filed by
 them. A search goes down all branches whose box is near enough, and each cell is searched in a task of its own by a k-d tree over
 its own vectors. Vectors found name the letters by which two words may differ; the order of letters is verified by making that
-change at each place and looking the word up.
+change at each place and looking the word up, so that words of equal letters are not compared with each other. Words of more than
+LOOKED_UP letters, which have as many places, are compared letter by letter instead.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ NOISE, LEAST_LETTERS, LEAST_USES, TIMES = 97, 5, 3, 2
 #: Vectors that the upper splits are fitted on, about; vectors of a cell that they aim at; vectors of a leaf; searches at once.
 SAMPLE, CELL, LEAF, BATCH = 1 << 16, 1 << 13, 24, 1 << 15
 _INDEX, _SEARCH, _SHORTER = 0, 1, 2
+#: Letters of a word up to which its changes are looked up; longer words are compared with each other.
+LOOKED_UP = 64
 
 
 def count_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_uses: int = LEAST_USES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,20 +203,25 @@ def search(tree: Node, bits: np.ndarray, asked: np.ndarray, lost: np.ndarray, ra
 
 
 def _moves(letters: list[str], rows: np.ndarray, asked: list[str], lines: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """(letters, out, into): taking the letter `out` from a word and putting `into` there leads to the other vector."""
+    """(letters, out, into, other): taking the letter `out` from a word and putting `into` there leads to the other vector.
+
+    The other vector itself goes along where words are too long to try every place.
+    """
     if rows.shape[1] == lines.shape[1]:
         # In order, the vectors first differ at the smaller of the two letters and last at the larger one.
         differ = rows[j] != lines[i]
         first, last = np.argmax(differ, axis=1), differ.shape[1] - 1 - np.argmax(differ[:, ::-1], axis=1)
         a, b, c, d = lines[i, first], rows[j, first], lines[i, last], rows[j, last]
         out, into, source = np.where(a < b, a, c), np.where(a < b, d, b), [asked[k] for k in i.tolist()]
-        put = [chr(x) for x in into.tolist()]
+        put, to = [chr(x) for x in into.tolist()], [letters[k] for k in j.tolist()]
     else:
         differ = np.ones((len(i), rows.shape[1]), bool)
         differ[:, :-1] = rows[j][:, :-1] != lines[i]
         out, source = rows[j, np.argmax(differ, axis=1)], [letters[k] for k in j.tolist()]
-        put = [""] * len(i)
-    return pa.RecordBatch.from_pydict({"letters": pa.array(source, pa.string()), "out": pa.array([chr(x) for x in out.tolist()], pa.string()), "into": pa.array(put, pa.string())})
+        put, to = [""] * len(i), [asked[k] for k in i.tolist()]
+    if rows.shape[1] <= LOOKED_UP:
+        to = [None] * len(i)
+    return pa.RecordBatch.from_pydict({"letters": pa.array(source, pa.string()), "out": pa.array([chr(x) for x in out.tolist()], pa.string()), "into": pa.array(put, pa.string()), "other": pa.array(to, pa.string())})
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +278,10 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def moves(vectors: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
-    """(letters, out, into) for all pairs of vectors (letters) that one edit may part; one direction of each pair.
+    """(letters, out, into, other) for all pairs of vectors (letters) that one edit may part; one direction of each pair.
 
     A word of `letters` becomes one of the other vector where `into` stands for one of its letters `out`; `into` is empty where the
-    other is one letter shorter. Vectors are distinct. The sample bounds what the driver reads to fit the upper splits; it decides
+    other is one letter shorter. other is null up to LOOKED_UP letters. Vectors are distinct. The sample bounds what the driver reads to fit the upper splits; it decides
     how cells are cut and no result.
     """
     total = vectors.count()
@@ -287,7 +295,7 @@ def moves(vectors: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> DataFra
     filed = vectors.mapInArrow(_filed(trees), "cell long, kind int, letters string")
     # One task for about each cell: the work is the search, not the bytes.
     dealt = filed.repartition(max(1, next(numbers)), "cell").sortWithinPartitions("cell", "kind")
-    return dealt.mapInArrow(_searched, "letters string, out string, into string")
+    return dealt.mapInArrow(_searched, "letters string, out string, into string, other string")
 
 
 def near_words(words: DataFrame, found: DataFrame) -> DataFrame:
@@ -296,8 +304,11 @@ def near_words(words: DataFrame, found: DataFrame) -> DataFrame:
     places = F.filter(F.sequence(F.lit(1), size), lambda k: F.substring("word", k, F.lit(1)) == F.col("out"))
     made = F.array_distinct(F.transform(places, lambda k: F.concat(F.substring("word", F.lit(1), k - 1), F.col("into"), F.substring("word", k + 1, size))))
     # Both sides grow with the vocabulary: they sort and merge at every size.
-    tried = words.join(found.hint("merge"), "letters").select("word", "n", F.explode_outer(made).alias("other"))
-    return tried.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge"), "other").select("word", "n", "other", "other_n")
+    tried = words.join(found.where("other is null").drop("other").hint("merge"), "letters").select("word", "n", F.explode_outer(made).alias("other"))
+    looked_up = tried.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge"), "other").select("word", "n", "other", "other_n")
+    theirs = words.select(F.col("letters").alias("to"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    ends = words.join(found.where("other is not null").select("letters", F.col("other").alias("to")).hint("merge"), "letters").join(theirs.hint("merge"), "to")
+    return looked_up.union(ends.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
