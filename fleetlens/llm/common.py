@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -36,15 +39,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _OPEN:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables made inside each open scratch().
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that stored() makes inside, but for the last one: the result must be written by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+    for path in made[:-1]:
+        _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by stored()."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -198,16 +223,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", shrink: bool = True) -> DataFrame:
     """(vertex, component) for every vertex of the edges (a, b): the smallest vertex reachable.
 
     Each partition first shrinks its own edges to stars; alternating large and small stars then join them across partitions.
-    Minima are aggregates and every round is a written table, so no vertex's neighbours are gathered.
+    Minima are aggregates and every round is a written table, so no vertex's neighbours are gathered. Without shrink no Python runs.
     """
-    now = stored(edges.select("a", "b").where("a <> b").mapInArrow(_forest, EDGE), label)
+    edges = edges.select("a", "b").where("a <> b")
+    now = stored(edges.mapInArrow(_forest, EDGE) if shrink else edges.distinct(), label)
     before = None
+    total = lambda c: F.sum(c.cast("decimal(38,0)"))
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # The whole 64 bits of each edge's hash, and the sums of both ends, which fall as long as anything moves.
+        state = now.agg(F.count("*"), total(F.xxhash64("a", "b")), total(F.col("a")), total(F.col("b"))).first()
         if state == before or not state[0]:
             break
         before = state
