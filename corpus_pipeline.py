@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, line_templates, minhash_forest, packing, quality
-from fleetlens.llm.common import stored, table
+from fleetlens.llm import copies, decontaminate, line_templates, minhash_forest, packing, quality
+from fleetlens.llm.common import discard, scratch, stored, table
 
 #: Least score of a document that stays; shingle size and similarity of near-duplicates; words of a benchmark pattern.
 LEAST_QUALITY, SHINGLE, PERCENT, BENCHMARK_WORDS = 0.3, 5, 80, 10
@@ -24,11 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates; n_chars is counted again where it is there.
 
-    A template recurs across groups of near-duplicates, so that these reach the next stage whole and shrink to one there.
+    A template recurs across groups of near-copies, so that these reach the next stage whole and shrink to one there.
     """
-    alike = minhash_forest.near_duplicates(docs, n=SHINGLE, percent=PERCENT).where("doc_id <> component_id")
-    copies = stored(alike.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("own")).distinct(), "copies")
-    out = line_templates.drop_templates(docs, name="_dropped", copies=copies).drop("_dropped")
+    out = line_templates.drop_templates(docs, name="_dropped", copies=copies.groups(docs)).drop("_dropped")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -62,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. What a stage leaves in the shared folder goes once its own output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
