@@ -59,7 +59,7 @@ def skip_cascade_heap_h4(spark, d):
     SELECT plan_id, 'too_large' AS reason, steps::VARCHAR AS detail FROM sized WHERE steps > 40 UNION ALL SELECT plan_id, 'cycle', '' FROM sized WHERE cust % 5 = 0 AND steps >= 2""")
 def validate_plans_heap_h1(spark, d):
     nodes, edges = _heap(spark, d)
-    nodes = nodes.select("plan_id", "node_id", F.lit("c").alias("capability"), F.lit("{}").alias("input"))
+    nodes = nodes.select("plan_id", "node_id", F.concat(F.lit("c"), (F.col("n") % 3).cast("string")).alias("capability"), F.lit("{}").alias("input"))
     number = F.lit(None).cast("double")
     plans = nodes.select("plan_id").distinct().select("plan_id", number.alias("estimated_usd"), number.alias("max_cost_usd"), number.alias("budget_usd"), F.lit(False).alias("must_be_local"))
     caps = nodes.select("capability", F.lit(False).alias("cloud")).distinct()

@@ -1,18 +1,26 @@
 """Plan graphs.
 
 ``nodes``: plan_id, node_id, capability, input.  ``edges``: plan_id, from_id, to_id (from depends on to).  Plans have
-any number of steps: layers and cascades advance by joins over all plans at once, one round per layer, so the rounds
-follow the deepest plan and no plan is gathered in one place.
+any number of steps.  A plan of up to ``PIECE`` rows is walked in one piece, many plans at once, which costs one pass
+over its edges.  Larger plans advance by joins over all of them, one round per layer: a round reads only the edges that
+are left, writes the steps it places once, and no such plan is gathered in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.plans.refs import with_output_refs
-from fleetlens.session import cut_lineage
+from fleetlens.session import erase, new_folder, written
 
+# Steps and edges of a plan that is walked in one piece.
+PIECE = 4096
 # Fixed value: steps that a plan may have to be accepted; an argument of ``validate_plans`` only.
 MAX_PLAN_STEPS = 64
 
@@ -36,31 +44,152 @@ def dangling_refs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lost.select("plan_id", "from_id", "to_id", "missing")
 
 
-def topo_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _rows(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Steps, then edges, as one table (plan_id, node_id, to_id, state); to_id is null for a step, state for an edge."""
+    links = edges.select("plan_id", F.col("from_id").alias("node_id"), "to_id").where("to_id is not null")
+    return steps.unionByName(links, allowMissingColumns=True).select("plan_id", "node_id", "to_id", "state")
+
+
+def _parted(rows: DataFrame, piece: int) -> tuple[DataFrame, DataFrame | None]:
+    """Plans in one row each with all their rows, and the rows of plans that are too large for that (None: there are none)."""
+    large = written(rows.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > piece).select("plan_id"), "large")
+    found = not large.isEmpty()
+    small = rows.join(large, "plan_id", "left_anti") if found else rows
+    whole = small.groupBy("plan_id").agg(F.collect_list(F.struct("node_id", "to_id", "state")).alias("rows"))
+    return whole, rows.join(large, "plan_id", "left_semi") if found else None
+
+
+class _Graph:
+    """The plans of an Arrow batch as one graph of numbered steps."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column("rows")
+        sizes = lists.value_lengths().to_numpy()
+        self.plan_ids, self.rows = batch.column("plan_id"), lists.flatten()
+        plan = np.repeat(np.arange(len(sizes)), sizes)
+        self.names = self.rows.field("node_id")
+        to, self.state = self.rows.field("to_id"), self.rows.field("state")
+        codes = pa.chunked_array([self.names, to]).dictionary_encode().combine_chunks()
+        codes = np.concatenate([c.indices.fill_null(-1).to_numpy() for c in codes.chunks]) if isinstance(codes, pa.ChunkedArray) else codes.indices.fill_null(-1).to_numpy()
+        width = int(codes.max(initial=0)) + 2
+        name, end = codes[: len(plan)], codes[len(plan) :]
+        self.is_step = to.is_null().to_numpy(zero_copy_only=False)
+        key = plan * width + name
+        self.steps, self.first = np.unique(key[self.is_step], return_index=True)
+        self.first = np.flatnonzero(self.is_step)[self.first]
+        self.plan = plan[self.first]
+        links = ~self.is_step
+        pairs = np.unique(np.stack([self.number(key[links]), self.number(plan[links] * width + end[links])], axis=1), axis=0)
+        # Edges with an end that is no step hold nothing back.
+        self.start, self.to = pairs[(pairs >= 0).all(axis=1)].T
+        order = np.argsort(self.to, kind="stable")
+        self.start, self.to = self.start[order], self.to[order]
+        self.at = np.searchsorted(self.to, np.arange(len(self.steps) + 1))
+        self.of_row = self.number(key)
+
+    def number(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.steps):
+            return np.full(len(key), -1)
+        found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+        return np.where(self.steps[found] == key, found, -1)
+
+    def dependents(self, front: np.ndarray) -> np.ndarray:
+        """The start of every edge that leads to a step of the front."""
+        size = self.at[front + 1] - self.at[front]
+        skip = np.cumsum(size) - size
+        return self.start[np.repeat(self.at[front] - skip, size) + np.arange(int(size.sum()))]
+
+    def layers(self) -> np.ndarray:
+        """Layer of each step, -1 for those that cannot be placed."""
+        left = np.bincount(self.start, minlength=len(self.steps))
+        layer = np.full(len(self.steps), -1)
+        front, k = np.flatnonzero(left == 0), 0
+        while len(front):
+            layer[front] = k
+            freed, n = np.unique(self.dependents(front), return_counts=True)
+            left[freed] -= n
+            front, k = freed[left[freed] == 0], k + 1
+        return layer
+
+    def skipped(self) -> np.ndarray:
+        """Waiting steps that depend, over waiting steps, on one that failed."""
+        flag = lambda *of: np.isin(np.asarray(self.state.to_pylist(), dtype=object), of)
+        has = lambda rows: np.bincount(self.of_row[rows & self.is_step], minlength=len(self.steps)) > 0
+        broken, waits = has(flag("failed", "timed_out")), has(flag("waiting"))
+        hit = np.zeros(len(self.steps), bool)
+        front = np.flatnonzero(broken)
+        while len(front):
+            reached = np.unique(self.dependents(front))
+            front = reached[waits[reached] & ~hit[reached]]
+            hit[front] = True
+        return hit
+
+    def columns(self, keep: np.ndarray | slice = slice(None)) -> list[pa.Array]:
+        return [self.plan_ids.take(pa.array(self.plan[keep])), self.names.take(pa.array(self.first[keep]))]
+
+
+def _layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        graph = _Graph(batch)
+        layer = graph.layers()
+        out = [*graph.columns(), pa.array(layer, pa.int64(), mask=layer < 0), pa.array(layer < 0)]
+        yield pa.RecordBatch.from_arrays(out, ["plan_id", "node_id", "layer", "cycle"])
+
+
+def _skipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        graph = _Graph(batch)
+        yield pa.RecordBatch.from_arrays(graph.columns(graph.skipped()), ["plan_id", "node_id"])
+
+
+def _schema(rows: DataFrame, more: str = "") -> T.StructType:
+    return T.StructType([rows.schema["plan_id"], rows.schema["node_id"], *T.StructType.fromDDL(more).fields])
+
+
+def topo_layers(nodes: DataFrame, edges: DataFrame, piece: int = PIECE) -> DataFrame:
     """Layer of every step (0: depends on nothing); ``cycle`` marks steps that cannot be placed.
 
-    Steps are placed in rounds: those none of whose dependencies is still open.  What stays open when nothing more can
-    be placed lies on or behind a cycle.
+    A step is placed once none of its dependencies is open.  What stays open when nothing more can be placed lies on or
+    behind a cycle.  Edges that are repeated, or have an end that is no step of the plan, change nothing.
     """
+    rows = written(_rows(_steps(nodes).select("*", F.lit(None).cast("string").alias("state")), edges), "graph")
+    whole, large = _parted(rows, piece)
+    out = whole.mapInArrow(_layered, _schema(rows, "layer bigint, cycle boolean"))
+    return out if large is None else out.unionByName(_layer_rounds(large))
+
+
+def _layer_rounds(rows: DataFrame) -> DataFrame:
+    """Layers of plans of any size, one round each; the edges are written anew when half of them are spent."""
     key = ["plan_id", "node_id"]
-    steps = _steps(nodes)
-    inner = edges.select("plan_id", "from_id", "to_id").distinct()
+    steps = written(rows.where("to_id is null").select(*key).distinct(), "steps")
+    inner = rows.where("to_id is not null").select("plan_id", F.col("node_id").alias("from_id"), "to_id").distinct()
     for end in ("from_id", "to_id"):
         inner = inner.join(steps.withColumnRenamed("node_id", end), ["plan_id", end], "left_semi")
-    waits = inner.groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("open"))
-    inner = cut_lineage(inner)
-    # ``open`` counts the dependencies that are not placed yet; a step is placed in the round after it reaches 0.
-    state = steps.join(waits, key, "left").select(*key, F.coalesce("open", F.lit(0)).alias("open"))
-    state = cut_lineage(state.withColumn("layer", F.when(F.col("open") == 0, F.lit(0).cast("long"))))
-    layer = 0
-    while state.filter(F.col("layer") == layer).limit(1).count():
-        placed = state.filter(F.col("layer") == layer).select("plan_id", F.col("node_id").alias("to_id"))
-        freed = inner.join(placed, ["plan_id", "to_id"]).groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("freed"))
-        left = F.col("open") - F.coalesce("freed", F.lit(0))
-        layer += 1
-        reached = F.coalesce("layer", F.when((left == 0) & F.col("freed").isNotNull(), F.lit(layer).cast("long")))
-        state = cut_lineage(state.join(freed, key, "left").select(*key, left.alias("open"), reached.alias("layer")))
-    return state.select(*key, "layer", F.col("layer").isNull().alias("cycle"))
+    live = written(inner, "live")
+    waits = written(live.groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("open")), "waits")
+    spark, placed, layer = rows.sparkSession, new_folder(rows.sparkSession, "placed"), 0
+    front = steps.join(waits, key, "left_anti")
+    held = waits.agg(F.sum("open")).first()[0] or 0
+    while True:
+        front.write.parquet(f"{placed}/layer={layer}")
+        front = spark.read.schema(steps.schema).parquet(f"{placed}/layer={layer}")
+        if front.isEmpty():
+            break
+        ends = front.withColumnRenamed("node_id", "to_id")
+        freed = live.join(ends, ["plan_id", "to_id"]).groupBy("plan_id", F.col("from_id").alias("node_id")).agg(F.count("*").alias("freed"))
+        after = waits.where("open > 0").join(freed, key, "left").select(*key, (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"))
+        before, waits = waits, written(after, "waits")
+        erase(before)
+        left = waits.agg(F.sum("open")).first()[0] or 0
+        if 2 * left <= held:
+            # An edge is spent when its end is placed, and then no longer counted by its start.
+            open_starts = waits.where("open > 0").select("plan_id", F.col("node_id").alias("from_id"))
+            before, live, held = live, written(live.join(open_starts, ["plan_id", "from_id"], "left_semi").join(ends, ["plan_id", "to_id"], "left_anti"), "live"), left
+            erase(before)
+        front, layer = waits.where("open = 0").select(*key), layer + 1
+    done = spark.read.schema(T.StructType([*steps.schema.fields, T.StructField("layer", T.LongType())])).parquet(placed)
+    stuck = waits.where("open > 0").select(*key, F.lit(None).cast("long").alias("layer"), F.lit(True).alias("cycle"))
+    return done.select(*key, "layer", F.lit(False).alias("cycle")).unionByName(stuck)
 
 
 def ready_steps(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -71,25 +200,38 @@ def ready_steps(edges: DataFrame, states: DataFrame) -> DataFrame:
     return waiting.join(blocked, ["plan_id", "node_id"], "left_anti")
 
 
-def skip_cascade(edges: DataFrame, states: DataFrame) -> DataFrame:
+def skip_cascade(edges: DataFrame, states: DataFrame, piece: int = PIECE) -> DataFrame:
     """Steps that will never run because something they depend on failed; settled steps stay as they are.
 
-    Each round moves one dependency further from the failed steps, through waiting steps only.
+    A skip moves from the failed steps to what depends on them, through waiting steps only.
     """
+    known = states.select("plan_id", "node_id", F.col("state").cast("string").alias("state"))
+    broken = known.filter(F.col("state").isin("failed", "timed_out")).select("plan_id").distinct()
+    rows = written(_rows(known, edges).join(broken, "plan_id", "left_semi"), "graph")
+    whole, large = _parted(rows, piece)
+    out = whole.mapInArrow(_skipped, _schema(rows))
+    return out if large is None else out.unionByName(_skip_rounds(large))
+
+
+def _skip_rounds(rows: DataFrame) -> DataFrame:
+    """Each round moves one dependency further; edges of steps that are reached are left out of the next."""
     key = ["plan_id", "node_id"]
-    broken = states.filter(F.col("state").isin("failed", "timed_out")).select(*key).distinct()
-    affected = edges.select("plan_id", "from_id", "to_id").distinct().join(broken.select("plan_id").distinct(), "plan_id", "left_semi")
-    waiting = states.filter(F.col("state") == "waiting").select("plan_id", F.col("node_id").alias("from_id")).distinct()
+    known = rows.where("to_id is null")
+    waiting = known.filter(F.col("state") == "waiting").select("plan_id", F.col("node_id").alias("from_id")).distinct()
+    inner = rows.where("to_id is not null").select("plan_id", F.col("node_id").alias("from_id"), "to_id").distinct()
     # Only edges that a skip can travel along: from the step that waits to what it waits for.
-    live = cut_lineage(affected.join(waiting, ["plan_id", "from_id"], "left_semi"))
-    skipped, front = None, broken
+    live = written(inner.join(waiting, ["plan_id", "from_id"], "left_semi"), "live")
+    front = known.filter(F.col("state").isin("failed", "timed_out")).select(*key).distinct()
+    spark, reached, step = rows.sparkSession, new_folder(rows.sparkSession, "skipped"), 0
     while True:
-        reached = live.join(front.withColumnRenamed("node_id", "to_id"), ["plan_id", "to_id"], "left_semi")
-        reached = reached.select("plan_id", F.col("from_id").alias("node_id")).distinct()
-        front = cut_lineage(reached if skipped is None else reached.join(skipped, key, "left_anti"))
-        if not front.limit(1).count():
-            return front if skipped is None else skipped
-        skipped = front if skipped is None else skipped.unionByName(front)
+        hit = live.join(front.withColumnRenamed("node_id", "to_id"), ["plan_id", "to_id"], "left_semi")
+        hit.select("plan_id", F.col("from_id").alias("node_id")).distinct().write.parquet(f"{reached}/step={step}")
+        front = spark.read.schema(_schema(rows)).parquet(f"{reached}/step={step}")
+        if front.isEmpty():
+            return spark.read.schema(_schema(rows)).parquet(*[f"{reached}/step={k}" for k in range(step + 1)])
+        before, live = live, written(live.join(front.withColumnRenamed("node_id", "from_id"), ["plan_id", "from_id"], "left_anti"), "live")
+        erase(before)
+        step += 1
 
 
 def validate_plans(
