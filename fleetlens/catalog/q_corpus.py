@@ -9,7 +9,8 @@ from fleetlens.catalog.bindings import ctes, pad
 from fleetlens.catalog.q_merge import _CUT, _PATHS, _page_paths
 from fleetlens.catalog.registry import query
 from fleetlens.functions.text import truncate_bytes
-from fleetlens.operators import corpus, search
+from fleetlens.operators import corpus, positional, search
+from fleetlens.session import new_folder
 from fleetlens.sources.tables import read_sample
 
 DOCS = ctes("docs")
@@ -148,6 +149,72 @@ def search_phrase_f4(spark, d):
     return search.search_phrase(b.docs(spark, d), "of the", limit=None).withColumn("score", F.round("score", 6))
 
 
+def _stored(spark, d):
+    """An index of all documents in the shared folder, read back from there."""
+    folder = new_folder(spark, "index")
+    positional.refresh(b.docs(spark, d).withColumn("version", F.sha2("content", 256)), folder)
+    return positional.open_index(spark, folder)
+
+
+@query(
+    "search_stored_f3",
+    f"{INDEX}, {_search_sql('''term IN ('the', 'und', 'los')''', None, repr('que'))} SELECT scope, path, round(score, 6) AS score FROM hits",
+)
+def search_stored_f3(spark, d):
+    """Ranked search of a stored index: the scan reads the buckets of its four words only."""
+    hits = search.search(_stored(spark, d), ["the", "und", "los"], "any", ["que"], limit=None)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "search_phrase_stored_f4",
+    f"""{INDEX}, c AS (SELECT scope, path, dl, len(list_filter(range(1, dl - 1), lambda i: tokens[i] = 'of' AND tokens[i + 1] = 'the' AND tokens[i + 2] = 'of')) AS tf FROM sized),
+    f AS (SELECT scope, count(*) AS df FROM c WHERE tf > 0 GROUP BY scope)
+    SELECT scope, path, tf AS occurrences, round({_BM25}, 6) AS score FROM c JOIN f USING (scope) JOIN corpus USING (scope) WHERE tf > 0""",
+)
+def search_phrase_stored_f4(spark, d):
+    """A phrase with a repeated word, from the positions of a stored index."""
+    return positional.search_phrase_index(_stored(spark, d), "Of the OF", limit=None).withColumn("score", F.round("score", 6))
+
+
+_EDITED = f"""WITH was AS ({b.SQL["docs"]}), docs AS (SELECT scope, path, CASE WHEN length(content) % 5 = 0 THEN content || ' zebra the zebra' ELSE content END AS content
+    FROM was WHERE length(content) % 7 <> 1), tokens AS ({b.SQL["tokens"]}), sized AS ({b.SQL["sized"]})"""
+
+
+def _refreshed(spark, d):
+    """An index of some documents, brought to another state of the corpus by one more segment."""
+    folder, t = new_folder(spark, "index"), b.docs(spark, d)
+    size = F.char_length("content")
+    edited = F.when(size % 5 == 0, F.concat("content", F.lit(" zebra the zebra"))).otherwise(F.col("content"))
+    for state in (t.filter(size % 7 != 2), t.filter(size % 7 != 1).withColumn("content", edited)):
+        positional.refresh(state.withColumn("version", F.sha2("content", 256)), folder)
+    return folder
+
+
+@query(
+    "refresh_index_f2",
+    f"""{_EDITED}, w AS (SELECT scope, path, dl, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM sized)
+    SELECT scope, path, dl, term, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM w GROUP BY ALL""",
+)
+def refresh_index_f2(spark, d):
+    """A refresh equals a rebuild, position by position."""
+    live = positional.open_index(spark, _refreshed(spark, d)).postings
+    return live.select("scope", "path", "dl", "term", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+@query(
+    "merge_segments_f2",
+    f"""{_EDITED} SELECT scope, count(*) AS n_docs, round(avg(dl), 6) AS avgdl, sum(len(list_distinct(tokens)))::BIGINT AS n_postings FROM sized GROUP BY scope""",
+)
+def merge_segments_f2(spark, d):
+    """Statistics kept by difference, and the postings of the one segment that a merge leaves."""
+    folder = _refreshed(spark, d)
+    positional.merge_segments(spark, folder)
+    index = positional.open_index(spark, folder)
+    held = index.postings.groupBy("scope").agg(F.count("*").alias("n_postings"))
+    return index.corpus.join(held, "scope", "left").select("scope", "n_docs", F.round("avgdl", 6).alias("avgdl"), F.coalesce("n_postings", F.lit(0)).alias("n_postings"))
+
+
 @query(
     "snippet_f5",
     f"""{DOCS}, w AS (SELECT scope, path, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS words FROM docs),

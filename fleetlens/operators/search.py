@@ -26,10 +26,18 @@ MAX_QUERY_PAGE = 512
 
 
 class Index(NamedTuple):
-    """postings: scope, path, term, tf, dl; corpus: scope, n_docs, avgdl."""
+    """postings: scope, path, term, tf, dl; corpus: scope, n_docs, avgdl; buckets: of the terms of a stored index."""
 
     postings: DataFrame
     corpus: DataFrame
+    buckets: int | None = None
+
+    def of_terms(self, terms: Sequence[str]) -> DataFrame:
+        """Postings of exact terms; a stored index is read in the partitions of their buckets only."""
+        found = self.postings.filter(F.col("term").isin(*terms))
+        if self.buckets is None:
+            return found
+        return found.filter(F.col("bucket").isin(*[term_bucket(F.lit(t), self.buckets) for t in terms]))
 
 
 def indexable(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -61,14 +69,15 @@ def build_index(docs: DataFrame, max_bytes: int | None = None) -> Index:
 def write_index(index: Index, folder: str, buckets: int = 64) -> None:
     """Store postings partitioned by a hash of the term, so a query reads only its terms' buckets."""
     bucketed = index.postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
-    # The path salt spreads the postings of a very common term over several writers and files.
-    salt = F.pmod(F.xxhash64("path"), F.lit(8))
-    bucketed.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    index.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+    # Ranges split the bucket of a very common term by its documents.
+    dealt = bucketed.repartitionByRange("bucket", "term", "scope", "path")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    index.corpus.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
 def read_index(spark, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus"))
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    return Index(spark.read.parquet(f"{folder}/postings"), corpus.drop("buckets"), corpus.agg(F.max("buckets")).first()[0])
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -116,10 +125,10 @@ def search(
     if prefix:
         near = postings.withColumn("q", F.explode(F.filter(query, lambda t: F.startswith("term", t))))
     else:
-        near = postings.filter(F.col("term").isin(*wanted)).withColumn("q", F.col("term"))
+        near = index.of_terms(wanted).withColumn("q", F.col("term"))
     per_doc = near.groupBy("scope", "path", "dl", "q").agg(F.sum("tf").alias("tf"))
     if not_terms:
-        banned = postings.filter(F.col("term").isin(*_words_of(not_terms))).select("scope", "path").distinct()
+        banned = index.of_terms(_words_of(not_terms)).select("scope", "path").distinct()
         allowed = per_doc.join(banned, ["scope", "path"], "left_anti")
     else:
         allowed = per_doc
@@ -141,7 +150,7 @@ def search(
 
 def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMIT, max_bytes: int | None = None) -> DataFrame:
     """Documents holding the words of ``phrase`` in a row, ranked by BM25 of the phrase."""
-    words = _split_words(phrase)
+    words = split_words(phrase)
     if not words:
         raise ValueError("empty phrase")
     tokenized = indexable(docs, max_bytes).select("scope", "path", tokens(F.col("content")).alias("tokens"))
@@ -162,10 +171,10 @@ def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMI
 
 
 def _words_of(terms: Sequence[str]) -> list[str]:
-    return list(dict.fromkeys(w for t in terms for w in _split_words(t)))
+    return list(dict.fromkeys(w for t in terms for w in split_words(t)))
 
 
-def _split_words(text: str) -> list[str]:
+def split_words(text: str) -> list[str]:
     out, word = [], ""
     for ch in text.lower() + " ":
         if ch.isalnum():
