@@ -3,8 +3,8 @@
 Such windows are neither tumbling nor session windows: where one starts depends on all earlier ones.  The exact
 assignment is still computed in parallel.  Each key's records are cut into chunks.  A chunk maps the closing point
 of the window it inherits to the closing point it passes on; few distinct outcomes exist, so the map is a short
-table of pieces.  The tables of a key are composed in order, which gives every chunk its inherited window, and the
-chunks are then assigned independently.
+table of pieces.  The tables of neighbouring chunks are composed pairwise in rounds, which gives every chunk its
+inherited window, and the chunks are then assigned independently.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import fold_control, truncate_bytes
+from fleetlens.operators.compose import CHUNK_ROWS, chunked, entries, several
 from fleetlens.operators.ordered import Previous, RunningSum, millis_bucket, ordered_scan, top_k
 
 # Burst suppression and request coalescing.
@@ -75,11 +76,32 @@ def _assign(at: np.ndarray, idx: np.ndarray, entry: tuple[int, int] | None, wind
     return starts, numbers
 
 
+def _passes(pieces: list[dict], entry: dict | None) -> dict | None:
+    """The close that a chunk passes on; a window that outlasts the chunk stays as it is."""
+    for p in pieces:
+        if entry is None or p["hi_at"] >= entry["at"] or p["hi_idx"] >= entry["idx"]:
+            return {"at": p["close_at"], "idx": p["close_idx"]}
+    return entry
+
+
+def _followed(a: list[dict], b: list[dict]) -> list[dict]:
+    """Pieces of two chunks as one: what a closes is inherited by b, and what outlasts a meets the pieces of b."""
+    out: list[dict] = []
+    for p in a:
+        close = _passes(b, {"at": p["close_at"], "idx": p["close_idx"]})
+        if out and (out[-1]["close_at"], out[-1]["close_idx"]) == (close["at"], close["idx"]):
+            out[-1] = out[-1] | {"hi_at": p["hi_at"], "hi_idx": p["hi_idx"]}
+        else:
+            out.append({"hi_at": p["hi_at"], "hi_idx": p["hi_idx"], "close_at": close["at"], "close_idx": close["idx"]})
+    return out + list(b)
+
+
 def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int | None) -> DataFrame:
     """``points``: keys, at_ms, idx, chunk.  Returns keys, at_ms, idx, window_ms_start, window_idx."""
     limit = _NO_CAP if cap is None else cap
     keys = list(keys)
     key = F.struct(*keys)
+    # A chunk holds at most as many rows as its range.
     chunks = points.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "at_ms"))).alias("p"))
     chunks = chunks.select(
         key.alias("k"),
@@ -88,40 +110,22 @@ def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int |
         F.transform("p", lambda x: x["idx"]).alias("idx"),
     )
     key_type = chunks.schema["k"].dataType.simpleString()
+    names = ["hi_at", "hi_idx", "close_at", "close_idx"]
 
     def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [
-                (k, c, *piece)
-                for k, c, at, idx in zip(b["k"], b["chunk"], b["at"], b["idx"])
-                for piece in _chunk_map(np.asarray(at), np.asarray(idx), window_ms, limit)
-            ]
-            yield pd.DataFrame(rows, columns=["k", "chunk", "hi_at", "hi_idx", "close_at", "close_idx"])
-
-    maps = chunks.select("k", "chunk", "at", "idx").mapInPandas(
-        to_maps, f"k {key_type}, chunk long, hi_at long, hi_idx long, close_at long, close_idx long"
-    )
-    tables = maps.groupBy("k").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "hi_idx", "hi_at", "close_at", "close_idx"))).alias("m")
-    )
-
-    def to_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, table in zip(b["k"], b["m"]):
-                entry, seen, done = None, None, False
-                following = None
-                for piece in table:
-                    if piece["chunk"] != seen:
-                        entry = following if following is not None else entry
-                        seen, done, following = piece["chunk"], False, entry
-                        if entry is not None:
-                            rows.append((k, seen, *entry))
-                    if not done and (entry is None or piece["hi_at"] >= entry[0] or piece["hi_idx"] >= entry[1]):
-                        following, done = (piece["close_at"], piece["close_idx"]), True
-            yield pd.DataFrame(rows, columns=["k", "chunk", "enter_at", "enter_idx"])
-
-    entries = tables.mapInPandas(to_entries, f"k {key_type}, chunk long, enter_at long, enter_idx long")
+            m = [[dict(zip(names, piece)) for piece in _chunk_map(np.asarray(at), np.asarray(idx), window_ms, limit)] for at, idx in zip(b["at"], b["idx"])]
+            yield pd.DataFrame({"k": b["k"], "chunk": b["chunk"], "first_chunk": b["first_chunk"], "m": m})
+
+    spread = several(points, keys)
+    if spread is None:
+        placed = chunks.withColumn("entry", F.lit(None).cast("struct<at:bigint,idx:bigint>"))
+    else:
+        long_keys = spread.select(key.alias("k"), "first_chunk")
+        maps = chunks.join(long_keys, "k").mapInPandas(
+            to_maps, f"k {key_type}, chunk long, first_chunk long, m array<struct<{','.join(f'{n}:bigint' for n in names)}>>"
+        )
+        placed = chunks.join(entries(maps, _followed, _passes, "struct<at:bigint,idx:bigint>"), ["k", "chunk"], "left")
 
     def to_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,7 +137,7 @@ def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int |
             yield pd.DataFrame(rows, columns=["k", "at", "idx", "starts", "numbers"])
 
     longs = "array<long>"
-    assigned = chunks.join(entries, ["k", "chunk"], "left").select("k", "at", "idx", "enter_at", "enter_idx").mapInPandas(
+    assigned = placed.select("k", "at", "idx", F.col("entry.at").alias("enter_at"), F.col("entry.idx").alias("enter_idx")).mapInPandas(
         to_windows, f"k {key_type}, at {longs}, idx {longs}, starts {longs}, numbers {longs}"
     )
     zipped = assigned.select("k", F.inline(F.arrays_zip("at", "idx", "starts", "numbers")))
@@ -146,18 +150,18 @@ def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int |
     )
 
 
-def first_record_windows(df: DataFrame, keys: Sequence[str], window_ms: int, chunk_windows: int = 20) -> DataFrame:
+def first_record_windows(
+    df: DataFrame, keys: Sequence[str], window_ms: int, chunk_windows: int | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Add ``window_start_ms`` to rows with ``at_ms``.
 
-    Rows of one key and millisecond share a window, so only distinct milliseconds are chunked: a chunk holds at most
-    ``chunk_windows * window_ms`` values however many rows arrive.
+    Rows of one key and millisecond share a window, so only distinct milliseconds are chunked: ``chunk_rows`` at a time,
+    or as many as ``chunk_windows`` windows have.
     """
     keys = list(keys)
-    points = df.select(*keys, "at_ms").distinct()
-    chunked = points.select(
-        *keys, "at_ms", F.col("at_ms").alias("idx"), F.floor(F.col("at_ms") / F.lit(chunk_windows * window_ms)).alias("chunk")
-    )
-    windows = _windows(chunked, keys, window_ms, None).select(*keys, "at_ms", "window_start_ms")
+    chunk_rows = chunk_windows * window_ms if chunk_windows else chunk_rows
+    points = df.select(*keys, "at_ms").distinct().withColumn("idx", F.col("at_ms"))
+    windows = _windows(chunked(points, keys, ["at_ms"], chunk_rows), keys, window_ms, None).select(*keys, "at_ms", "window_start_ms")
     return df.join(windows, [*keys, "at_ms"])
 
 
@@ -261,7 +265,7 @@ def rate_limit(requests: DataFrame, n: int, window_ms: int) -> DataFrame:
     return placed.join(marks, "request_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
-def coalesce_requests(requests: DataFrame, window_ms: int = BATCH_WINDOW_MS, cap: int = BATCH_CAP, chunk_rows: int = 8_192) -> DataFrame:
+def coalesce_requests(requests: DataFrame, window_ms: int = BATCH_WINDOW_MS, cap: int = BATCH_CAP, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Group requests of one fingerprint that arrive within a window of the first into one call; the ``cap``-th member
     sends the call at once.
 
@@ -274,7 +278,7 @@ def coalesce_requests(requests: DataFrame, window_ms: int = BATCH_WINDOW_MS, cap
         [RunningSum("idx", F.lit(1).cast("long"))],
         millis_bucket("at_ms", 60_000),
     )
-    points = indexed.select("fingerprint", "at_ms", "idx", F.floor(F.col("idx") / F.lit(chunk_rows)).alias("chunk"))
+    points = chunked(indexed.select("fingerprint", "at_ms", "idx"), ["fingerprint"], ["idx"], chunk_rows)
     windows = _windows(points, ["fingerprint"], window_ms, cap).select(
         "fingerprint", "idx", "window_start_ms", F.col("window_idx").alias("batch_no")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import jsonfn
+from fleetlens.operators.compose import CHUNK_ROWS, chunked, entries, several
 from fleetlens.operators.ordered import (
     LastKnown,
     Previous,
@@ -20,6 +21,7 @@ from fleetlens.operators.ordered import (
     time_bucket,
     top_k,
 )
+from fleetlens.session import written
 from fleetlens.vocab import TERMINAL_STEP_STATES
 
 # Telemetry time-outs and limits.
@@ -275,13 +277,42 @@ def failure_streaks(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def breaker(outcomes: DataFrame, threshold: int = BENCH_THRESHOLD, bench_ms: int = BENCH_MS) -> DataFrame:
+def _carried(sizes: DataFrame, threshold: int, fold_parts: int) -> DataFrame:
+    """(node_id, island, part, carry): the failures that are counted when each part begins."""
+    keys = ["node_id", "island"]
+    # Parts of an island are numbered without a gap, so a chunk has at most fold_parts of them.
+    points = written(sizes.select(*keys, "part", "n", F.floor(F.col("part") / F.lit(fold_parts)).alias("chunk")), "parts")
+    key = F.struct(*keys).alias("k")
+    chunks = points.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+    counted = lambda carry, n: F.when(carry + n >= threshold, F.lit(0).cast("long")).otherwise(carry + n)
+    spread = several(points, keys)
+    if spread is None:
+        entered = chunks.withColumn("carry", F.lit(0).cast("long"))
+    else:
+        starts = F.sequence(F.lit(0).cast("long"), F.lit(threshold - 1).cast("long"))
+        table = F.transform(starts, lambda c: F.aggregate("parts", c, lambda carry, p: counted(carry, p["n"])))
+        maps = chunks.join(spread.select(key, "first_chunk"), "k").select("k", "chunk", "first_chunk", table.alias("m"))
+        told = entries(maps, lambda a, b: [int(b[c]) for c in a], lambda m, carry: int(m[int(carry or 0)]), "bigint")
+        entered = chunks.join(told, ["k", "chunk"], "left").withColumn("carry", F.coalesce("entry", F.lit(0).cast("long")))
+    step = F.aggregate(
+        "parts",
+        F.struct(F.col("carry").alias("carry"), F.expr("cast(array() as array<struct<part:bigint,carry:bigint>>)").alias("out")),
+        lambda acc, p: F.struct(
+            counted(acc["carry"], p["n"]).alias("carry"),
+            F.concat(acc["out"], F.array(F.struct(p["part"].alias("part"), acc["carry"].alias("carry")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return entered.select("k.*", F.inline_outer(step))
+
+
+def breaker(outcomes: DataFrame, threshold: int = BENCH_THRESHOLD, bench_ms: int = BENCH_MS, fold_parts: int = 256) -> DataFrame:
     """Bench periods: a node is benched from its ``threshold``-th consecutive failure until ``bench_ms`` after its last
     one; a success ends the bench, a bench served to its end starts the count afresh.
 
     Between two successes the failures split at silences of ``bench_ms``.  A split part only passes on how many
-    failures are counted, so parts are summarised first and folded per (node, island); the fold sees at most one row
-    per ``bench_ms`` of time.
+    failures are counted (fewer than ``threshold``), so parts are summarised first, chunks of ``fold_parts`` parts are
+    maps of that count, and the maps of an island are composed pairwise in rounds.
     """
     order = ["at", "outcome_id"]
     flagged = ordered_scan(
@@ -305,16 +336,7 @@ def breaker(outcomes: DataFrame, threshold: int = BENCH_THRESHOLD, bench_ms: int
     fails = parted.filter(~F.col("ok"))
     keys = ["node_id", "island", "part"]
     sizes = fails.groupBy(*keys).agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("part", "n"))),
-        F.struct(F.lit(0).cast("long").alias("carry"), F.expr("cast(array() as array<struct<part:bigint,carry:bigint>>)").alias("out")),
-        lambda acc, p: F.struct(
-            F.when(acc["carry"] + p["n"] >= threshold, F.lit(0).cast("long")).otherwise(acc["carry"] + p["n"]).alias("carry"),
-            F.concat(acc["out"], F.array(F.struct(p["part"].alias("part"), acc["carry"].alias("carry")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    carried = sizes.groupBy("node_id", "island").agg(fold.alias("out")).select("node_id", "island", F.inline_outer("out"))
+    carried = _carried(sizes, threshold, fold_parts)
     benched = sizes.join(carried, keys).filter(F.col("carry") + F.col("n") >= threshold)
     early = top_k(fails.select(*keys, *order), keys, [F.asc("at"), F.asc("outcome_id")], threshold)
     trips = benched.join(early, keys).filter(F.col("rank") == threshold - F.col("carry"))
@@ -344,65 +366,148 @@ def next_leader(standing: tuple[str | None, str | None, int], tick_ms: int, scor
     return standing, winner, counted[winner]
 
 
+#: Stand for a leader and a penalised node that no tick of a chunk names; no node is called so.
+_OTHER, _OTHER_FALLEN = "\0leader", "\0fallen"
+_FOREVER = (1 << 62) - 1
+_PIECE = "array<struct<leader:string,fallen:string,hi:bigint,out_leader:string,out_fallen:string,out_until:bigint,carried:boolean>>"
+
+
+def _ticks(rows: Iterable[dict]) -> list[tuple[int, dict[str, int]]]:
+    return [(int(t["tick_ms"]), {c["node_id"]: int(c["score"]) for c in (t["first"], t["second"]) if c is not None}) for t in rows]
+
+
+def _pieces_of(outcomes: dict[tuple, list[tuple[int, tuple]]]) -> list[dict]:
+    """A map as pieces: for a leader and a penalised node, what ``until`` up to ``hi`` leads to. Equal neighbours are one."""
+    out = []
+    for (leader, fallen), steps in outcomes.items():
+        for k, (hi, to) in enumerate(steps):
+            if k + 1 == len(steps) or steps[k + 1][1] != to:  # what is carried says no time of its own
+                out.append(dict(leader=leader, fallen=fallen, hi=hi, out_leader=to[0], out_fallen=to[1], out_until=to[2], carried=to[3]))
+    return out
+
+
+def _leader_map(ticks: list[tuple[int, dict[str, int]]], window_ms: int, penalty: int) -> list[dict]:
+    """What a chunk of ticks makes of every standing that it can be entered with.
+
+    Nodes that it does not name are alike, and so are the times between two ticks at which a penalty may end. Standings
+    that have become equal go on as one, so the work follows their number and the ticks until they meet.
+    """
+    nodes = sorted({n for _, scores in ticks for n in scores})
+    # A penalty was set before the first tick, so it ends within a window of it: by the first tick after that, if there is one.
+    ends = [t for t, _ in ticks[: 1 + sum(t < ticks[0][0] + window_ms for t, _ in ticks)]] + [_FOREVER]
+    known: dict[tuple, tuple] = {}
+
+    def follow(standing: tuple) -> tuple:
+        path, k = [], 0
+        while k < len(ticks) and (k, standing) not in known:
+            path.append((k, standing))
+            leader, fallen, until, carried = standing
+            (l2, f2, u2), _, _ = next_leader((leader, fallen, until), ticks[k][0], ticks[k][1], window_ms, penalty)
+            standing, k = (l2, f2, u2, carried and leader in (None, l2)), k + 1
+        end = known[k, standing] if k < len(ticks) else standing
+        known.update(dict.fromkeys(path, end))
+        return end
+
+    def outcome(standing: tuple) -> tuple:
+        leader, fallen, until, carried = follow(standing)
+        return leader, fallen, 0 if carried else until, carried
+
+    return _pieces_of(
+        {
+            (leader, fallen): [(hi, outcome((leader, fallen, hi, True))) for hi in (ends if fallen in nodes else [_FOREVER])]
+            for leader in [None, _OTHER, *nodes]
+            for fallen in [None, _OTHER_FALLEN, *nodes]
+        }
+    )
+
+
+def _led(pieces: list[dict], entry: dict | None) -> dict:
+    """The standing that a map passes on."""
+    return _look(_tables(pieces), entry)[0]
+
+
+def _tables(pieces: list[dict]) -> dict[tuple, list[dict]]:
+    out: dict[tuple, list[dict]] = {}
+    for p in pieces:
+        out.setdefault((p["leader"], p["fallen"]), []).append(p)
+    return out
+
+
+def _look(tables: dict[tuple, list[dict]], entry: dict | None) -> tuple[dict, bool]:
+    leader, fallen, until = (entry["leader"], entry["fallen"], int(entry["until"])) if entry is not None else (None, None, 0)
+    as_leader = leader if (leader, None) in tables else _OTHER
+    as_fallen = fallen if (None, fallen) in tables else _OTHER_FALLEN
+    row = next(p for p in tables[as_leader, as_fallen] if until <= p["hi"])
+    own = lambda name: leader if name == _OTHER else fallen if name == _OTHER_FALLEN else name
+    out = {"leader": own(row["out_leader"]), "fallen": own(row["out_fallen"]), "until": until if row["carried"] else int(row["out_until"])}
+    return out, bool(row["carried"])
+
+
+def _led_both(a: list[dict], b: list[dict]) -> list[dict]:
+    """The map of one chunk followed by another's: every class of standings that either tells apart goes through both."""
+    first, second = _tables(a), _tables(b)
+    names = lambda k: list(dict.fromkeys([*[key[k] for key in first], *[key[k] for key in second]]))
+    out = {}
+    for leader in names(0):
+        for fallen in names(1):
+            ends = {p["hi"] for key, ps in (*first.items(), *second.items()) if key[1] == fallen for p in ps}
+            steps = []
+            for hi in sorted(ends | {_FOREVER}):
+                mid, kept = _look(first, {"leader": leader, "fallen": fallen, "until": hi})
+                end, still = _look(second, mid)
+                kept = kept and still
+                steps.append((hi, (end["leader"], end["fallen"], 0 if kept else end["until"], kept)))
+            out[leader, fallen] = steps
+    return _pieces_of(out)
+
+
 def leader_with_antiflap(
-    candidates: DataFrame, window_ms: int = ANTI_FLAP_MS, penalty: int = ANTI_FLAP_PENALTY
+    candidates: DataFrame, window_ms: int = ANTI_FLAP_MS, penalty: int = ANTI_FLAP_PENALTY, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Leader per tick when a node that just lost leadership is penalised for ``window_ms``.
 
-    ``candidates``: observer, tick_ms, node_id, score.  Only the best two of a tick can win.  A leader that has
-    been more than the penalty ahead for a whole window has wiped out all earlier history, so the tick sequence is
-    cut there and the pieces are folded independently.
+    ``candidates``: observer, tick_ms, node_id, score.  Only the best two of a tick can win.  Ticks are cut into chunks
+    of ``chunk_rows``; a chunk of a long observer is a map of standings, and the maps are composed pairwise in rounds,
+    so an observer's ticks are worked on by many tasks.
     """
     two = top_k(candidates, ["observer", "tick_ms"], [F.desc("score"), F.asc("node_id")], 2)
     ticks = two.groupBy("observer", "tick_ms").agg(
         F.min_by(F.struct("node_id", "score"), "rank").alias("first"),
         F.max_by(F.struct("node_id", "score"), F.when(F.col("rank") == 2, 1)).alias("second"),
     )
-    strong = F.col("second").isNull() | (F.col("first.score") - F.col("second.score") > penalty)
-    ticks = ticks.withColumn("strong", strong)
-    # One row per tick is left, so a key is as long as time, not as the data, and plain windows sharing one shuffle do.
-    bucket = None
-    runs = ordered_scan(
-        ticks, ["observer"], ["tick_ms"], [Previous("before", F.struct(F.col("first.node_id").alias("n"), F.col("strong").alias("s")))], bucket
-    )
-    same = F.coalesce(F.col("before.s") & F.col("strong") & (F.col("before.n") == F.col("first.node_id")), F.lit(False))
-    opened = runs.withColumn("opened", F.when(~same, F.col("tick_ms"))).drop("before")
-    dated = ordered_scan(opened, ["observer"], ["tick_ms"], [LastKnown("run_ms", F.col("opened"))], bucket)
-    settled = F.col("strong") & (F.col("tick_ms") - F.col("run_ms") >= window_ms)
-    dated = dated.withColumn("settled", F.when(settled, 1).otherwise(0))
-    cut = ordered_scan(
-        dated,
-        ["observer"],
-        ["tick_ms"],
-        [
-            RunningSum("pieces", F.col("settled")),
-            LastKnown("anchor", F.when(F.col("settled") == 1, F.col("first.node_id"))),
-            Previous("anchor_before", F.when(F.col("settled") == 1, F.col("first.node_id"))),
-        ],
-        bucket,
-    )
-    # A settled tick ends its piece; the next piece starts from its leader with nobody penalised.
-    piece = F.col("pieces") - F.col("settled")
-    entering = F.when(F.col("settled") == 0, F.col("anchor")).otherwise(F.col("anchor_before"))
-    arrays = cut.select("observer", piece.alias("piece"), "tick_ms", "first", "second", entering.alias("entering"))
-    grouped = arrays.groupBy("observer", "piece").agg(
-        F.min_by("entering", "tick_ms").alias("entering"),
-        F.array_sort(F.collect_list(F.struct("tick_ms", "first", "second"))).alias("ticks"),
-    )
+    points = chunked(ticks, ["observer"], ["tick_ms"], chunk_rows)
+    # A struct as key keeps the ticks without an observer together.
+    key = F.struct("observer").alias("k")
+    chunks = points.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("tick_ms", "first", "second"))).alias("ticks"))
+    standing = "struct<leader:string,fallen:string,until:bigint>"
+    spread = several(points, ["observer"])
+    if spread is None:
+        placed = chunks.withColumn("entry", F.lit(None).cast(standing))
+    else:
+
+        def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                m = [_leader_map(_ticks(rows), window_ms, penalty) for rows in b["ticks"]]
+                yield pd.DataFrame({"k": b["k"], "chunk": b["chunk"], "first_chunk": b["first_chunk"], "m": m})
+
+        maps = chunks.join(spread.select(key, "first_chunk"), "k").mapInPandas(
+            to_maps, f"k struct<observer:string>, chunk long, first_chunk long, m {_PIECE}"
+        )
+        placed = chunks.join(entries(maps, _led_both, _led, standing), ["k", "chunk"], "left")
+    entered = placed.select("k.observer", "ticks", *[F.col(f"entry.{c}").alias(c) for c in ("leader", "fallen", "until")])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                standing = (row.entering, None, 0)
-                for tick in row.ticks:
-                    at, led = int(tick["tick_ms"]), standing[0]
-                    scores = {c["node_id"]: int(c["score"]) for c in (tick["first"], tick["second"]) if c is not None}
+                standing = (None, None, 0) if pd.isna(row.until) else (row.leader, row.fallen, int(row.until))
+                for at, scores in _ticks(row.ticks):
+                    led = standing[0]
                     standing, winner, score = next_leader(standing, at, scores, window_ms, penalty)
                     out.append((row.observer, at, winner, score, winner != led))
             yield pd.DataFrame(out, columns=["observer", "tick_ms", "leader", "score", "changed"])
 
-    return grouped.mapInPandas(fold, "observer string, tick_ms long, leader string, score long, changed boolean")
+    return entered.mapInPandas(fold, "observer string, tick_ms long, leader string, score long, changed boolean")
 
 
 def windowed_load(heartbeats: DataFrame, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
