@@ -4,7 +4,8 @@ For unit vectors a cosine of t means a squared distance of 2 - 2t. A fixed rotat
 coordinates, which are then cut into blocks. If two vectors are close, they are close in at least one block, within that block's
 proportional part of the squared distance. Each block is range-joined on a grid over its leading coordinates: a vector is at home
 in one cell and visits those that its ball reaches. Pairs within the block's budget are verified by the whole vectors, in the
-first block that finds them, so that each link counts once. Equal vectors of a label are one class and are joined once.
+first block that finds them, so that each link counts once. Equal vectors of a label are one class, which has a key of its own and
+is joined once.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from fleetlens.llm.common import EDGE, components, runs, stored
 BLOCKS, GRID, SIDE = 8, 2, 3.0
 #: Rows of one side of a cell that meet in one task.
 CHUNK = 1024
-#: Room for rounding in the candidate search; the verification is exact.
-SLACK = 1e-9
+#: Room for rounding in the pigeonhole bound, and in the candidate search beyond that; the verification is exact.
+SLACK, LOOSE = 1e-9, 1e-12
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -82,14 +83,24 @@ def _met(threshold: float):
             left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
             home = rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
             ids, size = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
+            shared = rows.column("shared").to_numpy(zero_copy_only=False).astype(bool)
             unit = _unit(rows.column("vec").combine_chunks(), dim)
-            turned = unit @ rotation(dim)
+            # Not by matrix product, whose rounding follows the number of rows: a class has the same coordinates in every task.
+            turned = np.einsum("ij,jk->ik", unit, rotation(dim), optimize=False)
             blocks = _budgets(dim, threshold)
 
             def near(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 at, budget = blocks[k]
                 a, b = turned[np.ix_(x, at)], turned[np.ix_(y, at)]
-                return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T <= budget
+                return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T <= budget + LOOSE
+
+            def first_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                """The first block within whose budget each pair lies, by one formula for each pair."""
+                out = np.full(len(x), len(blocks))
+                for k in reversed(range(len(blocks))):
+                    at, budget = blocks[k]
+                    out[((turned[np.ix_(x, at)] - turned[np.ix_(y, at)]) ** 2).sum(axis=1) <= budget] = k
+                return out
 
             x = np.flatnonzero(left)
             y = x if own else np.flatnonzero(~left)
@@ -103,8 +114,8 @@ def _met(threshold: float):
                 continue
             x, y, found = x[keep_x], y[keep_y], found[np.ix_(keep_x, keep_y)]
             found &= unit[x] @ unit[y].T >= threshold
-            for k in range(j):
-                found &= ~near(k, x, y)
+            p, q = np.nonzero(found)
+            found[p, q] = first_block(x[p], y[q]) == j
             if not found.any():
                 continue
             who, at = np.unique(np.concatenate([ids[x], ids[y]]), return_inverse=True)
@@ -113,7 +124,12 @@ def _met(threshold: float):
             full[np.ix_(at[: len(x)], at[len(x) :])] |= found
             full |= full.T
             low = _labels(full)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who[low]), pa.array(links)], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who[low]), pa.array(links), pa.array(np.zeros(len(who), bool))], ["a", "b", "links", "pair"])
+            # Classes with an id that others have too are told pair by pair, as their ids must not count twice.
+            p, q = np.nonzero(found & (shared[x][:, None] | shared[y][None, :]))
+            for k in range(0, len(p), 50_000):
+                a, b = ids[x[p[k : k + 50_000]]], ids[y[q[k : k + 50_000]]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64)), pa.array(np.ones(len(a), bool))], ["a", "b", "links", "pair"])
 
     return run
 
@@ -128,13 +144,25 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_
 
     Vectors of equal label and length are linked when their cosine, in double precision, reaches the threshold. Vectors that are
     null, zero, or hold null or non-finite numbers, and those without a label or an id, are linked with nothing and kept. Equal
-    vectors are linked with each other. Rows that share an id are one vector of several rows: the smallest component of theirs
-    stands for all. An empty table gives an empty result. Other columns are ignored.
+    vectors are linked with each other. Rows that share an id are one vector of several rows: it has the links of all of them, each
+    other id counts once, its own never, and components run through it. An empty table gives an empty result. Other columns are
+    ignored.
     """
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("vec"))
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.transform(F.col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
+    # (Adding zero makes the two zeros one, as groups do.)
     rows = rows.withColumn("usable", _usable(F.col("vec"), F.col("label")) & F.col("vec_id").isNotNull())
-    good = rows.where("usable")
-    classes = stored(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vec")), "classes")
+    seed, named, kinds = 0, None, None
+    while named is None:
+        good = rows.where("usable").withColumn("rep", F.xxhash64(F.lit(seed), "label", "vec"))
+        kinds = stored(good.groupBy("label", "vec").agg(F.min("rep").alias("rep")).withColumn("dim", F.size("vec")), "kinds")
+        if kinds.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            named = stored(good.groupBy("vec_id", "rep").agg(F.count("*").alias("rows")).select("vec_id", "rep"), "members")
+        seed += 1  # two classes of one hash: name them all anew
+    several = stored(named.groupBy("vec_id").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("vec_id", "low"), "shared-ids")
+    # (vec_id, rep, low) of ids with vectors in several classes; empty where ids are unique.
+    mixed = stored(named.join(several, "vec_id"), "shared")
+    counts = named.join(several.select("vec_id", F.lit(1).alias("many")), "vec_id", "left").groupBy("rep").agg(F.count_if(F.col("many").isNull()).alias("n"), F.coalesce(F.max(F.col("many") == 1), F.lit(False)).alias("shared"))
+    classes = stored(kinds.join(counts, "rep"), "classes")
     homes = stored(classes.select("rep", "dim", "vec").mapInArrow(_placed(threshold), "rep long, block int, c1 long, c2 long, home boolean").join(classes.select("rep", "label", "dim"), "rep"), "cells")
 
     cell = ["label", "dim", "block", "c1", "c2"]
@@ -147,13 +175,26 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_
     none = F.expr("cast(array() as array<struct<i:int,k:int,left:boolean>>)")
     meets = F.when(F.col("home"), F.concat(F.transform(F.sequence(c, h - 1), lambda k: meet(c, k, True)), F.when(g > 0, F.transform(F.sequence(h, h + g - 1), lambda k: meet(c, k, True))).otherwise(none), F.when(c > 0, F.transform(F.sequence(F.lit(0), c - 1), lambda i: meet(i, c, False))).otherwise(none))).otherwise(F.transform(F.sequence(F.lit(0), h - 1), lambda i: meet(i, h + c, False)))
     dealt = dealt.select("rep", *cell, "home", F.explode(meets).alias("at")).select("rep", "dim", "block", "home", F.col("at.left").alias("left"), (F.col("at.i") == F.col("at.k")).alias("own"), F.to_json(F.struct(*cell, "at.i", "at.k")).alias("key"))
-    met = dealt.join(classes.select("rep", "n", "vec"), "rep").repartition("key").sortWithinPartitions("key")
-    found = stored(met.select("key", "dim", "block", "own", "left", "home", "rep", "n", "vec").mapInArrow(_met(threshold), "a long, b long, links long"), "links")
-
-    groups = components(found.select(*EDGE.names))
-    totals = found.groupBy("a").agg(F.sum("links").alias("links"))
-    info = classes.join(totals, classes.rep == totals.a, "left").join(groups, classes.rep == groups.vertex, "left")
-    info = info.select("label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = good.join(info, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    met = dealt.join(classes.select("rep", "n", "shared", "vec"), "rep").repartition("key").sortWithinPartitions("key")
+    found = stored(met.select("key", "dim", "block", "own", "left", "home", "rep", "n", "shared", "vec").mapInArrow(_met(threshold), "a long, b long, links long, pair boolean"), "links")
+
+    same_id = mixed.select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    groups = components(found.select(*EDGE.names).union(same_id))
+    # Ids of one class alone, in the class and in those linked with it.
+    near = found.groupBy("a").agg(F.sum("links").alias("links"))
+    plain = classes.join(near, classes.rep == near.a, "left").select("rep", "n", (F.col("n") + F.coalesce("links", F.lit(0))).alias("around"))
+    pairs = found.where("pair").select("a", "b")
+    pairs = stored(pairs.union(pairs.select("b", "a")).union(mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
+    # Ids of several classes that are seen from each class, and all that those see themselves.
+    seen = pairs.join(mixed.select(F.col("rep").alias("b"), "vec_id"), "b").groupBy("a").agg(F.count_distinct("vec_id").alias("others"))
+    sight = mixed.select("vec_id", F.col("rep").alias("a")).join(pairs, "a").select("vec_id", "b").distinct()
+    sizes = sight.join(plain.select(F.col("rep").alias("b"), "n"), "b").groupBy("vec_id").agg(F.sum("n").alias("plain"))
+    theirs = sight.join(mixed.select(F.col("rep").alias("b"), F.col("vec_id").alias("other")), "b").where("vec_id <> other").groupBy("vec_id").agg(F.count_distinct("other").alias("mixed"))
+    wide = sizes.join(theirs, "vec_id", "left").select("vec_id", (F.col("plain") + F.coalesce("mixed", F.lit(0))).alias("n_wide"))
+    each = named.join(plain, "rep").join(seen.withColumnRenamed("a", "rep"), "rep", "left").join(groups.withColumnRenamed("vertex", "rep"), "rep", "left")
+    each = each.select("vec_id", F.coalesce("component", "rep").alias("component"), (F.col("around") + F.coalesce("others", F.lit(0)) - 1).alias("n_links"))
+    each = stored(each.groupBy("vec_id").agg(F.min("component").alias("component"), F.max("n_links").alias("n_links")), "each")
+    first = each.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    info = each.join(first.hint("merge"), "component").join(wide, "vec_id", "left").select("vec_id", F.coalesce("n_wide", "n_links").alias("n_links"), "component_id")
+    out = rows.select("vec_id", "usable").join(info, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
