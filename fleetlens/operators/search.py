@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,9 @@ DEFAULT_LIMIT = 20
 FEDERATED_DEFAULT_LIMIT = 50
 MAX_FANOUT_TARGETS = 64
 MAX_QUERY_PAGE = 512
+# Vectors of a block, and blocks whose best rows are merged before all are.
+VECTOR_BLOCK = 1 << 16
+MERGED_BLOCKS = 256
 
 
 class Index(NamedTuple):
@@ -256,42 +259,74 @@ def find_file(docs: DataFrame, name_glob: str) -> DataFrame:
     return copies.select("content_hash", F.col("first.scope").alias("scope"), F.col("first.path").alias("path"), "copies")
 
 
-def embed_lookup(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` vectors most similar to each query by dot product (unit vectors: cosine).
+def embed_lookup(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = MAX_QUERY_PAGE, vector_block: int = VECTOR_BLOCK
+) -> DataFrame:
+    """The ``k`` vectors most similar to each query by dot product (unit vectors: cosine), ties to the smaller vec_id.
 
-    ``vectors``: vec_id, embedding.  ``queries``: query_id, embedding.  Queries are read in hash pages of bounded
-    size; every Arrow batch of vectors is multiplied with a page at once and reduced to its own k best rows per
-    query, so the shuffle carries k rows per batch and query.
+    ``vectors``: vec_id, embedding.  ``queries``: query_id, embedding.  Both are dealt over a grid of blocks: a task
+    holds about ``query_block`` queries, and multiplies them with the vectors of one block as these pass through,
+    keeping k rows a query.  The k best of the blocks are merged by groups of blocks first, then over all.  Rows
+    without a vector are left out.
     """
-    spark = vectors.sparkSession
-    count = queries.count()
-    pages = max(1, -(-count // MAX_QUERY_PAGE))
-    partial = None
-    for page in range(pages):
-        chosen = queries if pages == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pages)) == page)
-        rows = chosen.select(F.col("query_id").cast("string").alias("query_id"), "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], dtype=object)
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, shared=shared):
-            names, wanted = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                scores = wanted @ block.T
-                own = batch["vec_id"].to_numpy()
-                for name, row in zip(names, scores):
-                    order = np.lexsort((own, -row))[:k]
-                    yield pd.DataFrame({"query_id": name, "vec_id": own[order], "score": row[order]})
-
-        found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(
-            best, "query_id string, vec_id long, score double"
-        )
-        partial = found if partial is None else partial.unionByName(found)
-    if partial is None:
-        return spark.createDataFrame([], "query_id string, vec_id long, score double, rank int")
-    return top_k(partial, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    whole = F.col("embedding").cast("array<double>").alias("embedding")
+    there = F.col("embedding").isNotNull()
+    rows_v, rows_q = vectors.filter(there).count(), queries.filter(there).count()
+    across, down = max(1, -(-rows_v // vector_block)), max(1, -(-rows_q // query_block))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.filter(there).select(
+        each(across).alias("i"), block("query_id", down).alias("j"), F.col("query_id").cast("string").alias("query_id"), F.lit(None).cast("long").alias("vec_id"), whole
+    )
+    known = vectors.filter(there).select(
+        block("vec_id", across).alias("i"), each(down).alias("j"), F.lit(None).cast("string").alias("query_id"), F.col("vec_id").cast("long").alias("vec_id"), whole
+    )
+    grid = asked.unionByName(known).withColumn("known", F.col("query_id").isNull())
+    dealt = grid.repartition(across * down, "i", "j").sortWithinPartitions("i", "j", "known")
+    partial = dealt.mapInArrow(_nearest(k), "i int, query_id string, vec_id long, score double")
+    ordering = [F.desc("score"), F.asc("vec_id")]
+    merged = top_k(partial.withColumn("part", F.floor(F.col("i") / MERGED_BLOCKS)), ["query_id", "part"], ordering, k) if across > MERGED_BLOCKS else partial
+    return top_k(merged.select("query_id", "vec_id", "score"), ["query_id"], ordering, k)
+
+
+def _nearest(k: int):
+    """Of rows sorted by block, queries first: the k best vectors of each block for each of its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, matrix, ids, scores = None, [], [], None, None
+
+        def best(new_ids: np.ndarray, new_scores: np.ndarray) -> None:
+            nonlocal ids, scores
+            new_ids = np.broadcast_to(new_ids, new_scores.shape)
+            ids = new_ids if ids is None else np.concatenate([ids, new_ids], axis=1)
+            scores = new_scores if scores is None else np.concatenate([scores, new_scores], axis=1)
+            order = np.lexsort((ids, -scores), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if ids is not None:
+                n = ids.shape[1]
+                columns = [pa.array(np.full(len(names) * n, at[0]), pa.int32()), pa.array(np.repeat(np.array(names, object), n), pa.string()), pa.array(ids.ravel()), pa.array(scores.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["i", "query_id", "vec_id", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            side = batch.column("known").to_numpy(zero_copy_only=False)
+            change = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (i[lo], j[lo]) != at:
+                    yield from done()
+                    at, names, matrix, ids, scores = (i[lo], j[lo]), [], [], None, None
+                rows = batch.slice(lo, hi - lo)
+                block = np.array(rows.column("embedding").to_pylist(), np.float64)
+                if not side[lo]:
+                    names += rows.column("query_id").to_pylist()
+                    matrix.append(block)
+                elif names:
+                    best(rows.column("vec_id").to_numpy()[None, :], np.concatenate(matrix) @ block.T)
+        yield from done()
+
+    return run
