@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import jsonfn
 from fleetlens.vocab import GOAL_ROUTES
 
-# Rules are configuration; they are compiled in pages of this many so that no expression grows without bound.
-RULE_PAGE = 1_000
-
-_RULE_TYPE = (
-    "array<struct<rule_no:int,cmd:string,any_args:boolean,subcmds:array<string>,pattern:string,model:string,"
-    "model_prefix:string,server:string,tool:string>>"
-)
-
+# Patterns of one page: an automaton, held by one task beside the lines it scans.
+RULE_PAGE = 20_000
 
 # Several entries for one node: the first of these levels among them holds, then any other by name.
 TRUST_PRECEDENCE = ("untrusted", "default", "trusted")
@@ -41,87 +36,156 @@ def resolve_trust(requests: DataFrame, trust: DataFrame) -> DataFrame:
     return joined.withColumn("trust", F.coalesce("own", "any", F.lit("default"))).drop("own", "any")
 
 
-def _pages(rules: DataFrame, kind: str, effect: str) -> list[Column]:
-    """Literal rule arrays of at most RULE_PAGE rules each, in declaration order."""
-    names = ["rule_no", "cmd", "any_args", "subcmds", "pattern", "model", "model_prefix", "server", "tool"]
-    rows: list[Row] = rules.filter((F.col("kind") == kind) & (F.col("effect") == effect)).orderBy("rule_no").collect()
-    pages = [rows[i : i + RULE_PAGE] for i in range(0, len(rows), RULE_PAGE)]
-    return [F.from_json(F.lit(json.dumps([{n: r[n] for n in names} for r in page])), _RULE_TYPE) for page in pages]
-
+def _key_of(kind: str, subject: Column, second: Column | None = None) -> Column:
+    parts = [F.lit(kind).alias("kind"), subject.alias("key")]
+    return F.struct(*parts, *([] if second is None else [second.alias("second")]))
 
-def _first(pages: Sequence[Column], test) -> Column:
-    """Lowest rule number whose test holds, or NULL."""
-    found = [F.array_min(F.transform(F.filter(page, test), lambda r: r["rule_no"])) for page in pages]
-    if not found:
-        return F.lit(None).cast("int")
-    return found[0] if len(found) == 1 else F.least(*found)
 
+def _least_no(rules: DataFrame, **cases: Column) -> DataFrame:
+    """Of rules with a ``match`` key: the least rule number for each key and case."""
+    return rules.filter(F.col("match").isNotNull()).groupBy("match").agg(*[F.min(F.when(c, F.col("rule_no"))).alias(n) for n, c in cases.items()])
 
-def _shell_deny(rule: Column) -> Column:
-    by_cmd = (rule["cmd"] == F.col("cmd")) & (F.coalesce(rule["any_args"], F.lit(False)) | (F.size("args") == 0))
-    whole = F.concat_ws(" ", F.col("cmd"), F.when(F.size("args") > 0, F.array_join("args", " ")))
-    return F.when(rule["pattern"].isNotNull(), F.contains(whole, rule["pattern"])).otherwise(by_cmd)
 
+def _by_subject(rules: DataFrame) -> DataFrame:
+    """Rules that name a command, a model or a server alone: (match, deny_any, deny_bare, allow_any, allow_bare).
 
-def _shell_allow(rule: Column) -> Column:
-    limited = F.coalesce(F.size(rule["subcmds"]), F.lit(0)) > 0
-    first_arg = F.try_element_at("args", F.lit(1))
-    listed = F.coalesce(F.array_contains(rule["subcmds"], first_arg), F.lit(False))
-    bare = F.coalesce(rule["any_args"], F.lit(False)) | (F.size("args") == 0)
-    return (rule["cmd"] == F.col("cmd")) & F.when(limited, listed).otherwise(bare)
+    ``bare`` rules hold for a command without arguments only.
+    """
+    c = F.col
+    deny, limited = c("effect") == "deny", F.coalesce(F.size("subcmds"), F.lit(0)) > 0
+    bare = (c("kind") == "shell") & ~F.coalesce(c("any_args"), F.lit(False))
+    match = (
+        F.when((c("kind") == "shell") & ~F.when(deny, c("pattern").isNotNull()).otherwise(limited), _key_of("shell", c("cmd")))
+        .when((c("kind") == "llm") & c("model_prefix").isNull(), _key_of("llm", c("model")))
+        .when((c("kind") == "mcp") & c("tool").isNull(), _key_of("mcp", c("server")))
+    )
+    return _least_no(rules.withColumn("match", match), deny_any=deny & ~bare, deny_bare=deny & bare, allow_any=~deny & ~bare, allow_bare=~deny & bare)
 
 
-def _llm(rule: Column) -> Column:
-    by_prefix = F.startswith(F.col("model"), rule["model_prefix"])
-    return F.when(rule["model_prefix"].isNotNull(), by_prefix).otherwise(rule["model"] == F.col("model"))
+def _by_pair(rules: DataFrame) -> DataFrame:
+    """Rules that name a command and its first argument, or a server and its tool: (match, deny, allow)."""
+    c = F.col
+    deny, limited = c("effect") == "deny", F.coalesce(F.size("subcmds"), F.lit(0)) > 0
+    subs = rules.filter((c("kind") == "shell") & ~deny & limited).select("*", F.explode_outer("subcmds").alias("sub"))
+    shell = subs.withColumn("match", _key_of("shell", c("cmd"), c("sub"))).drop("sub")
+    mcp = rules.filter((c("kind") == "mcp") & c("tool").isNotNull()).withColumn("match", _key_of("mcp", c("server"), c("tool")))
+    return _least_no(shell.unionByName(mcp), deny=deny, allow=~deny)
 
 
-def _mcp(rule: Column) -> Column:
-    return (rule["server"] == F.col("server")) & (rule["tool"].isNull() | (rule["tool"] == F.col("tool")))
+def _by_prefix(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules that name a prefix of models: (key, deny, allow) for each model asked for, which meets them by its own prefixes."""
+    named = rules.filter((F.col("kind") == "llm") & F.col("model_prefix").isNotNull())
+    by = named.groupBy(F.col("model_prefix").alias("prefix")).agg(
+        F.min(F.when(F.col("effect") == "deny", F.col("rule_no"))).alias("deny"), F.min(F.when(F.col("effect") != "deny", F.col("rule_no"))).alias("allow")
+    )
+    models = requests.filter((F.col("kind") == "llm") & F.col("model").isNotNull()).select(F.col("model").alias("key")).distinct()
+    prefixes = models.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("prefix"))
+    return prefixes.join(by, "prefix").groupBy("key").agg(F.min("deny").alias("deny"), F.min("allow").alias("allow"))
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block, patterns first: the least rule whose pattern each line holds."""
+    import ahocorasick
+
+    at, least, finder = None, {}, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, j = batch.column("i").to_pylist(), batch.column("j").to_pylist()
+        found: list[tuple[str, int]] = []
+        for place, line, no in zip(zip(i, j), batch.column("line").to_pylist(), batch.column("rule_no").to_pylist()):
+            if place != at:
+                at, least, finder = place, {}, None
+            if no is not None:
+                least[line] = min(no, least.get(line, no))
+                continue
+            if finder is None and least:
+                finder = ahocorasick.Automaton()
+                for pattern, number in least.items():
+                    finder.add_word(pattern, number)
+                finder.make_automaton()
+            if finder is not None and (hit := min((number for _, number in finder.iter(line)), default=None)) is not None:
+                found.append((line, hit))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], ["line", "deny"])
+
+
+def _by_pattern(requests: DataFrame, rules: DataFrame, block: int) -> DataFrame:
+    """Rules that deny a part of the command line: (line, deny) for each line that holds one.
+
+    Lines and patterns meet on a grid: a task holds one automaton of about ``block`` patterns and scans its lines once.
+    """
+    patterns = rules.filter((F.col("kind") == "shell") & (F.col("effect") == "deny") & F.col("pattern").isNotNull()).select("pattern", F.col("rule_no").cast("int").alias("rule_no"))
+    across = max(1, -(-patterns.count() // block))
+    groups = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lines = requests.filter(F.col("kind") == "shell").select("line").distinct()
+    asked = lines.select(dealt("line", groups).alias("i"), each(across).alias("j"), "line", F.lit(None).cast("int").alias("rule_no"))
+    # An empty pattern is part of every line, which no automaton finds.
+    known = patterns.filter("pattern <> ''").select(each(groups).alias("i"), dealt("pattern", across).alias("j"), F.col("pattern").alias("line"), "rule_no")
+    grid = known.unionByName(asked).repartition(groups * across, "i", "j").sortWithinPartitions("i", "j", F.col("rule_no").isNull())
+    return grid.mapInArrow(_matched, "line string, deny int").groupBy("line").agg(F.min("deny").alias("deny"))
 
 
 def evaluate_rules(
-    requests: DataFrame, rules: DataFrame, trust: DataFrame, llm_section: bool = True
+    requests: DataFrame, rules: DataFrame, trust: DataFrame, llm_section: bool = True, pattern_block: int | None = None
 ) -> DataFrame:
     """Decision per request: untrusted sources are denied, then the first deny rule, then the first allow rule, then
     the default.  ``llm_section=False`` means no model rules were written at all, which allows every model.
 
     ``requests``: request_id, kind (shell|llm|mcp|secret), from_node, cmd, args, model, server, tool.
+
+    Rules are a table that requests meet by equality: of the command, model or server, of that with the first argument
+    or the tool, and of prefixes of the model.  Each of these tables has one row a key, so no request is doubled, and
+    plans do not grow with the rules.
     """
-    judged = resolve_trust(requests.withColumn("args", F.coalesce("args", F.array().cast("array<string>"))), trust)
-    tests = {"shell": (_shell_deny, _shell_allow), "llm": (_llm, _llm), "mcp": (_mcp, _mcp)}
-    deny, allow = F.lit(None).cast("int"), F.lit(None).cast("int")
-    llm_empty = True
-    for kind, (deny_test, allow_test) in tests.items():
-        deny_pages, allow_pages = _pages(rules, kind, "deny"), _pages(rules, kind, "allow")
-        if kind == "llm":
-            llm_empty = not deny_pages and not allow_pages
-        here = F.col("kind") == kind
-        deny = F.when(here, _first(deny_pages, deny_test)).otherwise(deny)
-        allow = F.when(here, _first(allow_pages, allow_test)).otherwise(allow)
-    is_llm = F.col("kind") == "llm"
-    judged = judged.withColumns({"deny_no": deny, "allow_no": allow})
-    reason = F.when(F.col("kind") == "secret", "always_allowed")
+    c = F.col
+    asked = requests.select("request_id", "kind", "from_node", "cmd", F.coalesce("args", F.array().cast("array<string>")).alias("args"), "model", "server", "tool")
+    judged = resolve_trust(asked, trust).withColumns(
+        {
+            "line": F.concat_ws(" ", "cmd", F.when(F.size("args") > 0, F.array_join("args", " "))),
+            "match": F.when(c("kind") == "shell", _key_of("shell", c("cmd"))).when(c("kind") == "llm", _key_of("llm", c("model"))).when(c("kind") == "mcp", _key_of("mcp", c("server"))),
+            "pair": F.when(c("kind") == "shell", _key_of("shell", c("cmd"), F.try_element_at("args", F.lit(1)))).when(c("kind") == "mcp", _key_of("mcp", c("server"), c("tool"))),
+        }
+    )
+    # A null inside a key is no match, though two such keys are equal.
+    whole = lambda key, *names: F.when(reduce(lambda x, y: x & y, [c(f"{key}.{n}").isNotNull() for n in names]), c(key))
+    judged = judged.withColumns({"match": whole("match", "key"), "pair": whole("pair", "key", "second")})
+    effective = rules.filter(c("effect").isin("deny", "allow"))
+    marks = lambda df, tag: df.select(*[c(n).alias(n if n in ("match", "pair", "key", "line") else f"{tag}_{n}") for n in df.columns])
+    found = judged.join(marks(_by_subject(effective), "s"), "match", "left")
+    found = found.join(marks(_by_pair(effective).withColumnRenamed("match", "pair"), "p"), "pair", "left")
+    found = found.join(marks(_by_prefix(judged, effective), "m"), (c("kind") == "llm") & (c("model") == c("key")), "left")
+    found = found.join(marks(_by_pattern(judged, effective, pattern_block or RULE_PAGE), "t").withColumnRenamed("line", "held"), (c("kind") == "shell") & (c("line") == c("held")), "left")
+    bare = (c("kind") != "shell") | (F.size("args") == 0)
+    always = effective.filter((c("kind") == "shell") & (c("effect") == "deny") & (c("pattern") == "")).agg(F.min("rule_no")).scalar()
+    judged = found.withColumns(
+        {
+            "deny_no": F.least("s_deny_any", F.when(bare, c("s_deny_bare")), c("p_deny"), c("m_deny"), c("t_deny"), F.when(c("kind") == "shell", always)),
+            "allow_no": F.least("s_allow_any", F.when(bare, c("s_allow_bare")), c("p_allow"), c("m_allow")),
+        }
+    )
+    llm_empty = effective.filter(c("kind") == "llm").isEmpty()
+    is_llm = c("kind") == "llm"
+    reason = F.when(c("kind") == "secret", "always_allowed")
     if not llm_section:
         reason = reason.when(is_llm, "no_section")
-    reason = reason.when(F.col("trust") == "untrusted", "untrusted_source")
+    reason = reason.when(c("trust") == "untrusted", "untrusted_source")
     if llm_section and llm_empty:
         reason = reason.when(is_llm, "empty_section")
     reason = (
-        reason.when(F.col("deny_no").isNotNull(), "deny_rule")
-        .when(F.col("allow_no").isNotNull(), "allow_rule")
+        reason.when(c("deny_no").isNotNull(), "deny_rule")
+        .when(c("allow_no").isNotNull(), "allow_rule")
         .otherwise("no_rule_matched")
     )
     out = judged.withColumn("reason", reason)
-    allowed = F.col("reason").isin("always_allowed", "no_section", "allow_rule")
+    allowed = c("reason").isin("always_allowed", "no_section", "allow_rule")
     return out.select(
         "request_id",
         "kind",
         F.when(allowed, "allow").otherwise("deny").alias("decision"),
         "reason",
-        F.when(F.col("reason") == "deny_rule", F.col("deny_no"))
-        .when(F.col("reason") == "allow_rule", F.col("allow_no"))
-        .alias("rule_no"),
+        F.when(c("reason") == "deny_rule", c("deny_no")).when(c("reason") == "allow_rule", c("allow_no")).alias("rule_no"),
     )
 
 
