@@ -257,6 +257,50 @@ def federated_grep_f7(spark, d):
     return out.select("node_id", "scope", "path", F.col("line_number").cast("long").alias("line_number"), F.col("match_no").cast("long").alias("match_no"))
 
 
+_NODE = "'node-' || substr(scope, 4, 1)"
+# Scopes answer by their number: every fifth fails, every seventh is silent; the rest are asked and answer.
+_ASKED = f"""pairs AS (SELECT DISTINCT {_NODE} AS node_id, scope, substr(scope, 4)::INT AS no FROM docs),
+    asked AS (SELECT * FROM pairs ORDER BY (node_id <> 'node-2'), node_id, scope LIMIT 15),
+    judged AS (SELECT *, CASE WHEN no % 7 = 4 THEN 'no answer' WHEN no % 5 = 3 THEN 'timed out' END AS error FROM asked),
+    counts AS (SELECT count(*) FILTER (error IS NULL) AS targets_ok, count(*) FILTER (error IS NOT NULL) AS targets_failed, (SELECT greatest(count(*) - 15, 0) FROM pairs) AS truncated_targets FROM judged)"""
+
+
+def _fan_out(spark, d):
+    """Who is asked, own node first, and what they answer."""
+    docs = b.docs(spark, d).select(F.concat(F.lit("node-"), F.substring("scope", 4, 1)).alias("node_id"), "scope").distinct()
+    manifests = docs.groupBy("node_id").agg(F.collect_set("scope").alias("scopes"), F.array(F.lit("fs.grep")).alias("capabilities"))
+    targets = search.fanout_pairs(manifests, docs.select("node_id").distinct(), "fs.grep", "node-2", 15)
+    no = F.substring("scope", 4, 9).cast("int")
+    answers = docs.filter(no % 7 != 4).select("node_id", "scope", F.when(no % 5 == 3, "timed out").alias("error"))
+    return targets, answers
+
+
+@query(
+    "federated_grep_report_f7",
+    f"""{DOCS}, {_LINES}, {_ASKED}, m AS (SELECT scope, path, line_number, row_number() OVER (PARTITION BY scope ORDER BY string_split(path, '/'), line_number) AS match_no FROM lines WHERE regexp_matches(line, '{PATTERN}'))
+    SELECT 'result' AS kind, {_NODE} AS node_id, scope, path, line_number, match_no, NULL AS error, NULL::BIGINT AS targets_ok, NULL::BIGINT AS targets_failed, NULL::BIGINT AS truncated_targets
+      FROM m WHERE match_no <= 20 AND scope IN (SELECT scope FROM judged WHERE error IS NULL)
+    UNION ALL SELECT 'failure', node_id, scope, NULL, NULL, NULL, error, NULL, NULL, NULL FROM judged WHERE error IS NOT NULL
+    UNION ALL SELECT 'provenance', NULL, NULL, NULL, NULL, NULL, NULL, targets_ok, targets_failed, truncated_targets FROM counts""",
+)
+def federated_grep_report_f7(spark, d):
+    """Matches beside the scopes that failed or kept silent, and how many of each there were."""
+    found = corpus.grep(b.docs(spark, d), PATTERN).withColumn("node_id", F.concat(F.lit("node-"), F.substring("scope", 4, 1)))
+    best = search.federated_grep(found, 20).select("node_id", "scope", "path", F.col("line_number").cast("long").alias("line_number"), F.col("match_no").cast("long").alias("match_no"))
+    return search.with_provenance(best, *_fan_out(spark, d))
+
+
+@query(
+    "federated_search_report_f6",
+    f"""{_HITS}, {_ASKED} SELECT 'result' AS kind, {_NODE} AS node_id, scope, path, round(score, 6) AS score, NULL AS error, NULL::BIGINT AS targets_ok, NULL::BIGINT AS targets_failed, NULL::BIGINT AS truncated_targets
+      FROM hits WHERE scope IN (SELECT scope FROM judged WHERE error IS NULL)
+    UNION ALL SELECT 'failure', node_id, scope, NULL, NULL, error, NULL, NULL, NULL FROM judged WHERE error IS NOT NULL
+    UNION ALL SELECT 'provenance', NULL, NULL, NULL, NULL, NULL, targets_ok, targets_failed, truncated_targets FROM counts""",
+)
+def federated_search_report_f6(spark, d):
+    return search.with_provenance(_hits(spark, d).withColumn("score", F.round("score", 6)), *_fan_out(spark, d))
+
+
 @query(
     "fanout_pairs_f8",
     f"""{ctes("manifests")}, p AS (SELECT node_id, unnest(scopes) AS scope FROM manifests WHERE list_contains(capabilities, 'shell.exec')

@@ -234,6 +234,31 @@ def federated_grep(matches: DataFrame, limit: int = 100) -> DataFrame:
     return top_k(matches, ["node_id", "scope"], walk_order(), limit, rank="match_no")
 
 
+def with_provenance(results: DataFrame, targets: DataFrame, answers: DataFrame) -> DataFrame:
+    """A fan-out's results, the scopes that failed, and one row that counts both.
+
+    ``results``: node_id, scope and what was found there.  ``targets``: the pairs that were asked, as ``fanout_pairs``
+    gives them.  ``answers``: node_id, scope, error - null where the scope answered; of several answers of a pair an
+    error holds, the first by name.  A pair without an answer failed as ``no answer``.
+
+    Rows of kind ``result`` keep their columns; results of pairs that failed, or were not asked, do not count.  Rows of
+    kind ``failure`` say the error, the one of kind ``provenance`` has targets_ok, targets_failed and truncated_targets.
+    """
+    pair = ["node_id", "scope"]
+    told = answers.groupBy(*pair).agg(F.min("error").alias("error"), F.lit(True).alias("told"))
+    asked = targets.groupBy(*pair).agg(F.max("truncated_targets").alias("truncated"))
+    judged = asked.join(told, pair, "left").select(*pair, F.when(F.col("told"), F.col("error")).otherwise("no answer").alias("error"), "truncated")
+    found = results.join(judged.filter(F.col("error").isNull()).select(*pair), pair, "left_semi")
+    failed = judged.filter(F.col("error").isNotNull()).select(F.lit("failure").alias("kind"), *pair, "error")
+    counts = judged.agg(
+        F.count_if(F.col("error").isNull()).alias("targets_ok"),
+        F.count_if(F.col("error").isNotNull()).alias("targets_failed"),
+        F.coalesce(F.max("truncated"), F.lit(0)).cast("long").alias("truncated_targets"),
+    )
+    rows = found.select(F.lit("result").alias("kind"), *results.columns).unionByName(failed, allowMissingColumns=True)
+    return rows.unionByName(counts.withColumn("kind", F.lit("provenance")), allowMissingColumns=True)
+
+
 def fanout_pairs(
     manifests: DataFrame, live: DataFrame, capability: str, self_node: str, cap: int | None = MAX_FANOUT_TARGETS
 ) -> DataFrame:

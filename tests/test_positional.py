@@ -114,3 +114,16 @@ def test_phrases_by_positions(spark, folder):
         positional.search_phrase_index(index, " .. ")
     plain = {r.path: (r.occurrences, round(r.score, 9)) for r in search.search_phrase(docs(spark, TEXTS), "the quick").collect()}
     assert plain == {r.path: (r.occurrences, round(r.score, 9)) for r in positional.search_phrase_index(index, "the quick").collect()}
+
+
+def test_failures_beside_results(spark):
+    results = spark.createDataFrame([("a", "s1", "x"), ("a", "s1", "y"), ("a", "s2", "z"), ("b", "s3", "w"), ("c", "s9", "v")], "node_id string, scope string, path string")
+    targets = spark.createDataFrame([("a", "s1", 2), ("a", "s2", 2), ("b", "s3", 2), ("b", "s4", 2)], "node_id string, scope string, truncated_targets long")
+    answers = spark.createDataFrame([("a", "s1", None), ("a", "s2", None), ("a", "s2", "broken"), ("b", "s3", None), ("c", "s9", None)], "node_id string, scope string, error string")
+    rows = search.with_provenance(results, targets, answers).collect()
+    of = lambda kind, *names: sorted(tuple(r[n] for n in names) for r in rows if r.kind == kind)
+    assert of("result", "node_id", "scope", "path") == [("a", "s1", "x"), ("a", "s1", "y"), ("b", "s3", "w")]
+    assert of("failure", "node_id", "scope", "error") == [("a", "s2", "broken"), ("b", "s4", "no answer")]
+    assert of("provenance", "targets_ok", "targets_failed", "truncated_targets") == [(2, 2, 2)]
+    none = search.with_provenance(results, targets.limit(0), answers).collect()
+    assert [(r.kind, r.targets_ok, r.targets_failed, r.truncated_targets) for r in none] == [("provenance", 0, 0, 0)]
