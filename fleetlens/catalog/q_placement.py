@@ -189,10 +189,20 @@ _KEY = "capability, cpu_class, memory_mb, gpu_required, gpu_memory_mb"
 )
 def pick_candidate_c11(spark, d):
     tasks = _demand_tasks(spark, d)
-    out = pl.pick_candidate(tasks, pl.rank_candidates(tasks, _demand_nodes(spark, d)))
+    out = pl.pick_candidate(tasks, pl.candidate_bands(tasks, _demand_nodes(spark, d)))
     return out.withColumn("score", F.round("score", 9))
 
 
+@query(
+    "candidate_bands_c10",
+    f"""WITH {_DEMAND} SELECT {_KEY}, node_id, round(score, 9) AS score FROM (SELECT *, max(score) OVER (PARTITION BY {_KEY}) AS best FROM ranked) WHERE score >= best * 0.99""",
+)
+def candidate_bands_c10(spark, d):
+    """Only the nodes that a demand may get: what is dominated is never joined with it."""
+    out = pl.candidate_bands(_demand_tasks(spark, d), _demand_nodes(spark, d))
+    return out.drop("demand_id").withColumn("score", F.round("score", 9))
+
+
 @query(
     "effective_hints_c10",
     f"""WITH {_DEMAND} SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, CASE WHEN cpu_class = 'light' AND capability IN ('n1', 'n2') THEN 'heavy' ELSE cpu_class END AS cpu_class,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import jsonfn
 from fleetlens.functions.numeric import clamp, saturating_sub, soft_pressure
+from fleetlens.operators.compose import CHUNK_ROWS, chunked
 from fleetlens.operators.ordered import RunningSum, ordered_scan, time_bucket
 from fleetlens.operators.telemetry import PEER_TIMEOUT_MS, liveness
 
@@ -19,6 +20,8 @@ DEFAULT_TASK_MB = 256
 BATTERY_COST_WEIGHT = 2.0
 MIN_SUCCESS_RATE = 0.05
 TIE_EPSILON = 0.01
+# Cells of memory and of GPU memory, at most, in which the demands of one kind are compared with nodes.
+BAND_CUTS = (32, 8)
 
 
 def filter_nodes(manifests: DataFrame, expression: str) -> DataFrame:
@@ -126,11 +129,16 @@ def apply_pins(candidates: DataFrame, tasks: DataFrame, scopes: DataFrame, live:
     return kept.unionByName(refused).unionByName(stranded)
 
 
-def fit_score() -> Column:
-    """Fit of a node for a demand, from the columns of ``rank_candidates``; 0 only on a hard gate."""
+def fit_score(task_mb: Column | None = None, load_mb: Column | None = None, task_gpu: Column | None = None) -> Column:
+    """Fit of a node for a demand, from the columns of ``rank_candidates``; 0 only on a hard gate.
+
+    The memory that must be free, that which is added to the load, and the memory of the GPU are the demand's own unless
+    they are given. The score never rises with any of them.
+    """
     c = F.col
-    task_mb = F.coalesce(c("memory_mb"), F.lit(0))
-    task_gpu = F.coalesce(c("gpu_memory_mb"), F.lit(0))
+    task_mb = F.coalesce(c("memory_mb"), F.lit(0)) if task_mb is None else task_mb
+    load_mb = F.coalesce(c("memory_mb"), F.lit(DEFAULT_TASK_MB)) if load_mb is None else load_mb
+    task_gpu = F.coalesce(c("gpu_memory_mb"), F.lit(0)) if task_gpu is None else task_gpu
     gpu_short = c("gpu_required") & (
         ~c("has_gpu")
         | ((c("gpu_total_mb") > 0) & (task_gpu > saturating_sub(c("gpu_total_mb"), c("gpu_used_mb"))))
@@ -145,7 +153,7 @@ def fit_score() -> Column:
     own = F.when(c("cpu_class") == "light", 0.1).otherwise(1.0)
     memory = F.when(
         c("ram_total_mb") > 0,
-        (c("ram_used_mb").cast("double") + F.coalesce(c("memory_mb"), F.lit(DEFAULT_TASK_MB))) / c("ram_total_mb"),
+        (c("ram_used_mb").cast("double") + load_mb) / c("ram_total_mb"),
     ).otherwise(0.0)
     gpu = F.when(
         c("gpu_required") & (c("gpu_total_mb") > 0), (c("gpu_used_mb").cast("double") + task_gpu) / c("gpu_total_mb")
@@ -186,6 +194,12 @@ def _demand_id() -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in DEMAND])
 
 
+def _with_success(nodes: DataFrame, success: DataFrame | None) -> DataFrame:
+    if success is not None:
+        return nodes.join(success.select("node_id", "success_rate"), "node_id", "left")
+    return nodes if "success_rate" in nodes.columns else nodes.withColumn("success_rate", F.lit(1.0))
+
+
 def rank_candidates(tasks: DataFrame, nodes: DataFrame, success: DataFrame | None = None) -> DataFrame:
     """Positive fit scores of every node for every distinct demand.
 
@@ -193,29 +207,55 @@ def rank_candidates(tasks: DataFrame, nodes: DataFrame, success: DataFrame | Non
     the same demand score the same, so nodes are ranked once per demand, not once per task.
     """
     demands = tasks.select(*DEMAND).distinct().withColumn("demand_id", _demand_id())
-    if success is not None:
-        nodes = nodes.join(success.select("node_id", "success_rate"), "node_id", "left")
-    elif "success_rate" not in nodes.columns:
-        nodes = nodes.withColumn("success_rate", F.lit(1.0))
+    nodes = _with_success(nodes, success)
     scored = demands.join(nodes, "capability").withColumn("score", fit_score())
     return scored.filter(F.col("score") > 0).select("demand_id", *DEMAND, "node_id", "score")
 
 
-def pick_candidate(tasks: DataFrame, ranked: DataFrame, eps: float = TIE_EPSILON) -> DataFrame:
+def candidate_bands(
+    tasks: DataFrame, nodes: DataFrame, success: DataFrame | None = None, eps: float = TIE_EPSILON, cuts: tuple[int, int] = BAND_CUTS
+) -> DataFrame:
+    """The nodes within ``eps`` of the best score of every distinct demand: the columns of ``rank_candidates``.
+
+    Demands of one capability, class and GPU need are dealt over cells of memory and GPU memory, of which there are no
+    more than ``cuts`` allow. A node's score falls as a demand grows, so within a cell it lies between those of the
+    cell's largest and smallest demand. Nodes that cannot come near the best of the lower bounds are dominated for the
+    whole cell; demands are scored with the others only. The work follows nodes times cells and demands times bands.
+    """
+    nodes = _with_success(nodes, success)
+    c = F.col
+    group = F.struct("capability", "cpu_class", "gpu_required").alias("group")
+    gpu = F.when(c("gpu_required"), F.coalesce(c("gpu_memory_mb"), F.lit(0))).otherwise(0)
+    sizes = {"free": F.coalesce(c("memory_mb"), F.lit(0)), "load": F.coalesce(c("memory_mb"), F.lit(DEFAULT_TASK_MB)), "gpu": gpu}
+    demands = tasks.select(*DEMAND).distinct().select("*", _demand_id().alias("demand_id"), group, *[v.alias(n) for n, v in sizes.items()])
+    places = lambda n: F.array(*[F.lit(k / n) for k in range(1, n)])
+    edges = demands.groupBy("group").agg(*[F.percentile_approx(n, places(k)).alias(f"{n}_cuts") for n, k in zip(("load", "gpu"), cuts)])
+    below = lambda n: F.size(F.filter(f"{n}_cuts", lambda x: x < c(n))).alias(n)
+    placed = demands.join(edges, "group").withColumn("cell", F.struct("group", below("load"), below("gpu")))
+    ends = [f(n).alias(f"{tag}_{n}") for tag, f in (("least", F.min), ("most", F.max)) for n in sizes]
+    cells = placed.groupBy("cell").agg(*ends).select("cell", "cell.group.*", *[f"{tag}_{n}" for tag in ("least", "most") for n in sizes])
+    score = lambda tag: fit_score(c(f"{tag}_free"), c(f"{tag}_load"), c(f"{tag}_gpu"))
+    bounds = cells.join(nodes, "capability").withColumns({"upper": score("least"), "lower": score("most")})
+    floor = bounds.groupBy("cell").agg(F.max("lower").alias("floor"))
+    held = bounds.select("cell", *[n for n in nodes.columns if n != "capability"], "upper").join(floor, "cell")
+    held = held.filter((c("upper") > 0) & (c("upper") >= c("floor") * (1.0 - eps))).drop("upper", "floor")
+    scored = placed.select("demand_id", *DEMAND, "cell").join(held, "cell").withColumn("score", fit_score()).filter("score > 0")
+    scored = scored.select("demand_id", *DEMAND, "node_id", "score")
+    best = scored.groupBy("demand_id").agg(F.max("score").alias("best"))
+    return scored.join(best, "demand_id").filter(c("score") >= c("best") * (1.0 - eps)).drop("best")
+
+
+def pick_candidate(tasks: DataFrame, ranked: DataFrame, eps: float = TIE_EPSILON, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The node for each task: the best score, rotating over nodes within ``eps`` of it.
 
-    Tasks of one demand are numbered in (issued_at, id) order and dealt over the tie band in node order.
+    ``ranked`` are all candidates or their bands.  Tasks of one demand are numbered in (issued_at, id) order and dealt
+    over the tie band in node order; nodes are numbered in chunks of ``chunk_rows``.
     """
     best = ranked.groupBy("demand_id").agg(F.max("score").alias("best"))
     band = ranked.join(best, "demand_id").filter(F.col("score") >= F.col("best") * (1.0 - eps))
-    sizes = band.groupBy("demand_id").agg(F.count("*").alias("band_size"))
-    seats = ordered_scan(
-        band.select("demand_id", "node_id", "score"),
-        ["demand_id"],
-        ["node_id"],
-        [RunningSum("seat", F.lit(1))],
-        F.substring("node_id", 1, 2),
-    )
+    kept = chunked(band.select("demand_id", "node_id", "score"), ["demand_id"], ["node_id"], chunk_rows)
+    sizes = kept.groupBy("demand_id").agg(F.count("*").alias("band_size"))
+    seats = ordered_scan(kept, ["demand_id"], ["node_id"], [RunningSum("seat", F.lit(1))], F.col("chunk"))
     numbered = ordered_scan(
         tasks.select("id", "issued_at", _demand_id().alias("demand_id")),
         ["demand_id"],
