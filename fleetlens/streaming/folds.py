@@ -50,6 +50,10 @@ class Fold:
     def expire(self, state: State, now_ms: int) -> Rows:
         return []
 
+    def over(self, state: State) -> bool:
+        """Whether nothing is left to remember."""
+        return False
+
 
 @dataclass
 class ReplayFold(Fold):
@@ -87,6 +91,9 @@ class MembershipFold(Fold):
         state["last"] = None
         return [("evicted", at)]
 
+    def over(self, state):
+        return state.get("last") is None
+
 
 @dataclass
 class LwwFold(Fold):
@@ -170,6 +177,9 @@ class BurstFold(Fold):
     )
     order = ["at_ms", "row_id"]
 
+    def over(self, state):
+        return "opened" not in state
+
     def deadline(self, state):
         return state["opened"] + self.window_ms if "opened" in state else None
 
@@ -292,6 +302,9 @@ class BreakerFold(Fold):
             state["until"] = at + self.bench_ms
         return out
 
+    def over(self, state):
+        return not state.get("fails") and state.get("until") is None
+
     def deadline(self, state):
         return state.get("until")
 

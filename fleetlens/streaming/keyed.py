@@ -16,10 +16,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class FoldProcessor(StatefulProcessor):
-    """Rows of a key arrive unordered within a micro-batch and are sorted here; the trigger size bounds them."""
+    """Rows of a key arrive unordered within a micro-batch and are sorted here; the trigger size bounds them.
 
-    def __init__(self, fold: Fold, keys: Sequence[str], timers: bool, ttl_ms: int | None):
-        self.fold, self.timers, self.ttl_ms = fold, timers, ttl_ms
+    With ``idle_ms`` a key's state goes once the watermark is that far past its last row, with timers it goes as soon as
+    the fold has nothing left to remember; so state follows the keys that are active, not all that ever were.
+    """
+
+    def __init__(self, fold: Fold, keys: Sequence[str], timers: bool, ttl_ms: int | None, idle_ms: int | None = None):
+        self.fold, self.timers, self.ttl_ms, self.idle_ms = fold, timers, ttl_ms, idle_ms
         self.columns = [*keys, *StructType.fromDDL(fold.schema).names]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -30,14 +34,20 @@ class FoldProcessor(StatefulProcessor):
         held = self.state.get()
         return {} if held is None else json.loads(held[0])
 
+    def _forgotten(self, state: dict) -> int | None:
+        return None if self.idle_ms is None or "_last" not in state else state["_last"] + self.idle_ms
+
     def _store(self, state: dict) -> None:
-        self.state.update((json.dumps(state),))
+        if self.fold.over(state):
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(state),))
         if self.timers:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            deadline = self.fold.deadline(state)
-            if deadline is not None:
-                self.handle.registerTimer(deadline)
+            due = [x for x in (self.fold.deadline(state), self._forgotten(state)) if x is not None]
+            if due and not self.fold.over(state):
+                self.handle.registerTimer(min(due))
 
     def _frame(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
@@ -48,25 +58,36 @@ class FoldProcessor(StatefulProcessor):
         state, out = self._load(), []
         for row in batch.itertuples(index=False):
             out += self.fold.step(state, row)
+        if self.idle_ms is not None:
+            state["_last"] = max(int(batch["at_ms"].max()), state.get("_last", 0))
         self._store(state)
         yield from self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        out = self.fold.expire(state, expiredTimerInfo.getExpiryTimeInMs())
-        self._store(state)
+        state, now, out = self._load(), expiredTimerInfo.getExpiryTimeInMs(), []
+        due, gone = self.fold.deadline(state), self._forgotten(state)
+        if due is not None and due <= now:
+            out = self.fold.expire(state, now)
+        if gone is not None and gone <= now:
+            self.state.clear()
+        else:
+            self._store(state)
         yield from self._frame(key, out)
 
     def close(self) -> None:
         pass
 
 
-def run_fold(df: DataFrame, keys: Sequence[str], fold: Fold, timers: bool = False, ttl_ms: int | None = None) -> DataFrame:
-    """Apply ``fold`` per key.  With ``timers`` the input needs a watermark; with ``ttl_ms`` idle state is dropped."""
+def run_fold(
+    df: DataFrame, keys: Sequence[str], fold: Fold, timers: bool = False, ttl_ms: int | None = None, idle_ms: int | None = None
+) -> DataFrame:
+    """Apply ``fold`` per key.  With ``timers`` or ``idle_ms`` the input needs a watermark and ``at_ms``; ``idle_ms`` drops
+    the state of a key that long after its last row in event time, ``ttl_ms`` in processing time."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + fold.schema
+    timers = timers or idle_ms is not None
     mode = "EventTime" if timers else ("ProcessingTime" if ttl_ms else "None")
     return df.groupBy(*keys).transformWithStateInPandas(
-        FoldProcessor(fold, keys, timers, ttl_ms), schema, outputMode="Append", timeMode=mode
+        FoldProcessor(fold, keys, timers, ttl_ms, idle_ms), schema, outputMode="Append", timeMode=mode
     )
