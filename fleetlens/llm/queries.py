@@ -30,16 +30,17 @@ WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM document
 split AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM doc),
 flat AS (SELECT doc_id, line, pos, trim(regexp_replace(line, '[ \t\r\x0B\x0C]+', ' ', 'g'), ' ') AS f FROM split),
 lines AS (SELECT doc_id, line, pos, regexp_replace(f, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS masked FROM flat),
-kinds AS (SELECT masked, count(*) AS n, min(doc_id) AS first_doc, string_split(masked, ' ') AS t FROM (SELECT DISTINCT doc_id, masked FROM lines WHERE masked <> '') GROUP BY masked),
+held AS (SELECT DISTINCT doc_id, masked FROM lines WHERE masked <> ''),
+kinds AS (SELECT masked, min(doc_id) AS first_doc, string_split(masked, ' ') AS t FROM held GROUP BY masked),
 leafed AS (SELECT *, len(t) AS size, array_to_string(list_slice(t, 1, 3), ' ') AS head FROM kinds),
-placed AS (SELECT size, head, masked, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM leafed),
-frequent AS (SELECT size, head, pos, token FROM placed GROUP BY ALL HAVING sum(n) >= 6),
+placed AS (SELECT size, head, masked, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM leafed),
+frequent AS (SELECT size, head, pos, token FROM placed JOIN held USING (masked) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6),
 shaped AS (
   SELECT masked, string_agg(CASE WHEN p.pos <= 3 OR f.token IS NOT NULL THEN p.token ELSE '<*>' END, ' ' ORDER BY p.pos) AS template
   FROM placed p LEFT JOIN frequent f USING (size, head, pos, token) GROUP BY masked),
 recurring AS (
-  SELECT template, min(first_doc) AS first_doc FROM shaped JOIN kinds USING (masked) GROUP BY template
-  HAVING sum(n) >= 6 AND len(list_filter(string_split(template, ' '), lambda x: x <> '<*>')) >= 0.7 * len(string_split(template, ' '))),
+  SELECT template, min(doc_id) AS first_doc FROM shaped JOIN held USING (masked) GROUP BY template
+  HAVING count(DISTINCT doc_id) >= 6 AND len(list_filter(string_split(template, ' '), lambda x: x <> '<*>')) >= 0.7 * len(string_split(template, ' '))),
 marked AS (
   SELECT doc_id, pos, line, coalesce(first_doc <> doc_id, false) AS gone
   FROM lines LEFT JOIN (SELECT masked, first_doc FROM shaped JOIN recurring USING (template)) USING (masked)),
@@ -127,6 +128,19 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM doc WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+link AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN size USING (doc_id)
+"""
+
+
 #: The rules that the query is asked to apply.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -298,6 +312,7 @@ ORACLES: dict[str, str] = {
     "op4_aho_corasick": OP4_SQL,
     "op5_warc_dictionary": OP5_SQL,
     "op7_subspace_join": OP7_SQL,
+    "op8_minhash_forest": OP8_SQL,
     "op9_link_trust": _op9_sql(),
     "op11_rule_ledger": OP11_SQL,
     "op12_lehmer_audit": OP12_SQL,

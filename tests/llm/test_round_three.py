@@ -197,3 +197,23 @@ def test_anagrams_share_one_vector(spark):
     got = {x.word: (x.n_near, x.form) for x in spelling.spelling_variants(spark.createDataFrame([(None, text)], "doc_id long, text string")).collect()}
     assert len(got) == 122 and sum(n for n, _ in got.values()) == 4
     assert got["abcde"] == (2, "abcdf") and got["abcdeg"] == (1, None) and got["edcba"] == (0, None)
+
+
+def test_line_sql_counts_documents(spark):
+    """Where one document has six kinds of a line, the operator and its SQL both see one document."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from fleetlens.llm import line_templates
+    from fleetlens.llm.queries import OP2_SQL
+
+    line = "The value of {} was seen here"
+    rows = [(1, "\n".join(line.format(x) for x in "abcdef")), (2, line.format("g")), (3, "Same old footer line\nown words")]
+    rows += [(10 + k, f"Same old footer line\nsome {k} other\nHere is the {x} told story of a man in the town") for k, x in enumerate("abcdefg")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = got.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(OP2_SQL).fetchall())
+    assert {r.doc_id: r.n_dropped for r in got}[2] == 0 and max(r.n_dropped for r in got) == 2
