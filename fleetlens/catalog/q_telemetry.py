@@ -369,7 +369,7 @@ def rate_limit_g9(spark, d):
 def coalesce_requests_g11(spark, d):
     h = b.heartbeats(spark, d)
     rq = h.select(F.col("event_type").alias("fingerprint"), F.unix_millis("ts").alias("at_ms"), F.col("seq").alias("request_id"))
-    return fr.coalesce_requests(rq, 86_400_000, 9, chunk_rows=64)
+    return fr.coalesce_requests(rq, 86_400_000, 9)
 
 
 @query(

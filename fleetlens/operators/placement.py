@@ -13,6 +13,7 @@ from fleetlens.functions.numeric import clamp, saturating_sub, soft_pressure
 from fleetlens.operators.compose import CHUNK_ROWS, chunked
 from fleetlens.operators.ordered import RunningSum, ordered_scan, time_bucket
 from fleetlens.operators.telemetry import PEER_TIMEOUT_MS, liveness
+from fleetlens.session import written
 
 # Weights of the fit score.
 INFLIGHT_CORES = 0.5
@@ -238,7 +239,7 @@ def candidate_bands(
     bounds = cells.join(nodes, "capability").withColumns({"upper": score("least"), "lower": score("most")})
     floor = bounds.groupBy("cell").agg(F.max("lower").alias("floor"))
     held = bounds.select("cell", *[n for n in nodes.columns if n != "capability"], "upper").join(floor, "cell")
-    held = held.filter((c("upper") > 0) & (c("upper") >= c("floor") * (1.0 - eps))).drop("upper", "floor")
+    held = written(held.filter((c("upper") > 0) & (c("upper") >= c("floor") * (1.0 - eps))).drop("upper", "floor"), "bands")
     scored = placed.select("demand_id", *DEMAND, "cell").join(held, "cell").withColumn("score", fit_score()).filter("score > 0")
     scored = scored.select("demand_id", *DEMAND, "node_id", "score")
     best = scored.groupBy("demand_id").agg(F.max("score").alias("best"))
@@ -251,6 +252,7 @@ def pick_candidate(tasks: DataFrame, ranked: DataFrame, eps: float = TIE_EPSILON
     ``ranked`` are all candidates or their bands.  Tasks of one demand are numbered in (issued_at, id) order and dealt
     over the tie band in node order; nodes are numbered in chunks of ``chunk_rows``.
     """
+    ranked = written(ranked.select("demand_id", "node_id", "score"), "ranked")
     best = ranked.groupBy("demand_id").agg(F.max("score").alias("best"))
     band = ranked.join(best, "demand_id").filter(F.col("score") >= F.col("best") * (1.0 - eps))
     kept = chunked(band.select("demand_id", "node_id", "score"), ["demand_id"], ["node_id"], chunk_rows)
