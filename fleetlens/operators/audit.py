@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from fleetlens.functions import jsonfn
 from fleetlens.functions.hashing import entry_hash
 from fleetlens.operators.ordered import LastKnown, Previous, newest_by, oldest_by, ordered_scan, seq_bucket
+from fleetlens.session import written
 from fleetlens.vocab import AUDIT_ACTIONS, NOTABLE_ACTIONS, ZERO_HASH
 
 TRUNCATED = "audit.truncated"
+CHAIN_ORDER = ["seq", "entry_hash"]
 
 
 def audit_filter(
@@ -72,58 +74,87 @@ def entry_hashes(audit: DataFrame) -> DataFrame:
     return audit.select("node_id", "seq", "entry_hash", computed_hash(audit).alias("computed_hash"))
 
 
+def chain_entries(audit: DataFrame) -> DataFrame:
+    """node_id, seq, prev_hash, entry_hash, sound and claim of every entry, written once to the shared folder.
+
+    The one pass over the whole chain: every hash is computed here and details stay behind.  ``sound``: the action is
+    known and the hash is the entry's own.  ``claim``: what a truncation marker says it follows, else NULL.
+    """
+    sound = F.col("action").isin(*AUDIT_ACTIONS) & (computed_hash(audit) == F.col("entry_hash"))
+    detail = jsonfn.parse("detail")
+    claim = F.struct(
+        jsonfn.number_at(detail, "$.through_seq").cast("long").alias("through_seq"),
+        jsonfn.string_at(detail, "$.through_hash").alias("through_hash"),
+    )
+    return written(
+        audit.select(
+            "node_id",
+            "seq",
+            "prev_hash",
+            "entry_hash",
+            F.coalesce(sound, F.lit(False)).alias("sound"),
+            F.when(F.col("action") == TRUNCATED, claim).alias("claim"),
+        ),
+        "chain",
+    )
+
+
+def _paired(entries: DataFrame) -> DataFrame:
+    """Entries with ``linked``: does one follow its predecessor by seq and hash (NULL on a node's first row)?"""
+    slim = entries.select("node_id", "seq", "prev_hash", "entry_hash", "sound")
+    before = Previous("before", F.struct("seq", "entry_hash"))
+    paired = ordered_scan(slim, ["node_id"], CHAIN_ORDER, [before], seq_bucket("seq"))
+    follows = (F.col("before.seq") + 1 == F.col("seq")) & (F.col("before.entry_hash") == F.col("prev_hash"))
+    return paired.withColumn("linked", F.when(F.col("before").isNotNull(), follows)).drop("before")
+
+
+def _opens() -> Column:
+    """The seq at which an entry opens a segment of the chain: after one that is not sound, at one that is not linked."""
+    return F.when(~F.col("sound"), F.col("seq") + 1).when(F.coalesce(~F.col("linked"), F.lit(True)), F.col("seq"))
+
+
+def chain_breaks(entries: DataFrame) -> DataFrame:
+    """(node_id, seq, entry_hash, opens) of the entries at which a segment of the chain opens.
+
+    The verified ranges of every node: one row a segment, so as few as the chain has breaks.
+    """
+    return _paired(entries).select("node_id", "seq", "entry_hash", _opens().alias("opens")).filter("opens IS NOT NULL")
+
+
+def segment_starts(points: DataFrame, breaks: DataFrame) -> DataFrame:
+    """``points`` (node_id, seq, entry_hash of entries, and more) with ``segment_start``: from where the chain is unbroken.
+
+    A range lookup as one ordered scan over the points and the breaks alone; the chain itself is not read.
+    """
+    rest = F.struct(*[c for c in points.columns if c not in ("node_id", *CHAIN_ORDER)], F.lit(1).alias("__asked"))
+    asked = points.select("node_id", *CHAIN_ORDER, F.lit(None).cast("long").alias("opens"), rest.alias("rest"))
+    known = breaks.select("node_id", *CHAIN_ORDER, "opens", F.lit(None).cast(asked.schema["rest"].dataType).alias("rest"))
+    both = asked.unionByName(known).withColumn("asks", F.col("rest").isNotNull())
+    scanned = ordered_scan(
+        both, ["node_id"], [*CHAIN_ORDER, "asks"], [LastKnown("segment_start", F.col("opens"))], seq_bucket("seq")
+    )
+    others = [F.col(c) if c in ("node_id", *CHAIN_ORDER) else F.col(f"rest.{c}").alias(c) for c in points.columns]
+    return scanned.filter("asks").select(*others, "segment_start")
+
+
 def check_links(audit: DataFrame) -> DataFrame:
     """Per entry: is it sound by itself, and does it link to its predecessor (NULL on a node's first row)?
 
     Also ``segment_start``: the seq from which the chain is unbroken up to this entry.
     """
-    slim = audit.select(
-        "node_id",
-        "seq",
-        "prev_hash",
-        "entry_hash",
-        (F.col("action").isin(*AUDIT_ACTIONS) & (computed_hash(audit) == F.col("entry_hash"))).alias("sound"),
-    ).withColumn("sound", F.coalesce("sound", F.lit(False)))
-    order = ["seq", "entry_hash"]
-    paired = ordered_scan(
-        slim, ["node_id"], order, [Previous("before", F.struct("seq", "entry_hash"))], seq_bucket("seq")
-    )
-    linked = F.when(
-        F.col("before").isNotNull(),
-        (F.col("before.seq") + 1 == F.col("seq")) & (F.col("before.entry_hash") == F.col("prev_hash")),
-    )
-    marked = paired.withColumn("linked", linked).drop("before")
-    opens = F.when(~F.col("sound"), F.col("seq") + 1).when(F.coalesce(~F.col("linked"), F.lit(True)), F.col("seq"))
+    marked = _paired(chain_entries(audit)).withColumn("opens", _opens())
     return ordered_scan(
-        marked.withColumn("opens", opens), ["node_id"], order, [LastKnown("segment_start", F.col("opens"))], seq_bucket("seq")
+        marked, ["node_id"], CHAIN_ORDER, [LastKnown("segment_start", F.col("opens"))], seq_bucket("seq")
     ).drop("opens")
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
     """Per node: the first broken entry, or the seq the chain is verified through."""
-    slim = audit.select(
-        "node_id",
-        "seq",
-        "prev_hash",
-        "entry_hash",
-        F.coalesce(F.col("action").isin(*AUDIT_ACTIONS) & (computed_hash(audit) == F.col("entry_hash")), F.lit(False)).alias(
-            "sound"
-        ),
-    )
-    paired = ordered_scan(
-        slim,
-        ["node_id"],
-        ["seq", "entry_hash"],
-        [Previous("before", F.struct("seq", "entry_hash"))],
-        seq_bucket("seq"),
-    )
-    broken_link = F.col("before").isNotNull() & (
-        (F.col("before.seq") + 1 != F.col("seq")) | (F.col("before.entry_hash") != F.col("prev_hash"))
-    )
-    verdict = paired.groupBy("node_id").agg(
+    broken = ~F.col("sound") | ~F.coalesce("linked", F.lit(True))
+    verdict = _paired(chain_entries(audit)).groupBy("node_id").agg(
         F.min("seq").alias("from_seq"),
         F.max("seq").alias("head_seq"),
-        F.min(F.when(~F.col("sound") | broken_link, F.col("seq"))).alias("broken_at_seq"),
+        F.min(F.when(broken, F.col("seq"))).alias("broken_at_seq"),
         F.count("*").alias("entries"),
     )
     return verdict.withColumn("through_seq", F.when(F.col("broken_at_seq").isNull(), F.col("head_seq")))
@@ -134,24 +165,27 @@ def anchor_check(audit: DataFrame, pins: DataFrame, starts: DataFrame | None = N
 
     ``starts`` (node_id, seq) names the first row of each run; by default the lowest seq of every node.
     """
-    rows = audit.select("node_id", "seq", "prev_hash")
+    return anchors_of(chain_entries(audit), pins, starts)
+
+
+def anchors_of(entries: DataFrame, pins: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """``anchor_check`` over entries that ``chain_entries`` wrote."""
+    rows = entries.select("node_id", "seq", "prev_hash")
     first = (
         oldest_by(rows, ["node_id"], F.col("seq"))
         if starts is None
         else rows.join(starts.select("node_id", "seq").distinct(), ["node_id", "seq"])
     )
     first = first.withColumn("before_seq", F.col("seq") - 1)
-    predecessors = audit.select(
+    predecessors = entries.select(
         "node_id", F.col("seq").alias("before_seq"), F.col("entry_hash").alias("stored_hash")
     )
-    detail = F.col("v")
     markers = (
-        audit.filter(F.col("action") == TRUNCATED)
-        .select("node_id", jsonfn.parse("detail").alias("v"))
+        entries.filter(F.col("claim").isNotNull())
         .select(
             "node_id",
-            jsonfn.number_at(detail, "$.through_seq").cast("long").alias("before_seq"),
-            jsonfn.string_at(detail, "$.through_hash").alias("prev_hash"),
+            F.col("claim.through_seq").alias("before_seq"),
+            F.col("claim.through_hash").alias("prev_hash"),
             F.lit(True).alias("marked"),
         )
         .distinct()

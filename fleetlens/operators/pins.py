@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.audit import anchor_check, check_links, computed_hash
+from fleetlens.operators.audit import anchors_of, chain_breaks, chain_entries, computed_hash, segment_starts
 from fleetlens.operators.ordered import (
     Previous,
     RunningMax,
@@ -154,17 +154,18 @@ def corroborate(pins: DataFrame, audit: DataFrame, runs: DataFrame) -> DataFrame
     """Status of every pin after its run: corroborated only if the run is complete, the stored hash equals the pin
     and the chain from the run's anchored start to the pin is unbroken; contradicted never changes.
 
-    The whole range is judged by where the unbroken segment around the target starts, so no range join is needed.
+    The whole range is judged by where the unbroken segment around the target starts, so no range join is needed.  The
+    chain is read once; what follows reads the narrow table of its entries and the few rows at which segments open.
     """
-    links = check_links(audit)
-    ends = links.select(
-        "node_id", "seq", F.col("entry_hash").alias("stored_hash"), "segment_start", F.col("sound").alias("end_sound")
-    )
+    entries = chain_entries(audit)
+    held = entries.select("node_id", "seq", "entry_hash", F.col("sound").alias("end_sound"))
+    pinned = held.join(pins.select("node_id", "seq").distinct(), ["node_id", "seq"])
+    ends = segment_starts(pinned, chain_breaks(entries)).withColumnRenamed("entry_hash", "stored_hash")
     walked = runs.select(
         "node_id", F.col("target_seq").alias("seq"), F.greatest("from_seq", F.lit(1)).alias("from_seq"), "through_seq", "complete"
     )
     starts = walked.select("node_id", F.col("from_seq").alias("seq"))
-    anchors = anchor_check(audit, pins, starts).select("node_id", F.col("seq").alias("from_seq"), "anchor")
+    anchors = anchors_of(entries, pins, starts).select("node_id", F.col("seq").alias("from_seq"), "anchor")
     joined = (
         pins.join(walked, ["node_id", "seq"], "left")
         .join(ends, ["node_id", "seq"], "left")
