@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import NOT_SPACE, gram_hashes, stored, texts, word_bounds, word_hashes
+from fleetlens.llm.common import NOT_SPACE, gram_hashes, mix, stored, texts, word_bounds, word_hashes
 
 ANCHOR = 5
 #: Bytes of text for each bucket of the exchanges, and hashes that a task packs at a time.
@@ -88,21 +88,26 @@ def _pack(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]
     )
 
 
-def _by_hash(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash and document, the start of each hash's group, and each row's group."""
-    order = np.lexsort((doc, h))
+def _by_hash(h: np.ndarray, doc: np.ndarray, tx: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, document and text, the start of each hash's group, and each row's group."""
+    order = np.lexsort((doc, h) if tx is None else (tx, doc, h))
     s = h[order]
     new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _dealt(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _send(kind: str, h: np.ndarray, doc: np.ndarray, tx: np.ndarray, at: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each hash of this task goes to the index; the answers that the task knows itself pass beside it.
 
     Buckets from `buckets` up hold such answers: for anchors the rows that share one, for blocks those whose smallest document of
-    this task is another one, with that document and place.
+    this task is another one, with that document and place. They are dealt out by document, since nothing but a document's own
+    answers has to meet. Of a block's smallest document every text is sent: each may lose words to a smaller one elsewhere.
     """
-    order, starts, group = _by_hash(h, doc)
+    order, starts, group = _by_hash(h, doc, tx)
     h, doc, tx, at, bucket = h[order], doc[order], tx[order], at[order], bucket[order]
     first = doc[starts][group]
     if kind == "anchor":
@@ -111,12 +116,15 @@ def _send(kind: str, h: np.ndarray, doc: np.ndarray, tx: np.ndarray, at: np.ndar
         yield from _pack(bucket[starts], h=h[starts], doc=doc[starts], source=shared.astype(np.int64))
         known = np.flatnonzero(shared[group])
         if len(known):
-            yield from _pack(buckets + bucket[known], h=h[known], doc=doc[known])
+            yield from _pack(buckets + _dealt(doc[known], buckets), h=h[known], doc=doc[known])
         return
-    yield from _pack(bucket[starts], h=h[starts], doc=doc[starts], tx=tx[starts], at=at[starts])
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (tx[1:] != tx[:-1])
+    asked = np.flatnonzero((doc == first) & fresh)
+    yield from _pack(bucket[asked], h=h[asked], doc=doc[asked], tx=tx[asked], at=at[asked])
     known = np.flatnonzero(doc != first)
     if len(known):
-        yield from _pack(buckets + bucket[known], doc=doc[known], tx=tx[known], at=at[known], source=first[known], source_at=at[starts][group][known])
+        yield from _pack(buckets + _dealt(doc[known], buckets), doc=doc[known], tx=tx[known], at=at[known], source=first[known], source_at=at[starts][group][known])
 
 
 def _scan(kind: str, window: int, buckets: int):
