@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import texts
+from fleetlens.llm.common import discard, stored, texts
 
 #: Characters of benchmark text in one automaton. A larger benchmark is scanned for in several passes, one automaton each.
 AUTOMATON_CHARS = 4 << 20
@@ -105,6 +105,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, char
     out = docs.drop(*names.values()).withColumns({names["n_words"]: F.lit(0).cast("long"), names["items"]: F.array().cast("array<string>"), names["hits"]: F.expr(f"cast(array() as {HITS})")})
     for k in range(passes):
         # About `chars` characters reach the driver at a time; each pass holds one automaton and adds to what the last one found.
+        # The table is written between passes, so that neither a plan nor a task holds the items of two.
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        out = out.mapInArrow(_scan(sorted((r.id, r.text) for r in own.collect()), window, text, prefix), out.schema)
+        before, out = out, out.mapInArrow(_scan(sorted((r.id, r.text) for r in own.collect()), window, text, prefix), out.schema)
+        if k < passes - 1:
+            out = stored(out, "scanned")
+        if 0 < k < passes - 1:
+            discard(before)
     return out.withColumn(names["n_hit"], F.aggregate(names["hits"], F.lit(0).cast("long"), lambda n, h: n + h["to"] - h["from"]))
