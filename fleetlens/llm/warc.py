@@ -42,8 +42,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT, key: str = "page
     archived whole; a null page_id refers to a page with an id if there is one.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    again = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
-    return rows.join(again, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("keep")), F.col("keep")).alias("refers_to"))
+    # Ids meet by digest without their payloads; a payload then meets its id, so that a page under very many urls is spread out.
+    large = rows.where(F.length("payload") >= least).select("page_id", "digest")
+    again = large.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
+    refers = large.join(again, "digest").where("page_id is null or page_id <> keep").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep").alias("refers_to")).distinct()
+    return rows.join(refers, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def _field(value: str) -> str:
@@ -142,8 +145,12 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
     """Writes rows (as from with_revisits) to archives in the folder, which all executors must reach; returns their manifest."""
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    # A folder without a scheme is one of the cluster's default file system, not of each executor's own disk.
+    home = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    home.mkdirs(path)
+    uri = home.makeQualified(path).toUri().toString()
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
     return stored(rows.mapInArrow(_writer(uri, date), MANIFEST), "manifest")
 
 
