@@ -7,12 +7,17 @@ them. A host is blocked if its distrust is greater than its trust times a thresh
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import discard, stored
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Ranks, which sum to 1, are settled when a stride changes them by less than this in all; ranks that differ by less than this
+#: part of themselves are ties.
+TOLERANCE = 1e-9
 #: Rounds between two written tables.
 STRIDE = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,33 +60,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), link_host(F.col("link"), F.col("host")).alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after so many rounds of personalised PageRank from seeds (host, trust, distrust), each summing to 1.
+def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which any ranks are settled: each round shrinks what is left by the damping, and a stride adds up to its own."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping)) + STRIDE
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) by personalised PageRank from seeds (host, trust, distrust), each summing to 1.
 
     Both ranks advance in one join: trust along the edges, distrust against them. A host passes its rank on in proportion to its
-    links; what hosts without links would pass on is given up.
+    links; what hosts without links would pass on is given up. Every `STRIDE` rounds the ranks are written, until the sum of all
+    changes since they were last written is below the tolerance: the ranks are then within 1.1 times it of where they settle.
     """
     each = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionAll(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     out = each.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     flow = stored(each.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "flow")
     start = stored(seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).where("seed > 0"), "seeds")
-    rank, last = start.select("kind", "host", F.col("seed").alias("rank")), None
-    for k in range(1, rounds + 1):
+    rank = stored(start.select("kind", "host", F.col("seed").alias("rank")), "rank")
+    last, k = rank, 0
+    while True:
+        k += 1
         moved = flow.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("part"))
         both = moved.unionAll(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("part")))
         rank = both.groupBy("kind", "host").agg(F.sum("part").alias("rank"))
-        if k % STRIDE == 0 and k < rounds:
+        if k % STRIDE == 0:
             rank = stored(rank, "rank")
-            if last is not None:
-                discard(last)
+            # What a host has more or less than before, summed over all hosts of both kinds.
+            moved = rank.unionAll(last.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
+            discard(last)
             last = rank
+            if (moved or 0.0) < tolerance:
+                break
     return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind) for kind in ("trust", "distrust")])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict) for every page.
 
-    The longest rule that fits decides; rule is null where none does, and the verdict is then that of the host by its links. The
+    The longest rule that fits decides; rule is null where none does, and the verdict is then that of the host by its links, once
+    ranks have settled; where trust and distrust agree to the tolerance it is allow. The
     seeds of trust and distrust are the hosts of allowed and of blocked pages, weighted by their number. Null urls and urls
     without :// have no host; they and hosts that no rank reaches are allowed. Null html has no links. Repeated pages count each
     time. An empty table gives an empty result. Other columns are ignored.
@@ -93,6 +110,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD
     total = ruled.agg(*[F.sum(F.when(F.col("verdict") == v, F.col("pages"))).alias(n) for v, n in (("allow", "a"), ("block", "b"))]).first()
     seeds = counts.select("host", (F.col("a") / float(total.a or 1)).alias("trust"), (F.col("b") / float(total.b or 1)).alias("distrust"))
     ranks = propagate(host_edges(pages), seeds)
-    blocked = ranks.where(F.col("distrust") > threshold * F.col("trust")).select("host", F.lit(True).alias("bad"))
+    blocked = ranks.where(F.col("distrust") > threshold * (1 + TOLERANCE) * F.col("trust")).select("host", F.lit(True).alias("bad"))
     verdicts = ruled.join(blocked, "host", "left").select("host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
     return pages.select(key, "host", "path").join(verdicts, ["host", "path"]).select(key, "host", "path", "rule", "verdict")

@@ -158,15 +158,8 @@ def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_sql() -> str:
     rules = ", ".join(str(r) for r in URL_RULES)
-    rounds = ["""r0 AS MATERIALIZED (SELECT kind, host, seed AS rank FROM seeds)"""]
-    for k in range(1, link_trust.ROUNDS + 1):
-        rounds.append(
-            f"""r{k} AS MATERIALIZED (SELECT kind, host, sum(part) AS rank FROM (
-  SELECT kind, dst AS host, {link_trust.DAMPING} * share * rank AS part FROM flow JOIN (SELECT kind, host AS src, rank FROM r{k - 1}) USING (kind, src)
-  UNION ALL SELECT kind, host, (1 - {link_trust.DAMPING}) * seed FROM seeds) GROUP BY kind, host)"""
-        )
     return rf"""
-WITH rules(suffix, start, verdict) AS (VALUES {rules}),
+WITH RECURSIVE rules(suffix, start, verdict) AS (VALUES {rules}),
 raw AS (SELECT page_id, url, html, strpos(url, '://') AS p FROM pages),
 cut AS (SELECT page_id, html, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS u FROM raw),
 page AS (SELECT page_id, html, lower(regexp_extract(u, '^([^/?#]*)', 1)) AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -191,9 +184,10 @@ target AS (SELECT src, CASE WHEN starts_with(l, '//') THEN lower(regexp_extract(
 edge AS (SELECT src, dst, count(*) AS n FROM target WHERE dst <> '' GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edge UNION ALL SELECT 'distrust', dst, src, n FROM edge),
 flow AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
-{", ".join(rounds)},
-ranks AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM r{link_trust.ROUNDS} GROUP BY host)
-SELECT page_id, page.host, page.path, rule, coalesce(verdict, CASE WHEN distrust > {link_trust.THRESHOLD} * trust THEN 'block' ELSE 'allow' END) AS verdict
+paths(k, kind, host, rank) AS (SELECT 0, kind, host, seed FROM seeds UNION ALL SELECT k + 1, kind, dst, {link_trust.DAMPING} * sum(share * rank)
+  FROM paths JOIN (SELECT kind, src AS host, dst, share FROM flow) USING (kind, host) WHERE k < {link_trust.most_rounds()} GROUP BY k, kind, dst),
+ranks AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, CASE WHEN k < {link_trust.most_rounds()} THEN 1 - {link_trust.DAMPING} ELSE 1 END * rank AS rank FROM paths) GROUP BY host)
+SELECT page_id, page.host, page.path, rule, coalesce(verdict, CASE WHEN distrust > {link_trust.THRESHOLD * (1 + link_trust.TOLERANCE)} * trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM page JOIN ruled USING (host, path) LEFT JOIN ranks USING (host)
 """
 
