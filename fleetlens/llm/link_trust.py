@@ -104,6 +104,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD
     time. An empty table gives an empty result. Other columns are ignored.
     """
     pages = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
+    # Urls without a host need no join: no rule fits them and no rank reaches them.
+    bare = pages.where("host = ''").select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    pages = pages.where("host <> ''")
     places = pages.groupBy("host", "path").agg(F.count("*").alias("pages"))
     ruled = stored(places.join(judged(places, rules), ["host", "path"], "left"), "places")
     counts = ruled.where("verdict is not null").groupBy("host").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)).alias(n) for v, n in (("allow", "a"), ("block", "b"))])
@@ -112,4 +115,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD
     ranks = propagate(host_edges(pages), seeds)
     blocked = ranks.where(F.col("distrust") > threshold * (1 + TOLERANCE) * F.col("trust")).select("host", F.lit(True).alias("bad"))
     verdicts = ruled.join(blocked, "host", "left").select("host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
-    return pages.select(key, "host", "path").join(verdicts, ["host", "path"]).select(key, "host", "path", "rule", "verdict")
+    return pages.select(key, "host", "path").join(verdicts, ["host", "path"]).select(key, "host", "path", "rule", "verdict").unionAll(bare)
