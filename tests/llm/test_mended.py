@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fleetlens.llm import decontaminate, link_trust, quality, rlz_dedup
 from fleetlens.llm.common import BLOCK, stored
+from fleetlens.llm.queries import ORACLES, QUERIES
 
 M64 = (1 << 64) - 1
 
@@ -162,3 +164,20 @@ def test_stages_take_odd_rows(spark, sf):
             assert out.count() == len(rows)
         if name == "packing":
             assert {1, 2, 3, 4, 5, 6, 7, None} >= set(ids) >= {4, 5, 6, 7}
+
+
+def test_url_query_equals_its_sql_on_pages_that_link_hosts(spark, tmp_path):
+    r = random.Random(11)
+    hosts = [f"h{k}.{r.choice(['com', 'net', 'org'])}" for k in range(40)] + ["example.com", "www.example.com"]
+    rows = []
+    for k in range(400):
+        links = "".join(f'<a href="http://{r.choice(hosts)}/x">y</a>' for _ in range(r.randrange(4)))
+        path = r.choice(["/en/a", "/es/b", "/fr/", "/de", ""])
+        rows.append((k, r.choice([f"http://{r.choice(hosts)}{path}"] * 9 + [None, "no host", "http:///only/path"]), links))
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op9_link_trust"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op9_link_trust']})").fetchall()
+    rows = sorted(tuple(x) for x in got.select("page_id", "host", "path", "rule", "verdict").collect())
+    assert rows == sorted(want) and {x[4] for x in rows if x[3] is None} == {"allow", "block"}
