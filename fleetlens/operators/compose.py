@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,26 +44,26 @@ def several(points: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 def entries(
     maps: DataFrame,
-    compose: Callable[[list, list], list],
-    apply: Callable[[list, Any], Any],
+    compose: Callable[[np.ndarray, np.ndarray], Any],
+    apply: Callable[[np.ndarray, Any], Any],
     state: str,
 ) -> DataFrame:
     """(k, chunk, entry): the state that each chunk is entered with; null for the first chunk of a key.
 
     ``maps``: k, chunk, first_chunk, m.  ``compose(a, b)`` is the map of a followed by b, ``apply(m, entry)`` the state
-    that m passes on, ``state`` its Spark type.
+    that m passes on, ``state`` its Spark type. Maps come as the arrays that Spark hands over.
     """
     shape = maps.schema["m"].dataType.simpleString()
     key = maps.schema["k"].dataType.simpleString()
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = [x if y is None else y if x is None else compose(list(x), list(y)) for x, y in zip(b["x"], b["y"])]
+            m = [x if y is None else y if x is None else compose(x, y) for x, y in zip(b["x"], b["y"])]
             yield pd.DataFrame({"k": b["k"], "block": b["block"], "m": m})
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [apply(list(m), None if _missing(e) else e) for m, e in zip(b["m"], b["entry"])]
+            out = [apply(m, None if _missing(e) else e) for m, e in zip(b["m"], b["entry"])]
             yield pd.DataFrame({"k": b["k"], "block": b["block"] + 1, "entry": out})
 
     levels = [written(maps.select("k", (F.col("chunk") - F.col("first_chunk")).alias("block"), "m"), "maps")]

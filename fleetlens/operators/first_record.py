@@ -2,8 +2,8 @@
 
 Such windows are neither tumbling nor session windows: where one starts depends on all earlier ones.  The exact
 assignment is still computed in parallel.  Each key's records are cut into chunks.  A chunk maps the closing point
-of the window it inherits to the closing point it passes on; few distinct outcomes exist, so the map is a short
-table of pieces.  The tables of neighbouring chunks are composed pairwise in rounds, which gives every chunk its
+of the window it inherits to the closing point it passes on: a table of pieces, at most one for each record that
+an inherited window can reach.  The tables of neighbouring chunks are composed pairwise in rounds, which gives every chunk its
 inherited window, and the chunks are then assigned independently.
 """
 
@@ -40,24 +40,32 @@ def _next_open(at: np.ndarray, window: int, cap: int) -> np.ndarray:
     return np.minimum(by_time, np.arange(len(at)) + cap)
 
 
-def _chunk_map(at: np.ndarray, idx: np.ndarray, window: int, cap: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (up to this record) -> (time and index at which the chunk's last window closes)."""
+def _chunk_map(at: np.ndarray, idx: np.ndarray, window: int, cap: int) -> np.ndarray:
+    """The bound of inherited closes (time, index), then pieces (up to this record) -> (time and index of the last close).
+
+    Flat, two numbers and then four a piece: a crowded chunk has a piece a record.
+    """
     n = len(at)
     following = _next_open(at, window, cap)
-    last = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            last[i] = last[following[i]]
+    last = np.where(following < n, following, np.arange(n))
+    while not np.array_equal(last, last[last]):
+        last = last[last]
+    pieces = np.stack([at, idx, at[last] + window, idx[last] + cap], axis=1)
     # An inherited window closes before at[0] + window and before idx[0] + cap.
-    reachable = min(n, int(min(np.searchsorted(at, at[0] + window, side="left"), cap)) + 1)
-    pieces: list[tuple[int, int, int, int]] = []
-    for i in range(reachable):
-        close = (int(at[last[i]]) + window, int(idx[last[i]]) + cap)
-        if pieces and pieces[-1][2:] == close:
-            pieces[-1] = (int(at[i]), int(idx[i]), *close)
-        else:
-            pieces.append((int(at[i]), int(idx[i]), *close))
-    return pieces
+    return _joined(np.array([at[0] + window, idx[0] + cap]), pieces)
+
+
+def _joined(bound: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """A map of the pieces that a close within ``bound`` can meet; neighbours of the same outcome are one."""
+    pieces = pieces[: _place(pieces, bound[None, :])[0] + 1]
+    ends = np.ones(len(pieces), dtype=bool)
+    ends[:-1] = (pieces[1:, 2:] != pieces[:-1, 2:]).any(axis=1)
+    return np.concatenate([bound, pieces[ends].ravel()])
+
+
+def _place(pieces: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """The piece that each close (time, index) falls into; the number of pieces if it outlasts all."""
+    return np.minimum(np.searchsorted(pieces[:, 0], closes[:, 0], side="left"), np.searchsorted(pieces[:, 1], closes[:, 1], side="left"))
 
 
 def _assign(at: np.ndarray, idx: np.ndarray, entry: tuple[int, int] | None, window: int, cap: int):
@@ -76,24 +84,20 @@ def _assign(at: np.ndarray, idx: np.ndarray, entry: tuple[int, int] | None, wind
     return starts, numbers
 
 
-def _passes(pieces: list[dict], entry: dict | None) -> dict | None:
+def _passes(m: np.ndarray, entry: dict | None) -> dict:
     """The close that a chunk passes on; a window that outlasts the chunk stays as it is."""
-    for p in pieces:
-        if entry is None or p["hi_at"] >= entry["at"] or p["hi_idx"] >= entry["idx"]:
-            return {"at": p["close_at"], "idx": p["close_idx"]}
-    return entry
+    pieces = m[2:].reshape(-1, 4)
+    k = 0 if entry is None else int(_place(pieces, np.array([[entry["at"], entry["idx"]]]))[0])
+    return entry if k == len(pieces) else {"at": int(pieces[k, 2]), "idx": int(pieces[k, 3])}
 
 
-def _followed(a: list[dict], b: list[dict]) -> list[dict]:
-    """Pieces of two chunks as one: what a closes is inherited by b, and what outlasts a meets the pieces of b."""
-    out: list[dict] = []
-    for p in a:
-        close = _passes(b, {"at": p["close_at"], "idx": p["close_idx"]})
-        if out and (out[-1]["close_at"], out[-1]["close_idx"]) == (close["at"], close["idx"]):
-            out[-1] = out[-1] | {"hi_at": p["hi_at"], "hi_idx": p["hi_idx"]}
-        else:
-            out.append({"hi_at": p["hi_at"], "hi_idx": p["hi_idx"], "close_at": close["at"], "close_idx": close["idx"]})
-    return out + list(b)
+def _followed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The maps of two chunks as one: what a closes is inherited by b, and what outlasts a meets the pieces of b."""
+    bound, x, y = a[:2], a[2:].reshape(-1, 4), b[2:].reshape(-1, 4)
+    k = _place(y, x[:, 2:])
+    inside = (k < len(y))[:, None]
+    closes = np.where(inside, y[np.minimum(k, len(y) - 1), 2:], x[:, 2:])
+    return _joined(bound, np.concatenate([np.concatenate([x[:, :2], closes], axis=1), y]))
 
 
 def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int | None) -> DataFrame:
@@ -110,11 +114,10 @@ def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int |
         F.transform("p", lambda x: x["idx"]).alias("idx"),
     )
     key_type = chunks.schema["k"].dataType.simpleString()
-    names = ["hi_at", "hi_idx", "close_at", "close_idx"]
 
     def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = [[dict(zip(names, piece)) for piece in _chunk_map(np.asarray(at), np.asarray(idx), window_ms, limit)] for at, idx in zip(b["at"], b["idx"])]
+            m = [_chunk_map(np.asarray(at), np.asarray(idx), window_ms, limit) for at, idx in zip(b["at"], b["idx"])]
             yield pd.DataFrame({"k": b["k"], "chunk": b["chunk"], "first_chunk": b["first_chunk"], "m": m})
 
     spread = several(points, keys)
@@ -122,9 +125,7 @@ def _windows(points: DataFrame, keys: Sequence[str], window_ms: int, cap: int |
         placed = chunks.withColumn("entry", F.lit(None).cast("struct<at:bigint,idx:bigint>"))
     else:
         long_keys = spread.select(key.alias("k"), "first_chunk")
-        maps = chunks.join(long_keys, "k").mapInPandas(
-            to_maps, f"k {key_type}, chunk long, first_chunk long, m array<struct<{','.join(f'{n}:bigint' for n in names)}>>"
-        )
+        maps = chunks.join(long_keys, "k").mapInPandas(to_maps, f"k {key_type}, chunk long, first_chunk long, m array<bigint>")
         placed = chunks.join(entries(maps, _followed, _passes, "struct<at:bigint,idx:bigint>"), ["k", "chunk"], "left")
 
     def to_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -493,7 +493,7 @@ def leader_with_antiflap(
         maps = chunks.join(spread.select(key, "first_chunk"), "k").mapInPandas(
             to_maps, f"k struct<observer:string>, chunk long, first_chunk long, m {_PIECE}"
         )
-        placed = chunks.join(entries(maps, _led_both, _led, standing), ["k", "chunk"], "left")
+        placed = chunks.join(entries(maps, lambda a, b: _led_both(list(a), list(b)), lambda m, entry: _led(list(m), entry), standing), ["k", "chunk"], "left")
     entered = placed.select("k.observer", "ticks", *[F.col(f"entry.{c}").alias(c) for c in ("leader", "fallen", "until")])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

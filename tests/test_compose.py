@@ -75,6 +75,31 @@ def test_first_record_windows_over_chunks(spark, chunk):
     assert got == {(k, t): s for k, at in times.items() if k for t, s in opened(at, 60).items()}
 
 
+def test_window_maps_of_crowded_chunks():
+    """Windows that span several chunks have as many outcomes as rows; maps are composed without comparing all of them with all."""
+    import time
+
+    import numpy as np
+
+    n, window = 40_000, 150_000
+    at = np.arange(0, 8 * n) * 2 + np.arange(8 * n) % 2
+    cut = [at[k * n : (k + 1) * n] for k in range(8)]
+    begun = time.process_time()
+    maps = [fr._chunk_map(x, x, window, fr._NO_CAP) for x in cut]
+    pairs = maps
+    while len(pairs) > 1:
+        pairs = [fr._followed(x, y) for x, y in zip(pairs[::2], pairs[1::2])]
+    assert time.process_time() - begun < 20
+    assert len(pairs[0]) <= 2 + 4 * (window // 2 + 2)
+    entry = None
+    for m in maps:
+        entry = fr._passes(m, entry)
+    start = int(at[0])
+    while (later := at[at >= start + window]).size:
+        start = int(later[0])
+    assert entry == fr._passes(pairs[0], None) and entry["at"] == start + window
+
+
 def benches(rows, threshold, bench):
     count, last, trip, out = 0, None, None, []
     for at, ok in rows:
