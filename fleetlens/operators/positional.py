@@ -39,7 +39,8 @@ class State(NamedTuple):
 
 def word_positions(words: Column) -> Column:
     """(term, positions) of each distinct word of an array, positions ascending from 0; one sort, then one pass."""
-    placed = F.array_sort(F.transform(words, lambda w, k: F.struct(w.alias("term"), k.cast("int").alias("pos"))))
+    # Not array_sort, which calls a comparing function for every pair.
+    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("term"), k.cast("int").alias("pos"))))
 
     def grouped(s: Column) -> Column:
         first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.element_at(s, k)["term"] != F.element_at(s, F.greatest(k - 1, F.lit(1)))["term"]))
@@ -97,9 +98,12 @@ def _alive(rows: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def _write_postings(postings: DataFrame, folder: str, segment: int, buckets: int) -> None:
-    dealt = postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
-    # Ranges split the bucket of a very common term by its documents; within a file a term's postings lie together.
-    _write(dealt.repartitionByRange("bucket", "term", *KEY).sortWithinPartitions("bucket", "term", *KEY), folder, "postings", segment, "bucket")
+    # A bucket is dealt by its documents as well, so a very common term has many writers; within a file a term's postings lie
+    # together. Ranges would be sampled first, which cuts every text into words once more.
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*KEY), F.lit(-(-4 * tasks // buckets)))
+    dealt = postings.withColumns({"bucket": term_bucket(F.col("term"), buckets), "_part": part}).repartition("bucket", "_part").drop("_part")
+    _write(dealt.sortWithinPartitions("bucket", "term", *KEY), folder, "postings", segment, "bucket")
 
 
 def _commit(spark: SparkSession, folder: str, segment: int, buckets: int, base: bool) -> None:
@@ -125,7 +129,8 @@ def refresh(docs: DataFrame, folder: str, buckets: int = 64, max_bytes: int | No
     _write_postings(positional_postings(fresh, max_bytes), folder, segment, state.buckets)
     mine = State(segment, segment, state.buckets)
     # Lengths come from the postings just written: no text is cut into words twice.
-    sizes = _read(spark, folder, "postings", POSTING, mine).groupBy(*KEY).agg(F.max("dl").alias("_dl"))
+    # One term of a document begins it, so its length is told once and no other posting is shuffled.
+    sizes = _read(spark, folder, "postings", POSTING, mine).filter(F.col("positions")[0] == 0).select(*KEY, F.col("dl").alias("_dl"))
     with_words = ~is_binary(F.col("content"))
     if max_bytes is not None:
         with_words &= F.octet_length("content") <= max_bytes

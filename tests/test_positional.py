@@ -127,3 +127,19 @@ def test_failures_beside_results(spark):
     assert of("provenance", "targets_ok", "targets_failed", "truncated_targets") == [(2, 2, 2)]
     none = search.with_provenance(results, targets.limit(0), answers).collect()
     assert [(r.kind, r.targets_ok, r.targets_failed, r.truncated_targets) for r in none] == [("provenance", 0, 0, 0)]
+
+
+def test_postings_are_made_once(spark, tmp_path):
+    """Dealing postings to their writers does not make them a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = [("s", f"d{k}", "the", 1, 1, [0]) for k in range(200)]
+    postings = spark.createDataFrame(rows, "scope string, path string, term string, tf long, dl long, positions array<int>")
+    positional._write_postings(postings.mapInPandas(count, postings.schema), str(tmp_path), 0, 4)
+    assert made.value == 200
+    assert spark.read.parquet(f"{tmp_path}/postings").count() == 200
