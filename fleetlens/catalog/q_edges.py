@@ -14,6 +14,7 @@ from fleetlens.catalog.q_placement import _GOALS, _REQUESTS, _requests, _trust
 from fleetlens.catalog.registry import query
 from fleetlens.operators import costs, merge, rules, search, telemetry
 from fleetlens.plans import graph
+from fleetlens.session import written
 from fleetlens.sources import upsert
 from fleetlens.sources.tables import read_sample
 
@@ -25,7 +26,7 @@ _HEAP = """heap AS (SELECT o_custkey AS cust, 'p' || o_custkey AS plan_id, row_n
 def _heap(spark, d):
     li = read_sample(spark, d, "lineitem").join(read_sample(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    numbered = li.select("o_custkey", F.row_number().over(W.partitionBy("o_custkey").orderBy(*order)).alias("n"))
+    numbered = written(li.select("o_custkey", F.row_number().over(W.partitionBy("o_custkey").orderBy(*order)).alias("n")), "numbered")
     step = lambda c: F.concat(F.lit("s"), c.cast("string"))
     nodes = numbered.select("o_custkey", "n", F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("plan_id"), step(F.col("n")).alias("node_id"))
     # In every fifth plan the first step also waits for the second, so that all of it is behind a cycle.

@@ -21,6 +21,8 @@ from fleetlens.session import erase, new_folder, written
 
 # Steps and edges of a plan that is walked in one piece.
 PIECE = 4096
+# Steps and edges that are walked together; a batch of Arrow rows holds any number of plans.
+TOGETHER = 65_536
 # Fixed value: steps that a plan may have to be accepted; an argument of ``validate_plans`` only.
 MAX_PLAN_STEPS = 64
 
@@ -128,8 +130,20 @@ class _Graph:
         return [self.plan_ids.take(pa.array(self.plan[keep])), self.names.take(pa.array(self.first[keep]))]
 
 
-def _layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The plans of the batches in runs of bounded rows (a larger plan by itself), so that memory does not follow their number."""
     for batch in batches:
+        ends = np.cumsum(batch.column("rows").value_lengths().to_numpy())
+        at = 0
+        while at < len(ends):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + together, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
         graph = _Graph(batch)
         layer = graph.layers()
         out = [*graph.columns(), pa.array(layer, pa.int64(), mask=layer < 0), pa.array(layer < 0)]
@@ -137,7 +151,7 @@ def _layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _skipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches):
         graph = _Graph(batch)
         yield pa.RecordBatch.from_arrays(graph.columns(graph.skipped()), ["plan_id", "node_id"])
 
@@ -247,25 +261,7 @@ def validate_plans(
     ``plans``: plan_id, estimated_usd, max_cost_usd, budget_usd, must_be_local.  ``capabilities``: capability, cloud.
     ``required``: capability, field - inputs a capability insists on, checked where the input holds no references.
     """
-    sized = plans.join(plan_sizes(nodes), "plan_id", "left")
-    of_plan = _listed(
-        [
-            (F.col("steps").isNull(), "empty", F.lit("")),
-            (F.col("steps") > max_steps, "too_large", F.col("steps").cast("string")),
-            (F.col("estimated_usd") > F.col("max_cost_usd"), "cost_exceeded", F.lit("")),
-            (F.col("estimated_usd") > F.col("budget_usd"), "budget_inconsistent", F.lit("")),
-        ]
-    )
-    found = sized.select("plan_id", F.inline_outer(of_plan))
-
-    dangling = dangling_refs(nodes, edges).select(
-        "plan_id", F.lit("dangling_edge").alias("reason"), F.concat_ws(">", "from_id", "to_id").alias("detail")
-    )
-    # A self edge keeps its step from ever being placed, so the layering finds it too.
-    cyclic = topo_layers(nodes, edges).filter("cycle").select("plan_id").distinct()
-    cyclic = cyclic.select("plan_id", F.lit("cycle").alias("reason"), F.lit("").alias("detail"))
-
-    # One pass over the steps: each once per reference it holds, beside what its capability is and needs.
+    # One pass over the steps, written once: what each holds against itself, and the references it makes.
     used = with_output_refs(nodes.select("plan_id", "node_id", "capability", "input"))
     offered = capabilities.groupBy("capability").agg(F.max("cloud").alias("cloud"))
     if required is not None:
@@ -273,35 +269,52 @@ def validate_plans(
         offered = offered.join(needs, "capability", "full")
     else:
         offered = offered.withColumn("fields", F.lit(None).cast("array<string>"))
-    steps = used.join(offered, "capability", "left").join(plans.select("plan_id", "must_be_local"), "plan_id", "left")
-    each = steps.select("*", F.explode_outer("refs").alias("ref"))
-    declared = edges.select(
-        "plan_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("ref_id"), F.lit(True).alias("declared")
-    ).distinct()
-    each = each.withColumn("ref_id", F.col("ref.ref_id")).join(declared, ["plan_id", "node_id", "ref_id"], "left")
     of_capability = F.concat_ws(":", "node_id", "capability")
     absent = F.filter("fields", lambda f: F.try_variant_get(F.col("v"), F.concat(F.lit("$['"), f, F.lit("']")), "variant").isNull())
-    each = each.withColumn("absent", F.when((F.size("refs") == 0) & ~F.col("malformed"), absent))
+    each = used.join(offered, "capability", "left").withColumn("absent", F.when((F.size("refs") == 0) & ~F.col("malformed"), absent))
     of_step = _listed(
-        [
-            (F.col("cloud").isNull(), "unknown_capability", of_capability),
-            (F.col("cloud") & F.col("must_be_local"), "locality_conflict", of_capability),
-            (F.col("malformed"), "malformed_output_ref", F.col("node_id")),
-            (
-                F.col("ref_id").isNotNull() & F.col("declared").isNull(),
-                "undeclared_output_ref",
-                F.concat_ws(">", "node_id", "ref_id"),
-            ),
-        ]
+        [(F.col("cloud").isNull(), "unknown_capability", of_capability), (F.col("malformed"), "malformed_output_ref", F.col("node_id"))]
     )
     missing = F.transform(
         F.coalesce("absent", F.array().cast("array<string>")),
         lambda f: F.struct(F.lit("schema_violation").alias("reason"), F.concat_ws(":", F.col("node_id"), f).alias("detail")),
     )
-    of_steps = each.select("plan_id", F.inline_outer(F.concat(of_step, missing)))
-    out = found.unionByName(dangling).unionByName(cyclic).unionByName(of_steps)
+    columns = ["plan_id", "node_id", "capability", "cloud", F.array_distinct("refs.ref_id").alias("ref_ids")]
+    steps = written(each.select(*columns, F.concat(of_step, missing).alias("reasons")), "steps")
+    edges = written(edges.select("plan_id", "from_id", "to_id").distinct(), "edges")
+    of_steps = steps.select("plan_id", F.inline("reasons"))
+    local = plans.filter("must_be_local").select("plan_id").distinct()
+    conflicts = steps.filter("cloud").join(local, "plan_id", "left_semi").select(
+        "plan_id", F.lit("locality_conflict").alias("reason"), of_capability.alias("detail")
+    )
+    declared = edges.select("plan_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("ref_id"))
+    refs = steps.select("plan_id", "node_id", F.explode("ref_ids").alias("ref_id")).filter(F.col("ref_id").isNotNull())
+    undeclared = refs.join(declared, ["plan_id", "node_id", "ref_id"], "left_anti").select(
+        "plan_id", F.lit("undeclared_output_ref").alias("reason"), F.concat_ws(">", "node_id", "ref_id").alias("detail")
+    )
+
+    sized = plans.join(plan_sizes(steps), "plan_id", "left")
+    of_plan = _listed(
+        [
+            (F.col("steps").isNull(), "empty", F.lit("")),
+            (F.col("steps") > max_steps, "too_large", F.col("steps").cast("string")),
+            (F.col("estimated_usd") > F.col("max_cost_usd"), "cost_exceeded", F.lit("")),
+            (F.col("estimated_usd") > F.col("budget_usd"), "budget_inconsistent", F.lit("")),
+        ]
+    )
     # The outer form leaves an empty row where there is no reason; the plain one would test the array twice.
-    return out.filter(F.col("reason").isNotNull()).distinct()
+    found = sized.select("plan_id", F.inline_outer(of_plan)).filter(F.col("reason").isNotNull())
+
+    dangling = dangling_refs(steps, edges).select(
+        "plan_id", F.lit("dangling_edge").alias("reason"), F.concat_ws(">", "from_id", "to_id").alias("detail")
+    )
+    # A self edge keeps its step from ever being placed, so the layering finds it too.
+    cyclic = topo_layers(steps, edges).filter("cycle").select("plan_id").distinct()
+    cyclic = cyclic.select("plan_id", F.lit("cycle").alias("reason"), F.lit("").alias("detail"))
+    out = found
+    for more in (dangling, cyclic, of_steps, conflicts, undeclared):
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def _listed(tests: list[tuple[Column, str, Column]]) -> Column:

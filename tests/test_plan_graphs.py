@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from fleetlens.plans import graph
@@ -59,3 +60,14 @@ def test_layers_and_cascades(spark, piece):
     assert {(r.plan_id, r.node_id) for r in out} == cascade(edges, states) and len(out) == len(set(out))
     assert graph.topo_layers(n.limit(0), e, piece=piece).count() == graph.skip_cascade(e, s.limit(0), piece=piece).count() == 0
     assert {r.layer for r in graph.topo_layers(n, e.limit(0), piece=piece).collect()} == {0}
+
+
+def test_plans_are_walked_in_bounded_runs():
+    """Any number of plans may share an Arrow batch; no more than so many rows are numbered together."""
+    kind = pa.list_(pa.struct([("node_id", pa.string()), ("to_id", pa.string()), ("state", pa.string())]))
+    lists = [[{"node_id": f"s{k}", "to_id": None, "state": "waiting"} for k in range(n)] for n in [3, 4, 0, 9, 2, 2, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(7)]), pa.array(lists, kind)], ["plan_id", "rows"])
+    runs = list(graph._pieces(iter([batch]), together=7))
+    assert [r.column("plan_id").to_pylist() for r in runs] == [["p0", "p1", "p2"], ["p3"], ["p4", "p5"], ["p6"]]
+    assert sum((r.column("rows").to_pylist() for r in runs), []) == lists
+    assert list(graph._pieces(iter([batch.slice(0, 0)]))) == []
