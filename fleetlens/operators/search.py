@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.text import glob_match, is_binary, tokens
 from fleetlens.operators.corpus import walk_order
 from fleetlens.operators.ordered import top_k, unpack
+from fleetlens.session import written
 
 K1 = 1.2
 B = 0.75
@@ -29,11 +32,13 @@ MERGED_BLOCKS = 256
 
 
 class Index(NamedTuple):
-    """postings: scope, path, term, tf, dl; corpus: scope, n_docs, avgdl; buckets: of the terms of a stored index."""
+    """postings: scope, path, term, tf, dl; corpus: scope, n_docs, avgdl; buckets: of the terms of a stored index;
+    sized: scope, path, dl, tokens of the documents, where the index is not stored."""
 
     postings: DataFrame
     corpus: DataFrame
     buckets: int | None = None
+    sized: DataFrame | None = None
 
     def of_terms(self, terms: Sequence[str]) -> DataFrame:
         """Postings of exact terms; a stored index is read in the partitions of their buckets only."""
@@ -56,17 +61,34 @@ def index_skips(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
+def word_counts(words: Column) -> Column:
+    """(term, tf) of each distinct word of an array: one sort, then the ends of its runs."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == F.size(s)) | (F.get(s, k) != F.get(s, k - 1)))
+        run = lambda e: lambda k, i: F.struct(
+            F.get(s, k - 1).alias("term"), (k - F.coalesce(F.get(e, i - 1), F.lit(0))).cast("long").alias("tf")
+        )
+        return F.transform(F.array(ends), lambda e: F.transform(e, run(e)))[0]
+
+    # Bound by variables, so that nothing is sorted twice.
+    return F.transform(F.array(F.sort_array(words)), lambda s: F.when(F.size(s) > 0, runs(s)))[0]
+
+
 def build_index(docs: DataFrame, max_bytes: int | None = None) -> Index:
     """Postings with document lengths, and corpus statistics per scope.
 
-    All tokens of a document sit in one task, so the partial aggregation sends one row per distinct term.
+    The words of a document are counted where it is, so postings are shuffled only if rows share a scope and a path,
+    which is asked of these two columns first.
     """
     tokenized = indexable(docs, max_bytes).select("scope", "path", tokens(F.col("content")).alias("tokens"))
     sized = tokenized.withColumn("dl", F.size("tokens").cast("long"))
-    exploded = unpack(sized, ["scope", "path", "dl"], F.col("tokens"), "term")
-    postings = exploded.groupBy("scope", "path", "dl", "term").agg(F.count("*").alias("tf"))
+    counted = unpack(sized, ["scope", "path", "dl"], word_counts(F.col("tokens")), "w")
+    postings = counted.select("scope", "path", "dl", "w.term", "w.tf")
+    if not docs.groupBy("scope", "path").count().filter("count > 1").isEmpty():
+        postings = postings.groupBy("scope", "path", "dl", "term").agg(F.sum("tf").alias("tf"))
     corpus = sized.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings, corpus)
+    return Index(postings, corpus, sized=sized)
 
 
 def write_index(index: Index, folder: str, buckets: int = 64) -> None:
@@ -123,20 +145,20 @@ def search(
     wanted = _words_of(terms)
     if not wanted:
         raise ValueError("search needs at least one term")
-    postings = index.postings
-    query = F.array(*[F.lit(t) for t in wanted])
-    if prefix:
-        near = postings.withColumn("q", F.explode(F.filter(query, lambda t: F.startswith("term", t))))
+    unwanted = _words_of(not_terms)
+    if index.sized is not None:
+        near, corpus, banned = _found(index.sized, wanted, unwanted, prefix)
     else:
-        near = index.of_terms(wanted).withColumn("q", F.col("term"))
+        corpus, banned = index.corpus, index.of_terms(unwanted)
+        if prefix:
+            query = F.array(*[F.lit(t) for t in wanted])
+            near = index.postings.withColumn("q", F.explode(F.filter(query, lambda t: F.startswith("term", t))))
+        else:
+            near = index.of_terms(wanted).withColumn("q", F.col("term"))
     per_doc = near.groupBy("scope", "path", "dl", "q").agg(F.sum("tf").alias("tf"))
-    if not_terms:
-        banned = index.of_terms(_words_of(not_terms)).select("scope", "path").distinct()
-        allowed = per_doc.join(banned, ["scope", "path"], "left_anti")
-    else:
-        allowed = per_doc
+    allowed = per_doc.join(banned.select("scope", "path").distinct(), ["scope", "path"], "left_anti") if unwanted else per_doc
     doc_freq = per_doc.groupBy("scope", "q").agg(F.count("*").alias("df"))
-    stats = doc_freq.join(index.corpus, "scope")
+    stats = doc_freq.join(corpus, "scope")
     scored = allowed.join(stats, ["scope", "q"]).withColumn(
         "s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl"))
     )
@@ -151,6 +173,22 @@ def search(
     return hits.orderBy(F.desc("score"), "scope", "path").limit(limit)
 
 
+def _found(sized: DataFrame, wanted: list[str], unwanted: list[str], prefix: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the wanted words, corpus statistics and documents with an unwanted word, from one pass over the texts.
+
+    The pass leaves one narrow row a document; all that is ranked reads those.
+    """
+    fits = (lambda w, t: F.startswith(w, F.lit(t))) if prefix else (lambda w, t: w == t)
+    kept = F.filter("tokens", lambda w: reduce(or_, [fits(w, t) for t in wanted] + [w == t for t in unwanted]))
+    some = sized.select("scope", "path", "dl", kept.alias("some"))
+    count = lambda t: F.size(F.filter("some", lambda w: fits(w, t))).cast("long")
+    tfs = F.array(*[F.struct(F.lit(t).alias("q"), count(t).alias("tf")) for t in wanted])
+    narrow = written(some.select("scope", "path", "dl", tfs.alias("tfs"), F.exists("some", lambda w: w.isin(*unwanted)).alias("banned")), "found")
+    near = narrow.select("scope", "path", "dl", F.explode("tfs").alias("t")).select("scope", "path", "dl", "t.q", "t.tf").filter("tf > 0")
+    corpus = narrow.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return near, corpus, narrow.filter("banned")
+
+
 def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMIT, max_bytes: int | None = None) -> DataFrame:
     """Documents holding the words of ``phrase`` in a row, ranked by BM25 of the phrase."""
     words = split_words(phrase)
@@ -161,7 +199,7 @@ def search_phrase(docs: DataFrame, phrase: str, limit: int | None = DEFAULT_LIMI
     joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
     # A look-ahead consumes nothing, so overlapping occurrences are all counted.
     occurrences = F.regexp_count(joined, F.lit(f"(?= {' '.join(words)} )"))
-    counted = sized.select("scope", "path", "dl", occurrences.alias("tf"))
+    counted = written(sized.select("scope", "path", "dl", occurrences.alias("tf")), "phrase")
     stats = counted.groupBy("scope").agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.count_if(F.col("tf") > 0).alias("df")
     )

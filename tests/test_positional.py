@@ -143,3 +143,22 @@ def test_postings_are_made_once(spark, tmp_path):
     positional._write_postings(postings.mapInPandas(count, postings.schema), str(tmp_path), 0, 4)
     assert made.value == 200
     assert spark.read.parquet(f"{tmp_path}/postings").count() == 200
+
+
+def test_a_fresh_index_counts_words_where_they_are(spark):
+    one = docs(spark, {"a": "The the of", "b": ""})
+    postings = search.build_index(one).postings
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in postings.select("path", "dl", "term", "tf").collect()) == [("a", 3, "of", 1), ("a", 3, "the", 2)]
+    # Rows of one path and length are one document, as ever.
+    twice = search.build_index(one.unionByName(docs(spark, {"a": "of of x"}))).postings.filter("path = 'a'")
+    assert sorted(tuple(r) for r in twice.select("term", "tf").collect()) == [("of", 3), ("the", 2), ("x", 1)]
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_a_search_cuts_texts_once(spark, prefix):
+    index = search.build_index(docs(spark, {"a": "than thanks x", "b": "thank than", "c": "x thanks", "d": "other"}))
+    hits = search.search(index, ["than"], not_terms=["x"], prefix=prefix, limit=None)
+    assert "split(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    plain = search.search(index._replace(sized=None), ["than"], not_terms=["x"], prefix=prefix, limit=None)
+    assert sorted(hits.collect()) == sorted(plain.collect()) and [r.path for r in hits.collect()] == ["b"]
