@@ -152,8 +152,8 @@ def budget_verdicts_untimed_e1(spark, d):
         step.alias("step_id"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")).alias("settled_at"),
         F.col("l_extendedprice").alias("cost_usd"),
-    ).distinct()
-    out = costs.budget_verdicts(steps, costs.effective_budget(_plans(spark, d), 25000.0, 30000.0))
+    )
+    out = costs.budget_verdicts(steps, costs.effective_budget(_plans(spark, d), 25000.0, 30000.0), distinct=True)
     return out.withColumn("limit_usd", F.round("limit_usd", 6))
 
 

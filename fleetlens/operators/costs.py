@@ -5,15 +5,19 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions import jsonfn
 from fleetlens.functions.numeric import exact_sum, is_finite
 from fleetlens.functions.timefn import utc_day
-from fleetlens.operators.ordered import RunningSum, newest_by, ordered_scan, time_bucket, unpack
+from fleetlens.operators.ordered import newest_by, time_bucket, unpack
+from fleetlens.session import written
 from fleetlens.vocab import is_terminal
 
 PLAN_CAPABILITY = "plan.execute"
+# Steps of a plan that are added up in one piece; larger plans are split.
+PLAN_STEPS = 65_536
 
 
 def cost_rows(tasks: DataFrame, results: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
@@ -157,24 +161,42 @@ def effective_budget(plans: DataFrame, default_cap: float | None = 5.0, ceiling:
     )
 
 
-def budget_verdicts(steps: DataFrame, budgets: DataFrame, bucket: Column | None = None) -> DataFrame:
+def budget_verdicts(steps: DataFrame, budgets: DataFrame, bucket: Column | None = None, distinct: bool = False) -> DataFrame:
     """The steps at which a plan first passes its soft limit or its cap; passing the cap silences the soft limit.
 
-    ``steps``: plan_id, step_id, settled_at, cost_usd.  ``budgets``: plan_id, cap_usd, soft_usd.
+    ``steps``: plan_id, step_id, settled_at, cost_usd.  ``budgets``: plan_id, cap_usd, soft_usd.  ``distinct``: equal
+    steps count once.
+
+    Steps are shuffled once, by plan; only plans of more than ``PLAN_STEPS`` rows are split by ``bucket`` as well.  Costs
+    are not negative, so a limit is passed inside one bucket, which the sums of the buckets tell: budgets meet these sums,
+    and only the buckets that pass a limit meet their steps.
     """
     raw = F.col("cost_usd")
     cost = F.when(is_finite(raw) & (raw >= 0), raw).otherwise(0.0).cast("decimal(18,6)")
-    costed = steps.select("plan_id", "step_id", "settled_at", cost.alias("cost"))
-    running = ordered_scan(
-        costed,
-        ["plan_id"],
-        ["settled_at", "step_id"],
-        [RunningSum("spent", F.col("cost"))],
-        time_bucket("settled_at", 86_400) if bucket is None else bucket,
-    )
-    joined = running.join(budgets, "plan_id").withColumns(
-        {"spent": F.col("spent").cast("double"), "before": (F.col("spent") - F.col("cost")).cast("double")}
-    )
+    large = written(steps.groupBy("plan_id").count().filter(F.col("count") > PLAN_STEPS).select("plan_id"), "large")
+    own, dated = ["plan_id"], steps.filter("plan_id IS NOT NULL")
+    if not large.isEmpty():
+        own = ["plan_id", "__bucket"]
+        # A step without a time has no bucket, and comes first.
+        day = F.coalesce(time_bucket("settled_at", 86_400) if bucket is None else bucket, F.lit(-(1 << 63))).cast("long")
+        marked = dated.withColumn("__day", day).join(large.withColumn("__large", F.lit(True)), "plan_id", "left")
+        dated = marked.withColumn("__bucket", F.when(F.col("__large"), F.col("__day")).otherwise(0))
+    dealt = dated.select(*own, "step_id", "settled_at", "cost_usd" if distinct else cost.alias("cost")).repartition(*own)
+    if distinct:
+        dealt = dealt.distinct().withColumn("cost", cost).drop("cost_usd")
+
+    order = W.partitionBy(*own).orderBy("settled_at", "step_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = dealt.withColumn("within", F.sum("cost").over(order))
+    sums = dealt.groupBy(*own).agg(F.sum("cost").alias("total"))
+    across = W.partitionBy("plan_id").orderBy(own[-1]).rowsBetween(W.unboundedPreceding, -1)
+    carry = F.coalesce(F.sum("total").over(across), F.lit(0)) if len(own) > 1 else F.lit(0).cast("decimal(28,6)")
+    carried = sums.withColumn("carry", carry).join(budgets, "plan_id")
+    first, last = F.col("carry").cast("double"), (F.col("carry") + F.col("total")).cast("double")
+    passes = lambda limit: (last > F.col(limit)) & (first <= F.col(limit))
+    passed = carried.filter(passes("cap_usd") | passes("soft_usd")).select(*own, "carry", "cap_usd", "soft_usd")
+
+    spent = F.col("carry") + F.col("within")
+    joined = running.join(passed, own).withColumns({"spent": spent.cast("double"), "before": (spent - F.col("cost")).cast("double")})
     over_cap = F.coalesce(F.col("spent") > F.col("cap_usd"), F.lit(False))
     exceeded = over_cap & (F.col("before") <= F.col("cap_usd"))
     soft = ~over_cap & (F.col("spent") > F.col("soft_usd")) & (F.col("before") <= F.col("soft_usd"))
