@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.hashing import entry_hash
+from fleetlens.session import written
 from fleetlens.sources.tables import read_sample, spread
 from fleetlens.vocab import ZERO_HASH
 
@@ -418,9 +419,13 @@ FROM chain WHERE NOT (event_type = 'view' AND k = 1)
 """
 
 
-def chain(spark: SparkSession, d: str) -> DataFrame:
+LINK = ["seq", "at_ms", "action", "subject", "detail", "actor", "event_id", "event_type", "k"]
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    """A row a chain: node_id and its entries in order."""
     e = read_sample(spark, d, "events")
-    fields = ["seq", "at_ms", "action", "subject", "detail", "actor", "event_id", "event_type", "k"]
+    fields = LINK
     links = e.select(
         F.concat(F.lit("n"), F.lpad(F.expr("event_id div 64").cast("string"), 8, "0")).alias("node_id"),
         (F.col("event_id") % 64 + 1).alias("seq"),
@@ -433,7 +438,7 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
         "event_type",
         k_of().alias("k"),
     )
-    rows = links.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    rows = links.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
 
     def link(out: Column, r: Column) -> Column:
         prev = F.coalesce(F.try_element_at(out, F.lit(-1))["entry_hash"], F.lit(ZERO_HASH))
@@ -448,12 +453,26 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     start = F.array().cast(f"array<struct<{element}>>")
-    return rows.select("node_id", F.inline_outer(F.aggregate("rows", start, link)))
+    return rows.select("node_id", F.aggregate("rows", start, link).alias("entries"))
+
+
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    return _folded(spark, d).select("node_id", F.inline_outer("entries"))
+
+
+def stored_chain(spark: SparkSession, d: str) -> DataFrame:
+    """``chain`` from a table written once, for queries that read it more than once: a hash is 32 bytes and stored once."""
+    entry = lambda r: F.struct(*[r[f].alias(f) for f in LINK], F.unhex(r["entry_hash"]).alias("hash"))
+    held = written(_folded(spark, d).select("node_id", F.transform("entries", entry).alias("entries")), "links")
+    text = lambda h: F.lower(F.hex(h))
+    before = lambda i: F.coalesce(text(F.get("entries", i - 1)["hash"]), F.lit(ZERO_HASH)).alias("prev_hash")
+    whole = lambda r, i: F.struct(*[r[f].alias(f) for f in LINK], before(i), text(r["hash"]).alias("entry_hash"))
+    return held.select("node_id", F.inline_outer(F.transform("entries", whole)))
 
 
-def chained(spark: SparkSession, d: str) -> DataFrame:
-    """The chains after tampering: one detail in some hundred edited, some rows deleted."""
-    c = chain(spark, d)
+def chained(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    """The chains after tampering: one detail in some hundred edited, some rows deleted.  ``c``: the chains, if stored."""
+    c = chain(spark, d) if c is None else c
     edited = F.when((F.col("event_type") == "purchase") & (F.col("k") == 0), F.lit('{"k": -1}')).otherwise(F.col("detail"))
     kept = c.filter(~((F.col("event_type") == "view") & (F.col("k") == 1)))
     return kept.withColumns({"detail": edited, "received_at_ms": F.lit(None).cast("long")})
@@ -466,8 +485,8 @@ FROM chain WHERE event_type IN ('signup', 'view')
 """
 
 
-def pins(spark: SparkSession, d: str) -> DataFrame:
-    c = chain(spark, d).filter(F.col("event_type").isin("signup", "view"))
+def pins(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    c = (chain(spark, d) if c is None else c).filter(F.col("event_type").isin("signup", "view"))
     return c.select(
         F.col("event_id").alias("pin_no"),
         "node_id",
@@ -486,9 +505,9 @@ SELECT node_id, seq AS target_seq, CASE WHEN k % 2 = 0 THEN 1 ELSE greatest(seq
 """
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
+def runs(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
     k, seq = F.col("k"), F.col("seq")
-    return pins(spark, d).select(
+    return pins(spark, d, c).select(
         "node_id",
         seq.alias("target_seq"),
         F.when(k % 2 == 0, F.lit(1).cast("long")).otherwise(F.greatest(seq - 3, F.lit(1))).alias("from_seq"),

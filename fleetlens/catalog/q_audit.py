@@ -91,15 +91,16 @@ _ANCHOR = """anchors AS (SELECT f.node_id, f.seq, CASE WHEN f.seq = 1 AND f.prev
 _CUT = "cut AS (SELECT * FROM chained WHERE seq > (CASE WHEN event_id // 64 % 2 = 0 THEN 0 ELSE 10 + event_id // 64 % 7 END))"
 
 
-def _cut(spark, d):
+def _cut(spark, d, c=None):
     block = F.expr("event_id div 64")
     start = F.when(block % 2 == 0, 0).otherwise(10 + block % 7)
-    return b.chained(spark, d).filter(F.col("seq") > start)
+    return b.chained(spark, d, c).filter(F.col("seq") > start)
 
 
 @query("anchor_check_e4", f"{PINS}, {_CUT}, {_FIRST.format(t='cut')}, {_ANCHOR.format(t='cut', f='first')} SELECT * FROM anchors")
 def anchor_check_e4(spark, d):
-    return au.anchor_check(_cut(spark, d), b.pins(spark, d))
+    c = b.stored_chain(spark, d)
+    return au.anchor_check(_cut(spark, d, c), b.pins(spark, d, c))
 
 
 _KEEP, _AT = 40, 1706745600000
@@ -113,14 +114,14 @@ _PRUNED = f"""heads AS (SELECT node_id, max(seq) AS head, max_by(entry_hash, seq
 _COLUMNS = ["node_id", "seq", "at_ms", "action", "subject", "detail", "actor", "prev_hash", "entry_hash"]
 
 
-def _pruned(spark, d):
-    rows = b.chained(spark, d).select(*_COLUMNS, "received_at_ms")
+def _pruned(spark, d, c):
+    rows = b.chained(spark, d, c).select(*_COLUMNS, "received_at_ms")
     return au.prune_with_marker(rows, _KEEP, _AT)
 
 
 @query("prune_with_marker_e6", f"{CHAIN}, {_PRUNED} SELECT * FROM pruned")
 def prune_with_marker_e6(spark, d):
-    return _pruned(spark, d).select(*_COLUMNS)
+    return _pruned(spark, d, b.stored_chain(spark, d)).select(*_COLUMNS)
 
 
 @query(
@@ -128,7 +129,8 @@ def prune_with_marker_e6(spark, d):
     f"{PINS}, {_PRUNED}, {_FIRST.format(t='pruned')}, {_ANCHOR.format(t='pruned', f='first')} SELECT * FROM anchors",
 )
 def anchor_after_prune_e4(spark, d):
-    return au.anchor_check(_pruned(spark, d), b.pins(spark, d).filter(F.lit(True)))
+    c = b.stored_chain(spark, d)
+    return au.anchor_check(_pruned(spark, d, c), b.pins(spark, d, c).filter(F.lit(True)))
 
 
 @query(
@@ -224,8 +226,9 @@ def validate_ingest_e12(spark, d):
     LEFT JOIN chained s ON s.node_id = x.node_id AND s.seq = coalesce(w.through_seq, x.seq - 1) LEFT JOIN pins p ON p.node_id = x.node_id AND p.seq = coalesce(w.through_seq, x.seq - 1)""",
 )
 def run_anchor_e13(spark, d):
-    r = b.runs(spark, d)
-    firsts = b.chain(spark, d).select("node_id", "seq", "prev_hash")
+    c = b.stored_chain(spark, d)
+    r = b.runs(spark, d, c)
+    firsts = c.select("node_id", "seq", "prev_hash")
     want = F.when(F.col("k") % 4 == 3, F.col("through_seq") - 5).otherwise(F.col("through_seq") + 1)
     batches = r.select("node_id", "target_seq", "k", want.alias("seq")).join(firsts, ["node_id", "seq"])
     batches = batches.select(
@@ -235,7 +238,7 @@ def run_anchor_e13(spark, d):
         "seq",
         F.when(F.col("k") % 9 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("prev_hash")).alias("prev_hash"),
     )
-    return pn.run_anchor(batches, r.filter(F.col("k") % 4 != 2), b.chained(spark, d), b.pins(spark, d))
+    return pn.run_anchor(batches, r.filter(F.col("k") % 4 != 2), b.chained(spark, d, c), b.pins(spark, d, c))
 
 
 @query(
@@ -247,7 +250,8 @@ def run_anchor_e13(spark, d):
     LEFT JOIN anchors a ON a.node_id = p.node_id AND a.seq = r.from_seq""",
 )
 def corroborate_e14(spark, d):
-    return pn.corroborate(b.pins(spark, d), b.chained(spark, d), b.runs(spark, d))
+    c = b.stored_chain(spark, d)
+    return pn.corroborate(b.pins(spark, d, c), b.chained(spark, d, c), b.runs(spark, d, c))
 
 
 _HEADS = """heads AS (SELECT event_id AS head_no, 'u' || (user_id % 40) AS node_id, (event_id * 7919) % 500 AS seq, sha256(event_type) AS entry_hash FROM events),

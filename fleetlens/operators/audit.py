@@ -15,6 +15,8 @@ from fleetlens.session import written
 from fleetlens.vocab import AUDIT_ACTIONS, NOTABLE_ACTIONS, ZERO_HASH
 
 TRUNCATED = "audit.truncated"
+# Entries of a node that are ordered in one piece; longer chains are split.
+NODE_ENTRIES = 65_536
 CHAIN_ORDER = ["seq", "entry_hash"]
 
 
@@ -99,11 +101,17 @@ def chain_entries(audit: DataFrame) -> DataFrame:
     )
 
 
+def chain_bucket(entries: DataFrame) -> Column | None:
+    """How ordered scans split the entries: not at all, which takes one shuffle and no join, unless a node has many."""
+    largest = entries.groupBy("node_id").count().agg(F.max("count")).first()[0]
+    return None if (largest or 0) <= NODE_ENTRIES else seq_bucket("seq")
+
+
 def _paired(entries: DataFrame) -> DataFrame:
     """Entries with ``linked``: does one follow its predecessor by seq and hash (NULL on a node's first row)?"""
     slim = entries.select("node_id", "seq", "prev_hash", "entry_hash", "sound")
     before = Previous("before", F.struct("seq", "entry_hash"))
-    paired = ordered_scan(slim, ["node_id"], CHAIN_ORDER, [before], seq_bucket("seq"))
+    paired = ordered_scan(slim, ["node_id"], CHAIN_ORDER, [before], chain_bucket(entries))
     follows = (F.col("before.seq") + 1 == F.col("seq")) & (F.col("before.entry_hash") == F.col("prev_hash"))
     return paired.withColumn("linked", F.when(F.col("before").isNotNull(), follows)).drop("before")
 
@@ -121,17 +129,18 @@ def chain_breaks(entries: DataFrame) -> DataFrame:
     return _paired(entries).select("node_id", "seq", "entry_hash", _opens().alias("opens")).filter("opens IS NOT NULL")
 
 
-def segment_starts(points: DataFrame, breaks: DataFrame) -> DataFrame:
+def segment_starts(points: DataFrame, breaks: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """``points`` (node_id, seq, entry_hash of entries, and more) with ``segment_start``: from where the chain is unbroken.
 
-    A range lookup as one ordered scan over the points and the breaks alone; the chain itself is not read.
+    A range lookup as one ordered scan over the points and the breaks alone; of ``entries`` only the nodes are counted.
     """
+    bucket = seq_bucket("seq") if entries is None else chain_bucket(entries)
     rest = F.struct(*[c for c in points.columns if c not in ("node_id", *CHAIN_ORDER)], F.lit(1).alias("__asked"))
     asked = points.select("node_id", *CHAIN_ORDER, F.lit(None).cast("long").alias("opens"), rest.alias("rest"))
     known = breaks.select("node_id", *CHAIN_ORDER, "opens", F.lit(None).cast(asked.schema["rest"].dataType).alias("rest"))
     both = asked.unionByName(known).withColumn("asks", F.col("rest").isNotNull())
     scanned = ordered_scan(
-        both, ["node_id"], [*CHAIN_ORDER, "asks"], [LastKnown("segment_start", F.col("opens"))], seq_bucket("seq")
+        both, ["node_id"], [*CHAIN_ORDER, "asks"], [LastKnown("segment_start", F.col("opens"))], bucket
     )
     others = [F.col(c) if c in ("node_id", *CHAIN_ORDER) else F.col(f"rest.{c}").alias(c) for c in points.columns]
     return scanned.filter("asks").select(*others, "segment_start")

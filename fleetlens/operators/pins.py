@@ -160,7 +160,7 @@ def corroborate(pins: DataFrame, audit: DataFrame, runs: DataFrame) -> DataFrame
     entries = chain_entries(audit)
     held = entries.select("node_id", "seq", "entry_hash", F.col("sound").alias("end_sound"))
     pinned = held.join(pins.select("node_id", "seq").distinct(), ["node_id", "seq"])
-    ends = segment_starts(pinned, chain_breaks(entries)).withColumnRenamed("entry_hash", "stored_hash")
+    ends = segment_starts(pinned, chain_breaks(entries), entries).withColumnRenamed("entry_hash", "stored_hash")
     walked = runs.select(
         "node_id", F.col("target_seq").alias("seq"), F.greatest("from_seq", F.lit(1)).alias("from_seq"), "through_seq", "complete"
     )

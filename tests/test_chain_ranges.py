@@ -49,3 +49,23 @@ def test_corroborate_reads_the_chain_once(spark, sf, tmp_path):
     assert not [f for f in out.inputFiles() if str(tmp_path) in f]
     want = pn.corroborate(b.pins(spark, sf), b.chained(spark, sf), b.runs(spark, sf))
     assert sorted(out.collect()) == sorted(want.collect())
+
+
+def test_short_chains_are_ordered_in_one_piece(spark, monkeypatch):
+    rows = [(n, seq, f"{n}{seq - 1}", f"{n}{seq}", seq % 11 > 0) for n in "ab" for seq in range(1, 150) if seq % 17]
+    table = spark.createDataFrame(rows, "node_id string, seq long, prev_hash string, entry_hash string, sound boolean")
+    points = table.select("node_id", "seq", "entry_hash")
+    got = {}
+    for most in (20, 65_536):
+        monkeypatch.setattr(au, "NODE_ENTRIES", most)
+        breaks = au.chain_breaks(table)
+        assert ("Join" in breaks._jdf.queryExecution().optimizedPlan().toString()) == (most == 20)
+        got[most] = sorted(au.segment_starts(points, breaks, table).collect())
+    assert got[20] == got[65_536] and len(got[20]) == len(rows)
+
+
+def test_a_stored_chain_is_hashed_once(spark, sf):
+    stored = b.stored_chain(spark, sf)
+    assert "sha2(" not in stored._jdf.queryExecution().optimizedPlan().toString()
+    chain = b.chain(spark, sf)
+    assert sorted(stored.select(chain.columns).collect(), key=str) == sorted(chain.collect(), key=str)
