@@ -9,6 +9,7 @@ from fleetlens.catalog.bindings import ctes
 from fleetlens.catalog.registry import query
 from fleetlens.plans import checkpoints as cp
 from fleetlens.plans import graph, refs, summary
+from fleetlens.session import written
 from fleetlens.sources.tables import read_sample
 
 GRAPH = ctes("plan_nodes", "plan_edges")
@@ -63,7 +64,10 @@ _OUTPUT = "CASE WHEN qty % 7 = 0 THEN '{\"w\":1}' ELSE '{\"v\":[' || qty || ',\"
 
 
 def _inputs(spark, d):
-    n = b.plan_nodes(spark, d)
+    return _with_input(b.plan_nodes(spark, d))
+
+
+def _with_input(n):
     i, q = F.col("n"), F.col("qty").cast("string")
     s = lambda c: F.concat(F.lit("s"), c.cast("string"))
     back = i - F.when(F.col("qty") % 11 == 0, 2).otherwise(1)
@@ -83,7 +87,8 @@ def _inputs(spark, d):
     SELECT plan_id, node_id, CASE WHEN reason IS NULL THEN CASE WHEN n > 1 THEN '{{"a":' || qty || ',"src":' || pq || ',"z":[' || ro || ']}}' ELSE '{{"a":' || qty || '}}' END END AS resolved_input, reason FROM k""",
 )
 def resolve_refs_c13(spark, d):
-    nodes = _inputs(spark, d)
+    # Steps and outputs are of one table, grouped once.
+    nodes = _with_input(written(b.plan_nodes(spark, d).select("plan_id", "node_id", "n", "qty"), "steps"))
     output = F.when(F.col("qty") % 7 == 0, '{"w":1}').otherwise(F.concat(F.lit('{"v":['), F.col("qty").cast("string"), F.lit(',"{x}"]}')))
     return refs.resolve_refs(nodes, nodes.select("plan_id", "node_id", output.alias("output")))
 
