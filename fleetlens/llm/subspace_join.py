@@ -282,10 +282,10 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_
         counts = stored(counts, "classes")
         placed = keyed.select("rep", "lab", "dim", "vec").mapInArrow(_placed(threshold, parts), PLACED)
         ties = placed.repartition("key").sortWithinPartitions("key", "dim", "block").mapInArrow(_grouped(threshold), EDGE)
-        groups = components(ties, "groups").withColumnsRenamed({"vertex": "rep", "component": "group"})
+        groups = components(ties, "groups").withColumnsRenamed({"vertex": "rep", "component": "group"}).hint("merge")
         # Classes near others, and those of several rows, so that two classes of one hash are found.
         near = counts.join(groups, "rep", "left").where("group is not null or rows > 1").withColumn("group", F.coalesce("group", "rep"))
-        sizes = near.groupBy("group").agg(F.count("*").alias("all"))
+        sizes = near.groupBy("group").agg(F.count("*").alias("all")).hint("merge")
         near = stored(near.join(sizes, "group").select("rep", "n", "shared", "group", "all"), "near")
         whole = keyed.select("rep", "label", "dim", "vec").join(near, "rep").groupBy("rep", "label", "dim", "vec")
         kinds = stored(whole.agg(*[F.first(c).alias(c) for c in ("n", "shared", "group", "all")]), "kinds")
@@ -303,7 +303,8 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_
     same_id = mixed.select(F.col("rep").alias("a"), F.col("low").alias("b"))
     groups = components(found.select(*EDGE.names).union(same_id))
     # Ids of one class alone, in the class and in those linked with it.
-    near = found.groupBy("a").agg(F.sum("links").alias("links"))
+    # (What grows with the table is not broadcast: a compressed size is far below what the driver would hold.)
+    near = found.groupBy("a").agg(F.sum("links").alias("links")).hint("merge")
     plain = counts.join(near, counts.rep == near.a, "left").select("rep", "n", (F.col("n") + F.coalesce("links", F.lit(0))).alias("around"))
     pairs = found.where("pair").select("a", "b")
     pairs = stored(pairs.union(pairs.select("b", "a")).union(mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
@@ -313,10 +314,10 @@ def linked_vectors(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_
     sizes = sight.join(plain.select(F.col("rep").alias("b"), "n"), "b").groupBy("vec_id").agg(F.sum("n").alias("plain"))
     theirs = sight.join(mixed.select(F.col("rep").alias("b"), F.col("vec_id").alias("other")), "b").where("vec_id <> other").groupBy("vec_id").agg(F.count_distinct("other").alias("mixed"))
     wide = sizes.join(theirs, "vec_id", "left").select("vec_id", (F.col("plain") + F.coalesce("mixed", F.lit(0))).alias("n_wide"))
-    each = named.join(plain, "rep").join(seen.withColumnRenamed("a", "rep"), "rep", "left").join(groups.withColumnRenamed("vertex", "rep"), "rep", "left")
+    each = named.join(plain.hint("merge"), "rep").join(seen.withColumnRenamed("a", "rep"), "rep", "left").join(groups.withColumnRenamed("vertex", "rep").hint("merge"), "rep", "left")
     each = each.select("vec_id", F.coalesce("component", "rep").alias("component"), (F.col("around") + F.coalesce("others", F.lit(0)) - 1).alias("n_links"))
     each = stored(each.groupBy("vec_id").agg(F.min("component").alias("component"), F.max("n_links").alias("n_links")), "each")
     first = each.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     info = each.join(first.hint("merge"), "component").join(wide, "vec_id", "left").select("vec_id", F.coalesce("n_wide", "n_links").alias("n_links"), "component_id")
-    out = rows.select("vec_id").join(info, "vec_id", "left")
+    out = rows.select("vec_id").join(info.hint("merge"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

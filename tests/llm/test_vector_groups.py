@@ -66,3 +66,13 @@ def test_floats_and_doubles_alike(spark):
     rows = [(k, (base[k % 3] + 0.05 * r.standard_normal(8).astype(np.float32)).tolist(), 1) for k in range(40)]
     floats = subspace_join.linked_vectors(spark.createDataFrame(rows, SCHEMA.replace("double", "float"))).collect()
     assert {x.vec_id: (x.n_links, x.component_id) for x in floats} == result(spark, rows) == expected(rows)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    r = np.random.default_rng(10)
+    rows = [(k, r.standard_normal(8).tolist(), 1) for k in range(20)]
+    out = subspace_join.linked_vectors(spark.createDataFrame(rows, SCHEMA))
+    assert len(out.collect()) == 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert [line.split("Join")[0].split()[-1] for line in plan.split("\n") if "Join" in line][0] == "SortMerge"
