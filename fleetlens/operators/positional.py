@@ -11,15 +11,18 @@ Tables below the folder, all with a column ``segment``: ``postings`` (by ``bucke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import is_binary, tokens
 from fleetlens.operators.search import DEFAULT_LIMIT, Index, bm25, index_diff, indexable, split_words, term_bucket
+from fleetlens.session import erase, written
 
 KEY = ["scope", "path"]
 POSTING = "scope string, path string, term string, tf long, dl long, positions array<int>, segment int, bucket int"
@@ -27,6 +30,8 @@ DOCUMENT = "scope string, path string, version string, dl long, segment int"
 TOMBSTONE = "scope string, path string, segment int"
 CHANGE = "scope string, n_docs long, words long, segment int"
 COMMIT = "buckets int, base boolean, segment int"
+#: Words that are grouped at once (or those of one document), and postings that leave Python at once.
+WORDS, ROWS = 1 << 20, 1 << 15
 
 
 class State(NamedTuple):
@@ -37,31 +42,36 @@ class State(NamedTuple):
     buckets: int
 
 
-def word_positions(words: Column) -> Column:
-    """(term, positions) of each distinct word of an array, positions ascending from 0; one sort, then one pass."""
-    # Not array_sort, which calls a comparing function for every pair.
-    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("term"), k.cast("int").alias("pos"))))
-
-    def grouped(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.element_at(s, k)["term"] != F.element_at(s, F.greatest(k - 1, F.lit(1)))["term"]))
-
-        def cut(bounds: Column) -> Column:
-            end = lambda j: F.when(j < F.size(bounds), F.element_at(bounds, F.least(j + 1, F.size(bounds)))).otherwise(F.size(s) + 1)
-            of = lambda j: F.transform(F.slice(s, F.element_at(bounds, j), end(j) - F.element_at(bounds, j)), lambda x: x["pos"])
-            return F.transform(F.sequence(F.lit(1), F.size(bounds)), lambda j: F.struct(F.element_at(s, F.element_at(bounds, j))["term"].alias("term"), of(j).alias("positions")))
-
-        return F.transform(F.array(first), cut)[0]
-
-    # Bound by variables, so that nothing is sorted or cut twice.
-    return F.transform(F.array(placed), lambda s: F.when(F.size(s) > 0, grouped(s)))[0]
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and distinct word with its positions, ascending from 0; as many documents at once as have WORDS words."""
+    for batch in batches:
+        words = batch.column("words")
+        counts = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        until, at = np.cumsum(counts), 0
+        while at < len(counts):
+            end = max(at + 1, int(np.searchsorted(until, until[at] - counts[at] + WORDS, side="right")))
+            n, docs = counts[at:end], batch.slice(at, end - at)
+            coded = words.slice(at, end - at).flatten().dictionary_encode()
+            at = end
+            if not len(coded):
+                continue
+            code, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
+            place = (np.arange(len(code)) - (np.cumsum(n) - n)[doc]).astype(np.int32)
+            key = doc * len(coded.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            bounds = np.append(first, len(order))
+            of, term = pa.array(doc[order[first]]), coded.dictionary.take(pa.array(code[order[first]]))
+            columns = [docs.column("scope").take(of), docs.column("path").take(of), term, pa.array(np.diff(bounds)), pa.array(n[of]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[order]))]
+            rows = pa.RecordBatch.from_arrays(columns, [*KEY, "term", "tf", "dl", "positions"])
+            for k in range(0, rows.num_rows, ROWS):
+                yield rows.slice(k, ROWS)
 
 
 def positional_postings(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(scope, path, term, tf, dl, positions) of every document; no shuffle, a document's words are grouped where it is."""
-    sized = indexable(docs, max_bytes).select(*KEY, tokens(F.col("content")).alias("words"))
-    each = sized.select(*KEY, F.size("words").cast("long").alias("dl"), F.explode_outer(word_positions(F.col("words"))).alias("w"))
-    found = each.filter(F.col("w").isNotNull())
-    return found.select(*KEY, F.col("w.term").alias("term"), F.size("w.positions").cast("long").alias("tf"), "dl", F.col("w.positions").alias("positions"))
+    cut = indexable(docs, max_bytes).select(*KEY, tokens(F.col("content")).alias("words"))
+    return cut.mapInArrow(_grouped, "scope string, path string, term string, tf long, dl long, positions array<int>")
 
 
 def _state(spark: SparkSession, folder: str, buckets: int) -> State:
@@ -120,22 +130,30 @@ def refresh(docs: DataFrame, folder: str, buckets: int = 64, max_bytes: int | No
     spark = docs.sparkSession
     state = _state(spark, folder, buckets)
     segment = state.last + 1
-    listing = docs.groupBy(*KEY).agg(F.max("version").alias("version"))
+    with_words = ~is_binary(F.col("content"))
+    if max_bytes is not None:
+        with_words &= F.octet_length("content") <= max_bytes
+    # What is asked of all documents is asked once; their texts are read again only where they are new.
+    listing = written(docs.groupBy(*KEY).agg(F.max("version").alias("version"), F.max_by(with_words, "version").alias("_words"), F.count("*").alias("_rows")), "listing")
     old = _alive(_read(spark, folder, "documents", DOCUMENT, state), _read(spark, folder, "removed", TOMBSTONE, state))
     change = index_diff(listing, old, listing_truncated)
-    wanted = change.filter(F.col("change").isin("added", "updated")).select(*KEY).join(listing, KEY)
-    fresh = docs.join(wanted, [*KEY, "version"], "left_semi").dropDuplicates(KEY)
+    new = change.filter(F.col("change").isin("added", "updated")).select(*KEY).join(listing, KEY).filter("version is not null")
+    wanted = written(new, "wanted")
+    fresh = docs.dropna(subset=[*KEY, "version"])
+    if state.last >= 0:
+        fresh = fresh.join(wanted, [*KEY, "version"], "left_semi")
+    if not wanted.filter("_rows > 1").isEmpty():
+        fresh = docs.join(wanted, [*KEY, "version"], "left_semi").dropDuplicates(KEY)
     _write(change.filter(F.col("change").isin("removed", "updated")).select(*KEY), folder, "removed", segment)
     _write_postings(positional_postings(fresh, max_bytes), folder, segment, state.buckets)
     mine = State(segment, segment, state.buckets)
     # Lengths come from the postings just written: no text is cut into words twice.
     # One term of a document begins it, so its length is told once and no other posting is shuffled.
     sizes = _read(spark, folder, "postings", POSTING, mine).filter(F.col("positions")[0] == 0).select(*KEY, F.col("dl").alias("_dl"))
-    with_words = ~is_binary(F.col("content"))
-    if max_bytes is not None:
-        with_words &= F.octet_length("content") <= max_bytes
-    listed = fresh.select(*KEY, F.col("version").cast("string").alias("version"), with_words.alias("_words")).join(sizes, KEY, "left")
+    listed = wanted.select(*KEY, F.col("version").cast("string").alias("version"), "_words").join(sizes, KEY, "left")
     _write(listed.select(*KEY, "version", F.when(F.col("_words"), F.coalesce("_dl", F.lit(0))).cast("long").alias("dl")), folder, "documents", segment)
+    for done in (listing, wanted):
+        erase(done)
     came = _read(spark, folder, "documents", DOCUMENT, mine).filter("dl is not null").select("scope", F.lit(1).alias("n"), "dl")
     gone = _read(spark, folder, "removed", TOMBSTONE, mine).select(*KEY)
     left = old.join(gone, KEY, "left_semi").filter("dl is not null").select("scope", F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))

@@ -162,3 +162,39 @@ def test_a_search_cuts_texts_once(spark, prefix):
     assert "split(" not in hits._jdf.queryExecution().optimizedPlan().toString()
     plain = search.search(index._replace(sized=None), ["than"], not_terms=["x"], prefix=prefix, limit=None)
     assert sorted(hits.collect()) == sorted(plain.collect()) and [r.path for r in hits.collect()] == ["b"]
+
+
+def test_a_refresh_asks_for_its_documents_twice(spark, folder):
+    """Once for their versions and once for the texts of new ones, however many tables it writes."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    first = docs(spark, TEXTS)
+    positional.refresh(first.mapInPandas(count, first.schema), folder, buckets=4)
+    assert made.value == 2 * len(TEXTS)
+    assert positions(positional.open_index(spark, folder)) == wanted(TEXTS)
+    later = docs(spark, TEXTS | {"b": "yes"})
+    positional.refresh(later.mapInPandas(count, later.schema), folder)
+    assert made.value == 4 * len(TEXTS)
+    assert positions(positional.open_index(spark, folder)) == wanted(TEXTS | {"b": "yes"})
+    # Rows of one document: the greatest version holds, rows without a version or a path are not listed.
+    rows = [("s", "b", "older", "1"), ("s", "b", "newer words", "2"), ("s", "b", "newer words", "2"), ("s", "x", "none", None), ("s", None, "none", "1")]
+    twice = spark.createDataFrame(rows, "scope string, path string, content string, version string")
+    positional.refresh(twice, folder + "-twice", buckets=4)
+    assert positions(positional.open_index(spark, folder + "-twice")) == wanted({"b": "newer words"})
+
+
+def test_words_are_grouped_in_runs_of_bounded_length(monkeypatch):
+    monkeypatch.setattr(positional, "WORDS", 5)
+    monkeypatch.setattr(positional, "ROWS", 2)
+    texts = [["a", "b", "a"], [], ["c"], ["b", "b", "b", "a", "d", "a", "b"], ["a"], []]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"scope": ["s"] * 6, "path": [f"p{k}" for k in range(6)], "words": pa.array(texts, pa.list_(pa.string()))})
+    out = [r for b in positional._grouped(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    got = sorted((r["path"], r["term"], r["tf"], r["dl"], tuple(r["positions"])) for r in out)
+    assert got == sorted((f"p{k}", w, t.count(w), len(t), tuple(i for i, x in enumerate(t) if x == w)) for k, t in enumerate(texts) for w in set(t))
